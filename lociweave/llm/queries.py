@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lociweave.llm import bpe_prefix, simhash, token_counts
+from lociweave.llm import bpe_prefix, exact_dedup, line_dedup, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,50 @@ def piece_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as at
+  from documents),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+shared as (
+  select k, min(doc_id) as first from keyed where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+marked as (
+  select keyed.*, coalesce(doc_id > first, false) as gone from keyed left join shared using (k))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_counts(docs, tokenizer(token_counts.VOCABULARY), piece_pattern()).drop("text")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.text_groups(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with normal as (
+  select doc_id, length(coalesce(text, '')) as n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+best as (
+  select *, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size
+  from normal window w as (partition by text_sha256 order by n desc, doc_id))
+select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as kept, text_sha256 from best
+"""
+
+
 def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_prefix.with_encoding(docs, tokenizer(bpe_prefix.VOCABULARY), piece_pattern()).drop("text")
@@ -40,9 +80,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm import bpe_prefix, exact_dedup, line_dedup, simhash, token_counts
+from lociweave.llm import bpe_prefix, exact_dedup, kd_shard, line_dedup, secret_ledger, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,37 @@ def piece_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def _op3_sql() -> str:
+    """Starts are running sums of the pieces between the matches and of the matches."""
+    parts = []
+    for rank, r in enumerate(secret_ledger.RULES):
+        p = r.pattern.replace("'", "''")
+        held = f"length(regexp_extract(m, '^(?:{p})', {r.group}))"
+        parts.append(f"""
+  select doc_id, '{r.kind}' as kind, {rank} as rank, ends - length(m) as s, ends as e from (
+    select *, sum(length(g) + length(m)) over (partition by doc_id order by n) as ends from (
+      select doc_id, unnest(ms) as m, unnest(list_slice(gs, 1, len(ms))) as g, unnest(range(len(ms))) as n from (
+        select doc_id, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as gs from texts)
+    )) where {held} >= {r.least}""")
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+spans as ({" union all ".join(parts)}),
+lines as (
+  select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+         count(*) filter (where kind = 'hex') as n_hex,
+         string_agg(concat(kind, ':', s, ':', e), ',' order by s, rank) filter (where rank < {len(secret_ledger.BASE)}) as base,
+         string_agg(concat(kind, ':', s, ':', e), ',' order by s, rank) as spans
+  from spans group by doc_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+       coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join lines using (doc_id)
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -35,7 +66,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as at
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos
   from documents),
 keyed as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -45,7 +76,7 @@ shared as (
 marked as (
   select keyed.*, coalesce(doc_id > first, false) as gone from keyed left join shared using (k))
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
 """
 
@@ -70,6 +101,10 @@ select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as ke
 """
 
 
+def op8_kd_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shard.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_prefix.with_encoding(docs, tokenizer(bpe_prefix.VOCABULARY), piece_pattern()).drop("text")
@@ -80,11 +115,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_ledger": op3_secret_ledger,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_kd_shard": op8_kd_shard,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_secret_ledger": _op3_sql(), "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}

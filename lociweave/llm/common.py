@@ -46,7 +46,4 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 def extended(df: DataFrame, **kinds: str) -> StructType:
     """The schema of df with further columns; a new object, as df caches its own."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in kinds.items():
-        schema = schema.add(name, kind)
-    return schema
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in kinds.items())).fields])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm import bpe_prefix, exact_dedup, kd_shard, line_dedup, secret_ledger, simhash, token_counts
+from lociweave.llm import bpe_prefix, decontaminate, exact_dedup, html_extract, kd_shard, line_dedup, secret_ledger, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,44 @@ def piece_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_tag_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.with_main_text(pages).drop("html")
+
+
+def op2_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+OP2_SQL = r"""
+with item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, array_to_string(list_slice(w, i, i + 12), ' ') as win, least(len(w), 13) as n
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from item_words where len(w) > 0)),
+doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+cut as (
+  select doc_id, i, k.n, array_to_string(list_slice(w, i, i + k.n - 1), ' ') as win
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from doc_words) cross join (select distinct n from windows) k
+  where i + k.n - 1 <= len(w)),
+occ as (select doc_id, i, cut.n, item_id from cut join windows using (win, n)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as items_sha256
+  from (select distinct doc_id, item_id::varchar as item_id from occ) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc_words left join hit using (doc_id) left join items using (doc_id)
+"""
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -115,6 +153,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tag_path": op1_tag_path,
+    "op2_fm_index": op2_fm_index,
     "op3_secret_ledger": op3_secret_ledger,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
@@ -124,4 +164,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_ledger": _op3_sql(), "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_fm_index": OP2_SQL, "op3_secret_ledger": _op3_sql(), "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}

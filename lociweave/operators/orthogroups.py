@@ -1,0 +1,89 @@
+"""Orthogroup tables: members in long form (orthogroup, taxon, gene), wide tables at the edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lociweave.functions.sequences import safe_id
+
+#: What stands for no gene in a cell.
+NO_GENE = ("", "*", "-", "NA", "N/A")
+
+
+def genes_in_cell(cell: Column, sentinels: tuple[str, ...] = NO_GENE) -> Column:
+    """The comma-separated genes of a cell, trimmed; none of a cell that is one of sentinels or null."""
+    trimmed = F.trim(F.coalesce(cell, F.lit("")))
+    return F.when(trimmed.isin(list(sentinels)), F.array().cast("array<string>")).otherwise(F.transform(F.split(trimmed, ","), lambda x: F.trim(x)))
+
+
+def from_wide(table: DataFrame, group: str, taxa: list[str]) -> DataFrame:
+    """Members of a table with a column per taxon."""
+    long = table.unpivot([group], taxa, "taxon", "cell")
+    return long.select(F.col(group).alias("orthogroup"), "taxon", F.explode(genes_in_cell(F.col("cell"))).alias("gene"))
+
+
+def cell_faults(table: DataFrame, group: str, taxa: list[str]) -> DataFrame:
+    """(orthogroup, taxon, fault): cells with an empty or a repeated gene."""
+    long = table.unpivot([group], taxa, "taxon", "cell").withColumn("genes", genes_in_cell(F.col("cell")))
+    fault = F.when(F.array_contains("genes", ""), "empty gene").when(F.size(F.array_distinct("genes")) < F.size("genes"), "repeated gene")
+    return long.select(F.col(group).alias("orthogroup"), "taxon", fault.alias("fault")).where("fault is not null")
+
+
+def to_wide(members: DataFrame, taxa: list[str]) -> DataFrame:
+    """Orthogroup and a column per taxon, genes joined by comma and blank, nothing where there are none."""
+    cell = F.array_join(F.sort_array(F.collect_list("gene")), ", ")
+    return members.groupBy(F.col("orthogroup").alias("Orthogroup")).pivot("taxon", taxa).agg(cell).na.fill("", taxa)
+
+
+def copies(members: DataFrame) -> DataFrame:
+    """(orthogroup, taxon, n): genes of a taxon in a group."""
+    return members.groupBy("orthogroup", "taxon").agg(F.count(F.lit(1)).alias("n"))
+
+
+def occupancy(members: DataFrame, mode: str = "single-copy", min_taxa: int = 2, max_copies: int | None = None, taxa: list[str] | None = None) -> DataFrame:
+    """(orthogroup, occupied): groups with enough occupied taxa.
+
+    single-copy: a taxon counts with exactly one gene; all-copies: with one or more, and a group goes whole if a
+    selected taxon has more than max_copies.  taxa: those that count, all if none are given.
+    """
+    if mode not in ("single-copy", "all-copies"):
+        raise ValueError("mode must be single-copy or all-copies")
+    if min_taxa < 2:
+        raise ValueError("min_taxa must be at least 2")
+    n = copies(members if taxa is None else members.where(F.col("taxon").isin(taxa)))
+    counts = (F.col("n") == 1) if mode == "single-copy" else F.lit(True)
+    groups = n.groupBy("orthogroup").agg(F.count_if(counts).alias("occupied"), F.max("n").alias("most"))
+    kept = groups.where(F.col("occupied") >= min_taxa)
+    if max_copies is not None and mode == "all-copies":
+        kept = kept.where(F.col("most") <= max_copies)
+    return kept.select("orthogroup", "occupied")
+
+
+def longest_copy(members: DataFrame) -> DataFrame:
+    """(orthogroup, taxon, gene, effective_length, n): per group and taxon the gene of the greatest effective length, then the smallest id."""
+    best = F.min_by(F.struct("gene", "effective_length"), F.struct(-F.col("effective_length"), "gene"))
+    return members.groupBy("orthogroup", "taxon").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select("orthogroup", "taxon", "best.*", "n")
+
+
+def effective_length(seq: Column, seqtype: str = "codon") -> Column:
+    """Unambiguous characters."""
+    letters = "ACDEFGHIKLMNPQRSTVWY" if seqtype == "prot" else "ACGTU"
+    return F.length(F.regexp_replace(F.upper(seq), f"[^{letters}]", ""))
+
+
+def id_styles(members: DataFrame) -> DataFrame:
+    """(style, n): genes that have their taxon in front, and genes that don't; a table should have one style."""
+    style = F.when(F.startswith(safe_id(F.col("gene")), F.concat(safe_id(F.col("taxon")), F.lit("_"))), "prefixed").otherwise("unprefixed")
+    return members.groupBy(style.alias("style")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_gene_id(taxon: Column, gene: Column, style: str) -> Column:
+    """The id in the taxon's sequence file."""
+    name = safe_id(gene)
+    return F.substring(name, F.length(taxon) + 2, F.length(name)) if style == "prefixed" else name
+
+
+def with_sequences(members: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with seq, members whose gene no sequence has); sequences: taxon, gene, seq."""
+    return members.join(sequences, ["taxon", "gene"]), members.join(sequences.select("taxon", "gene"), ["taxon", "gene"], "left_anti")

@@ -1,66 +1,61 @@
 """Finding the hashes that probably occur twice, without shuffling the rows that have them.
 
-Bloom filters as tables: a filter is cut into blocks of BLOCK bits, a hash picks one block and two bits in it.
-Counting how often each bit is set gives both filters at once: bits set at all are the once-seen filter, bits
-set again are the twice-seen one.  A hash that occurs twice has both bits in the twice-seen filter, so nothing
-repeated is ever missed; a hash that doesn't is taken for repeated only if others share both of its bits.
-Only functions of Spark SQL are used.
+Bloom filters as tables of 64-bit words: a hash picks one word and two bits in it.  Counting how often each bit is
+set gives both filters at once: bits set at all are the once-seen filter, bits set again are the twice-seen one.
+A hash that occurs twice has both bits in the twice-seen filter, so nothing repeated is ever missed; a hash that
+doesn't is taken for repeated only if others share both of its bits.  Only functions of Spark SQL are used.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import written
 
-BLOCK = 32768  # bits in one block, what bitmap_construct_agg makes
 BITS_PER_ROW = 16
-#: A filter of at most so many bytes goes to all executors; a larger one is joined by shuffling hashes to its blocks.
-BROADCAST_BYTES = 32 << 20
+#: A filter of at most so many words goes to all executors; a larger one is joined by shuffling hashes to its words.
+BROADCAST_WORDS = 1 << 20
 
 
-def blocks_for(rows: int) -> int:
-    return max(1, math.ceil(rows * BITS_PER_ROW / BLOCK))
+def words_for(rows: int) -> int:
+    return rows * BITS_PER_ROW // 64 + 1
 
 
-def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(h, F.lit(blocks)).cast("int")
+def _word(h: Column, words: int) -> Column:
+    return F.pmod(h, F.lit(words).cast("long"))
 
 
 def _bits(h: Column) -> list[Column]:
-    return [F.shiftrightunsigned(h, n).bitwiseAND(F.lit(BLOCK - 1)).cast("int") for n in (33, 48)]
+    return [F.shiftrightunsigned(h, n).bitwiseAND(F.lit(63)).cast("int") for n in (52, 58)]
 
 
-def twice_seen(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
-    """(block, bits): the twice-seen filter over the rows of hashes; blocks without any bit have no row."""
-    marks = hashes.where(F.col(h).isNotNull()).select(_block(F.col(h), blocks).alias("block"), F.explode(F.array_distinct(F.array(*_bits(F.col(h))))).alias("bit"))
-    counted = marks.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("times"))
-    again = counted.where("times > 1").groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits"))
-    return again
+def _mask(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
 
 
-def _set(bits: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1
+def twice_seen(hashes: DataFrame, h: str, words: int) -> DataFrame:
+    """(word, mask): the twice-seen filter over the rows of hashes; words without any bit have no row."""
+    marks = hashes.where(F.col(h).isNotNull()).select(_word(F.col(h), words).alias("word"), F.explode(F.array_distinct(F.array(*_bits(F.col(h))))).alias("bit"))
+    counted = marks.groupBy("word", "bit").agg(F.count(F.lit(1)).alias("times"))
+    return counted.where("times > 1").groupBy("word").agg(F.bit_or(_mask(F.col("bit"))).alias("mask"))
 
 
 def flagged(rows: DataFrame, h: str, flag: str) -> DataFrame:
     """rows with a boolean column: whether the hash in column h (a long) may occur more than once; a null hash never does.
 
-    With a filter within BROADCAST_BYTES no row moves.  rows should be cheap to read twice, a written table for
+    With a filter within BROADCAST_WORDS no row moves.  rows should be cheap to read twice, a written table for
     instance.
     """
-    blocks = blocks_for(rows.count())
-    seen = written(twice_seen(rows, h, blocks).withColumnsRenamed({"block": "__block", "bits": "__bits"}))
-    if blocks * BLOCK // 8 <= BROADCAST_BYTES:
+    words = words_for(rows.count())
+    seen = written(twice_seen(rows, h, words)).withColumnsRenamed({"word": "__word", "mask": "__mask"})
+    if words <= BROADCAST_WORDS:
         seen = F.broadcast(seen)
-    probed = rows.withColumn("__block", _block(F.col(h), blocks)).join(seen, "__block", "left")
+    probed = rows.withColumn("__word", _word(F.col(h), words)).join(seen, "__word", "left")
     first, second = _bits(F.col(h))
-    again = F.coalesce(_set(F.col("__bits"), first) & _set(F.col("__bits"), second), F.lit(False))
-    return probed.withColumn(flag, again).drop("__block", "__bits")
+    both = _mask(first).bitwiseOR(_mask(second))
+    again = F.coalesce(F.col("__mask").bitwiseAND(both) == both, F.lit(False))
+    return probed.withColumn(flag, again).drop("__word", "__mask")
 
 
 def suspects(rows: DataFrame, h: str) -> DataFrame:

@@ -76,7 +76,7 @@ def suffix_order(text: np.ndarray, sigma: int) -> np.ndarray:
     key, alive = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for k in range(packed):
         symbol = np.zeros(n, dtype=np.int64)
-        symbol[: n - k] = text[k:] if k else text
+        symbol[: max(0, n - k)] = text[k:]
         symbol[~alive] = 0
         alive &= symbol != 0
         key = key << width | symbol

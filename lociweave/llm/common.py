@@ -37,11 +37,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in low])
 
 
+#: Arrow bytes that a task turns into Python objects at a time.
+SLICE_BYTES = 8 << 20
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that a task never holds Python copies of a whole Arrow batch of long texts."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        step = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
 
 
 def extended(df: DataFrame, **kinds: str) -> StructType:

@@ -105,12 +105,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def search(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """Per text: the number of words, merged spans of hit words, ids of the items that occur, sorted."""
-    cut = [words(t) for t in texts]
-    counts = np.array([len(x) for x in cut], dtype=np.int64)
+    parts = [np.fromiter(map(phrases.vocabulary.get, x := words(t), repeat(0)), dtype=np.int32, count=len(x)) for t in texts]
+    counts = np.array([len(x) for x in parts], dtype=np.int64)
     first = np.cumsum(counts + 1) - (counts + 1)  # a 0 after each document
     ids = np.zeros(int((counts + 1).sum()), dtype=np.int64)
-    for x, at in zip(cut, first, strict=True):
-        ids[at : at + len(x)] = np.fromiter(map(phrases.vocabulary.get, x, repeat(0)), dtype=np.int64, count=len(x))
+    for x, at in zip(parts, first, strict=True):
+        ids[at : at + len(x)] = x
     which, where = occurrences(ids, phrases)
     spans: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[str]] = {}

@@ -18,8 +18,8 @@ from lociweave.llm.bpe_prefix import _splitter
 from lociweave.llm.common import extended, slices, without
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Distinct words a Python worker remembers before it starts afresh.
-CACHE = 800_000
+#: Distinct words a task remembers before it starts afresh.
+CACHE = 400_000
 
 
 class LongestMatch:

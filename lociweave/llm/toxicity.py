@@ -7,12 +7,10 @@ means the same there as in a text never seen; the calibration rows take no part
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,96 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import extended, slices, without, written
+from lociweave.llm.toxicity_features import FEATURES, Lexicon, measure, terms
 
 #: The most labelled rows that anything is learned from; which ones, a hash of the key decides.
 MAX_TRAINING_ROWS = 30_000
-#: The most terms of a lexicon, the least log-odds of a term and of a strong one, and the share of toxic texts that must have it.
-MAX_TERMS, WEAK, STRONG, SUPPORT = 3000, 1.5, 3.0, 0.003
-BEGINNING = 5
-NEAR = 6
+#: The most terms of a lexicon, the least log-odds of a term, and the share of toxic texts that must have it.
+MAX_TERMS, WEAK, SUPPORT = 3000, 1.5, 0.003
 TREES, DEPTH, STEP = 20, 3, 0.2
 
-#: General insults; they count on their own, so that a corpus without labels still gets a score.
-SEED = frozenset(
-    "idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum clown disgusting imbecile jerk idiota imbécil estúpido estúpida basura asqueroso imbécile crétin stupide ordure connard dumm dummkopf trottel arschloch abschaum widerlich".split()
-)
-SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo tuya usted ustedes vosotros".split())
-_WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
-_LEET = str.maketrans("013457@$!", "oieastasi")
-_ODD = re.compile(r"[0-9@$*!]")
-_LONG = re.compile(r"(\w)\1\1")
-_PUNCTUATION = re.compile(r"[^\w\s]")
-
-FEATURES = (
-    "strong words", "weak words", "strong beginnings", "weak beginnings", "strong count", "beginning count", "highest odds", "odds",
-    "distinct strong", "seed words", "near second person", "second person", "capitals", "capital words", "exclamations",
-    "questions", "punctuation", "odd words", "disguised", "drawn out", "length",
-)
-
-
-@dataclass
-class Lexicon:
-    words: dict[str, float] = field(default_factory=dict)
-    beginnings: dict[str, float] = field(default_factory=dict)
-
-
-def terms(text: str | None) -> set[str]:
-    """What a text has for the lexicon: its words, and the beginnings of longer ones marked by a hyphen."""
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:BEGINNING] + "-" for w in words if len(w) > BEGINNING}
-
-
-def measure(text: str | None, lexicon: Lexicon) -> list[float]:
-    """The dense features of one whole text, in the order of FEATURES; rates are per 100 words or characters."""
-    text = text or ""
-    original = _WORD.findall(text)
-    words = [w.lower() for w in original]
-    n, chars = max(1, len(words)), max(1, len(text))
-    known, begun = lexicon.words, lexicon.beginnings
-    strong = weak = long_strong = long_weak = disguised = odd = 0
-    best = odds = 0.0
-    hits, different = [], set()
-    for i, w in enumerate(words):
-        score = known.get(w)
-        if score is None and w not in SEED and _ODD.search(w) and not w.isdigit():
-            odd += 1
-            plain = w.translate(_LEET)
-            if plain in known or plain in SEED:
-                disguised += 1
-                hits.append(i)
-        if score is None and len(w) > BEGINNING:
-            score = begun.get(w[:BEGINNING])
-            if score is not None:
-                long_strong += score >= STRONG
-                long_weak += score < STRONG
-        elif score is not None:
-            strong += score >= STRONG
-            weak += score < STRONG
-        if score is not None:
-            best, odds = max(best, score), odds + score
-            if score >= STRONG:
-                hits.append(i)
-                different.add(w)
-    seed = [i for i, w in enumerate(words) if w in SEED]
-    persons = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON], dtype=np.int64)
-    near = 0
-    if len(persons) and (hits or seed):
-        at = np.array(sorted({*hits, *seed}))
-        place = np.searchsorted(persons, at)
-        left = np.abs(at - persons[np.maximum(place - 1, 0)])
-        right = np.abs(at - persons[np.minimum(place, len(persons) - 1)])
-        near = int((np.minimum(left, right) <= NEAR).sum())
-    letters = sum(map(str.isalpha, text)) or 1
-    capitals = sum(map(str.isupper, text))
-    per = 100.0 / n
-    return [
-        strong * per, weak * per, long_strong * per, long_weak * per, float(np.log1p(strong)), float(np.log1p(long_strong)), best, odds * per,
-        float(np.log1p(len(different))), len(seed) * per, near * per, len(persons) * per, capitals / letters, sum(len(w) > 1 and w.isupper() for w in original) / n,
-        100.0 * text.count("!") / chars, 100.0 * text.count("?") / chars, 100.0 * len(_PUNCTUATION.findall(text)) / chars,
-        odd * per, disguised * per, 100.0 * len(_LONG.findall(text)) / n, float(np.log1p(len(words))),
-    ]
-
-
 def remainder(key: Column) -> Column:
     """crc32 of the key as text, mod 5: 0 is held out."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)).cast("int")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -20,11 +21,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lociweave.llm.bpe_batch import LONGEST_PIECE, BatchEncoder
 from lociweave.llm.common import extended, slices, without
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces a Python worker remembers before it starts afresh.
-CACHE = 400_000
+#: Distinct pieces that a task, and pairs of tokens that a Python worker, remembers before it starts afresh.
+CACHE, PAIRS = 400_000, 50_000
 
 
 class PrefixBPE:
@@ -36,7 +38,8 @@ class PrefixBPE:
         self.longest = max(map(len, ranks), default=0)
         #: What a token was merged from; a single byte has itself twice.  Tokens that no merge reaches have no entry.
         self.parts: dict[int, tuple[int, int]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._batch: BatchEncoder | None = None
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[rank] = (rank, rank)
@@ -46,8 +49,46 @@ class PrefixBPE:
                 if a < rank > b and a in self.parts and b in self.parts and self._stay_apart(a, b, rank):
                     self.parts[rank] = (a, b)
                     break
-        #: Tokens that can end a prefix, by their last byte: (length, bytes -> id) is found through this set.
-        self.reachable = {t: i for t, i in ranks.items() if i in self.parts}
+        self._link()
+        self.decimal = {i: b"%d" % i for i in self.tokens}
+        self.sizes = [len(self.tokens.get(i, b"")) for i in range(len(self.shorter))]
+        self.of_decimal = {self.decimal[i]: t for i, t in self.tokens.items()}
+
+    def _link(self) -> None:
+        """An automaton over the tokens that merges reach: at each byte it knows the longest one that ends there, and of each token the next shorter one."""
+        edges, ends, depth = {}, {}, [b""]
+        for t, i in self.ranks.items():
+            if i in self.parts:
+                node = 0
+                for k, byte in enumerate(t):
+                    step = edges.get(node << 8 | byte)
+                    if step is None:
+                        step = edges[node << 8 | byte] = len(depth)
+                        depth.append(t[: k + 1])
+                    node = step
+                ends[node] = i
+        self.edges, self.fail, self.ending = edges, [0] * len(depth), [-1] * len(depth)
+        self.shorter = [-1] * (max(self.tokens, default=0) + 1)
+        for node in sorted(range(1, len(depth)), key=lambda n: len(depth[n])):
+            prefix = depth[node]
+            back = self.step(self.fail[self._node(prefix[:-1])], prefix[-1]) if len(prefix) > 1 else 0
+            self.fail[node] = back
+            self.ending[node] = ends.get(node, self.ending[back])
+            if node in ends:
+                self.shorter[ends[node]] = self.ending[back]
+
+    def _node(self, prefix: bytes) -> int:
+        node = 0
+        for byte in prefix:
+            node = self.edges[node << 8 | byte]
+        return node
+
+    def step(self, node: int, byte: int) -> int:
+        while (to := self.edges.get(node << 8 | byte)) is None:
+            if node == 0:
+                return 0
+            node = self.fail[node]
+        return to
 
     def _stay_apart(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge across the boundary of a and b comes before those that made a and b; limit: merges from this rank on don't count."""
@@ -67,26 +108,52 @@ class PrefixBPE:
             else:
                 return True
 
+    def stay_apart(self, a: int, b: int) -> bool:
+        return self._stay_apart(a, b, len(self.tokens) + 1 + max(a, b))
+
     def apart(self, a: int, b: int) -> bool:
-        known = self._apart.get((a, b))
-        if known is None:
-            if len(self._apart) > 2_000_000:
-                self._apart.clear()
-            known = self._apart[a, b] = self._stay_apart(a, b, len(self.tokens) + 1 + max(a, b))
-        return known
+        if len(self._apart) > PAIRS:
+            self._apart.clear()
+        self._apart[a << 32 | b] = good = self.stay_apart(a, b)
+        return good
+
+    def batch(self) -> BatchEncoder:
+        if self._batch is None:
+            self._batch = BatchEncoder(self)
+        return self._batch
 
     def grow(self, piece: bytes, last: list[int], until: int | None = None) -> list[int]:
         """Lengthens last, the last token of each prefix of piece, to the prefix of until bytes."""
-        reachable, tokens = self.reachable, self.tokens
-        for end in range(len(last) + 1, (len(piece) if until is None else until) + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = reachable.get(piece[start:end])
-                if t is not None and (start == 0 or self.apart(last[start - 1], t)):
-                    last.append(t)
+        self.run(piece, last, None, len(piece) if until is None else until)
+        return last
+
+    def run(self, piece: bytes, last: list[int], node: int | None, until: int) -> int:
+        """grow() from a node of the automaton (none: the one that the bytes before lead to); returns the node at the end."""
+        edges, fail, ending, shorter, sizes, known = self.edges.get, self.fail, self.ending, self.shorter, self.sizes, self._apart.get
+        end = len(last)
+        if node is None:
+            node = 0
+            for byte in piece[max(0, end - self.longest) : end]:
+                node = self.step(node, byte)
+        for byte in piece[end:until]:
+            while (to := edges(node << 8 | byte)) is None and node:
+                node = fail[node]
+            node = to or 0
+            end += 1
+            t = ending[node]
+            while t >= 0:
+                start = end - sizes[t]
+                if start == 0:
+                    break
+                a = last[start - 1]
+                good = known(a << 32 | t)
+                if good if good is not None else self.apart(a, t):
                     break
+                t = shorter[t]
             else:
-                raise ValueError(f"byte {piece[end - 1]} is not in the vocabulary")
-        return last
+                raise ValueError(f"byte {byte} is not in the vocabulary")
+            last.append(t)
+        return node
 
     def walk(self, last: list[int]) -> list[int]:
         """The ids of the whole piece."""
@@ -144,26 +211,62 @@ def load(path: str) -> PrefixBPE:
         return PrefixBPE({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())})
 
 
+#: What the classes of a pattern are in ASCII text, inside brackets.
+ASCII_CLASSES = {r"\s": r"\t-\r\x20", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+
+
+def ascii_pattern(pattern: str) -> str | None:
+    """A pattern for Python's own re that matches ASCII text alike; none if it has escapes beyond ASCII_CLASSES and \\S."""
+    inside = lambda m: re.sub(r"\\s|\\p\{[LN]\}", lambda x: ASCII_CLASSES[x[0]], m[0])
+    parts = re.split(r"(\[[^\]]*\])", pattern)
+    for k, part in enumerate(parts):
+        if k % 2:
+            parts[k] = re.sub(r".+", inside, part)
+        else:
+            part = re.sub(r"\\s|\\p\{[LN]\}", lambda x: f"[{ASCII_CLASSES[x[0]]}]", part)
+            parts[k] = part.replace(r"\S", r"[^\t-\r\x20]")
+    out = "".join(parts)
+    return None if re.search(r"\\(?!t|r|x20)", out) else out
+
+
 @lru_cache(maxsize=4)
 def _splitter(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
-    return regex.compile(pattern).findall
+    whole, plain = regex.compile(pattern).findall, ascii_pattern(pattern)
+    if plain is None:
+        return whole
+    quick = re.compile(plain).findall
+    return lambda text: quick(text) if text.isascii() else whole(text)
 
 
 class PieceCache(dict):
-    """piece -> (number of ids, ids as decimals joined by commas, bytes decoded from the ids)."""
+    """piece -> its ids as decimals joined by commas."""
 
     def __init__(self, model: PrefixBPE):
         super().__init__()
         self.model = model
 
-    def __missing__(self, piece: str) -> tuple[int, bytes, bytes]:
-        ids = self.model.encode(piece.encode())
-        if len(self) > CACHE:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encodes the pieces of texts that aren't known, short ones together."""
+        new = set().union(*texts).difference(self)
+        if len(self) + len(new) > CACHE:
             self.clear()
-        self[piece] = found = (len(ids), b",".join(b"%d" % i for i in ids), self.model.decode(ids))
-        return found
+            new = set().union(*texts)
+        model, short = self.model, []
+        for text in new:
+            piece = text.encode()
+            if (t := model.ranks.get(piece)) is not None:
+                self[text] = model.decimal[t]
+            elif len(piece) > LONGEST_PIECE:
+                self[text] = b",".join([model.decimal[i] for i in model.encode(piece)])
+            else:
+                short.append((text, piece))
+        ids, counts = model.batch().encode([piece for _, piece in short])
+        decimals, at = list(map(model.decimal.__getitem__, ids)), 0
+        for (text, _), n in zip(short, counts, strict=True):
+            self[text] = b",".join(decimals[at : at + n])
+            at += n
 
 
 def encode_text(text: str, path: str, pattern: str) -> list[int]:
@@ -185,14 +288,16 @@ def with_encoding(docs: DataFrame, path: str, pattern: str, text: str = "text",
         split, cache = _splitter(pattern), PieceCache(load(path))
         for batch in slices(batches):
             counts, id_digests, digests, all_ids = [], [], [], []
-            for value in batch.column(text).to_pylist():
-                found = [cache[piece] for piece in split(value)] if value else []
-                joined = b",".join([x[1] for x in found])
-                counts.append(sum([x[0] for x in found]))
+            pieces = [split(value) if value else [] for value in batch.column(text).to_pylist()]
+            cache.learn(pieces)
+            for own in pieces:
+                joined = b",".join(map(cache.__getitem__, own))
+                own_ids = joined.split(b",") if own else []
+                counts.append(len(own_ids))
                 id_digests.append(hashlib.sha256(joined).hexdigest())
-                digests.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+                digests.append(hashlib.sha256(b"".join(map(cache.model.of_decimal.__getitem__, own_ids))).hexdigest())
                 if ids:
-                    all_ids.append(list(map(int, joined.split(b","))) if joined else [])
+                    all_ids.append(list(map(int, own_ids)))
             columns = [pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())]
             columns += [pa.array(all_ids, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)

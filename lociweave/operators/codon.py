@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lociweave.functions.genetic_code import is_fourfold, is_start, is_transversion, translate_codon
 from lociweave.functions.sequences import characters, codons
-from lociweave.model import codon_cells, rebuilt
+from lociweave.model import codon_cells
+from lociweave.operators.trim import apply_flags
 
 KEY = ("locus", "record_order", "seq_id")
 
 
 def translate_cds(records: DataFrame, table: int = 1) -> DataFrame:
-    """Whole triplets to residues; a start codon at the beginning is M."""
-    units = codon_cells(records)
-    residue = F.when((F.col("site") == 1) & is_start(F.col("codon"), table), "M").otherwise(translate_codon(F.col("codon"), table))
-    return rebuilt(units.withColumn("residue", residue), "site", "residue")
+    """Whole triplets to residues, within the row; a start codon at the beginning is M.  Records without a triplet aren't there."""
+    units = codons(F.translate(F.upper("seq"), "U", "T"))
+    residue = lambda c, i: F.when((i == 0) & is_start(c, table), "M").otherwise(translate_codon(c, table))
+    return records.where(F.length("seq") > 2).select(*KEY, F.array_join(F.transform(units, residue), "").alias("seq"))
+
+
+def _fill(aligned: str, cds: str) -> str:
+    at, out = 0, []
+    for ch in aligned:
+        if ch == "-":
+            out.append("---")
+        else:
+            out.append(cds[at : at + 3])
+            at += 3
+    return "".join(out)
 
 
 def back_translate(protein: DataFrame, cds: DataFrame) -> DataFrame:
     """Aligned residues replaced by the triplets of the sequence they come from: the k-th residue by the k-th triplet, - by ---.
 
     Joined by locus and seq_id; records of one side only, or with a different number of residues and triplets,
-    are left out and reported by back_translation_faults.
+    are left out and reported by back_translation_faults.  The walk along a record is a small Arrow function: built-in
+    functions have no running index inside a string, and one row per residue would have to be shuffled and sorted.
     """
     p = protein.select(*KEY, F.col("seq").alias("aligned"))
-    c = cds.select("locus", "seq_id", codons(F.col("seq")).alias("triplets"))
-    both = p.join(c, ["locus", "seq_id"]).where(F.length(F.replace("aligned", F.lit("-"), F.lit(""))) == F.size("triplets"))
-    cells = both.select(*KEY, "triplets", F.posexplode(characters(F.col("aligned"))).alias("pos", "ch"))
-    upto = Window.partitionBy(*KEY).orderBy("pos")
-    nth = F.sum((F.col("ch") != "-").cast("int")).over(upto)
-    units = both.select(*KEY, F.posexplode("triplets").alias("nth", "codon"))
-    placed = cells.drop("triplets").withColumn("nth", nth - 1)
-    filled = placed.where("ch != '-'").join(units, [*KEY, "nth"]).select(*KEY, "pos", "codon")
-    gaps = placed.where("ch = '-'").select(*KEY, "pos", F.lit("---").alias("codon"))
-    return rebuilt(filled.unionByName(gaps), "pos", "codon")
+    c = cds.select("locus", "seq_id", F.col("seq").alias("cds"))
+    both = p.join(c, ["locus", "seq_id"]).where(F.length(F.replace("aligned", F.lit("-"), F.lit(""))) == F.floor(F.length("cds") / 3))
+
+    def fill(batches):
+        for b in batches:
+            seqs = [_fill(a, x) for a, x in zip(b.column("aligned").to_pylist(), b.column("cds").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in KEY] + [pa.array(seqs, pa.string())], names=[*KEY, "seq"])
+
+    kinds = dict(both.dtypes)
+    return both.mapInArrow(fill, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", seq string")
 
 
 def back_translation_faults(protein: DataFrame, cds: DataFrame) -> DataFrame:
@@ -54,11 +67,7 @@ def split_codon_positions(records: DataFrame) -> DataFrame:
     return out.select(*KEY, "codon_position", F.array_join(picked, "").alias("seq"))
 
 
-def fourfold_mask(records: DataFrame, table: int = 1, policy: str = "ignore-missing") -> DataFrame:
-    """(locus, pos) of triplet columns whose third bases are fourfold degenerate in all records, the first two bases alike.
-
-    ignore-missing: ??? doesn't count, two other records at least; require-all: every record.
-    """
+def _fourfold_sites(records: DataFrame, table: int, policy: str) -> DataFrame:
     if policy not in ("ignore-missing", "require-all"):
         raise ValueError("policy must be ignore-missing or require-all")
     units = codon_cells(records)
@@ -66,13 +75,23 @@ def fourfold_mask(records: DataFrame, table: int = 1, policy: str = "ignore-miss
     good = F.bool_and(is_fourfold(F.col("codon"), table) | ~counts)
     prefix = F.when(counts, F.substring("codon", 1, 2))
     sites = units.groupBy("locus", F.col("site").alias("pos")).agg(good.alias("good"), (F.min(prefix) == F.max(prefix)).alias("alike"), F.count_if(counts).alias("seen"))
-    return sites.where(F.col("good") & F.col("alike") & (F.col("seen") >= (2 if policy == "ignore-missing" else 1))).select("locus", "pos")
+    keep = F.col("good") & F.col("alike") & (F.col("seen") >= (2 if policy == "ignore-missing" else 1))
+    return sites.select("locus", "pos", F.coalesce(keep, F.lit(False)).alias("keep"))
+
+
+def fourfold_mask(records: DataFrame, table: int = 1, policy: str = "ignore-missing") -> DataFrame:
+    """(locus, pos) of triplet columns whose third bases are fourfold degenerate in all records, the first two bases alike.
+
+    ignore-missing: ??? doesn't count, two other records at least; require-all: every record.
+    """
+    return _fourfold_sites(records, table, policy).where("keep").select("locus", "pos")
 
 
 def fourfold_sites(records: DataFrame, table: int = 1, policy: str = "ignore-missing") -> DataFrame:
     """The third bases of fourfold columns; loci without any aren't there."""
-    units = codon_cells(records).select(*KEY, F.col("site").alias("pos"), F.substring("codon", 3, 1).alias("base"))
-    return rebuilt(units.join(fourfold_mask(records, table, policy), ["locus", "pos"], "left_semi"), "pos", "base")
+    upper = records.withColumn("seq", F.translate(F.upper("seq"), "U", "T"))
+    kept = apply_flags(upper, _fourfold_sites(records, table, policy), "codon")
+    return kept.select(*KEY, F.regexp_replace("seq", "(?s)..(.)", "$1").alias("seq"))
 
 
 def pairwise_4dtv(records: DataFrame, table: int = 1) -> DataFrame:
@@ -80,10 +99,11 @@ def pairwise_4dtv(records: DataFrame, table: int = 1) -> DataFrame:
 
     Corrected is null where the correction has no value.
     """
-    units = codon_cells(records.where("record_order < 2"))
-    pairs = units.where("record_order = 0").alias("a").join(units.where("record_order = 1").alias("b"), ["locus", "site"])
-    x, y = F.col("a.codon"), F.col("b.codon")
-    pairs = pairs.where(is_fourfold(x, table) & is_fourfold(y, table) & (F.substring(x, 1, 2) == F.substring(y, 1, 2)))
+    triplets = codons(F.translate(F.upper("seq"), "U", "T"))
+    side = lambda k, name: records.where(F.col("record_order") == k).select("locus", triplets.alias(name))
+    zipped = side(0, "x").join(side(1, "y"), "locus").select("locus", F.explode(F.arrays_zip("x", "y")).alias("pair"))
+    x, y = F.col("pair.x"), F.col("pair.y")
+    pairs = zipped.where(is_fourfold(x, table) & is_fourfold(y, table) & (F.substring(x, 1, 2) == F.substring(y, 1, 2)))
     pairs = pairs.select("locus", F.substring(x, 3, 1).alias("x"), F.substring(y, 3, 1).alias("y"))
     share = lambda b: (0.5 * (F.count_if(F.col("x") == b) + F.count_if(F.col("y") == b)) / F.count(F.lit(1))).alias(b)
     sums = pairs.groupBy("locus").agg(F.count(F.lit(1)).alias("sites"), F.count_if(is_transversion(F.col("x"), F.col("y"))).alias("transversions"), *[share(b) for b in "ACGT"])

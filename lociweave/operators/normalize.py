@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.genetic_code import is_stop
 from lociweave.functions.sequences import AMBIGUOUS_BASES, characters, codons, normalize_nucleotides, normalize_protein
-from lociweave.model import rebuilt
 
 KEY = ("locus", "record_order", "seq_id")
 
@@ -63,12 +62,16 @@ def clean_codon(records: DataFrame, table: int = 1) -> DataFrame:
 
     A locus with a record of which nothing is left is skipped whole; see codon_events for why.
     """
-    marked = _marked_codons(records, table)
-    fixed = F.when(F.col("stop") & F.col("last"), "").when(F.col("stop"), "NNN").otherwise(normalize_nucleotides(F.col("original")))
-    out = rebuilt(marked.withColumn("fixed", fixed), "at", "fixed")
-    some = out.where("seq != ''")
-    empty = records.join(some, list(KEY), "left_anti").select("locus").distinct()
-    return some.join(empty, "locus", "left_anti").select(*KEY, "seq")
+    source = lambda c: F.translate(F.upper(c), "U", "T")
+    inner = lambda c: F.when(is_stop(source(c), table), "NNN").otherwise(normalize_nucleotides(c))
+    cut = records.select(*KEY, codons(F.col("seq")).alias("t"))
+    # the last triplet apart: inside transform, whatever tells it from the others would be worked out for each
+    last = F.get("t", F.size("t") - 1)
+    end = F.when(is_stop(source(last), table, terminal=True), "").otherwise(normalize_nucleotides(last))
+    body = F.array_join(F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), inner), "")
+    out = cut.select(*KEY, F.when(F.size("t") == 0, "").otherwise(F.concat(body, end)).alias("seq"))
+    empty = out.where("seq = ''").select("locus").distinct()
+    return out.join(empty, "locus", "left_anti").select(*KEY, "seq")
 
 
 def codon_events(records: DataFrame, table: int = 1) -> DataFrame:

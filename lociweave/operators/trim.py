@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.sequences import characters, codons, occurrences, ratio, safe_id
-from lociweave.model import cells, check_ratio, check_seqtype, codon_cells, rebuilt
+from lociweave.model import check_ratio, check_seqtype, rebuilt
 
 
 def _raw_cells(records: DataFrame) -> DataFrame:
@@ -21,12 +21,24 @@ def _raw_codons(records: DataFrame) -> DataFrame:
 
 
 def apply_mask(units: DataFrame, mask: DataFrame) -> DataFrame:
-    """records of the units (locus, record_order, seq_id, pos, raw) whose (locus, pos) the mask has."""
+    """records of the units (locus, record_order, seq_id, pos, raw) whose (locus, pos) the mask has; for masks from elsewhere."""
     return rebuilt(units.join(mask.select("locus", "pos"), ["locus", "pos"], "left_semi"), "pos", "raw")
 
 
-def trim_mask(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2, drop_invariant: bool = False) -> DataFrame:
-    """(locus, pos) of the columns, triplets for codon, that stay: a share beyond a limit goes, one at the limit stays."""
+def apply_flags(records: DataFrame, sites: DataFrame, seqtype: str) -> DataFrame:
+    """The records less the columns (triplets for codon) that sites (locus, pos, keep), which has all of them, doesn't keep.
+
+    The flags of a locus become one string, as long as its alignment, and meet whole records: no cell is shuffled
+    again.  Loci that keep nothing aren't there.
+    """
+    flag = F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("keep"), "1").otherwise("0").alias("flag"))))["flag"]
+    flags = sites.groupBy("locus").agg(F.array_join(flag, "").alias("flags")).where("contains(flags, '1')")
+    units = codons(F.col("seq")) if seqtype == "codon" else characters(F.col("seq"))
+    kept = F.zip_with(units, F.split("flags", ""), lambda u, f: F.when(f == "1", u).otherwise(""))
+    return records.join(flags, "locus").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
+
+
+def _trim_sites(records: DataFrame, seqtype: str, max_gap: float, max_n: float, max_x: float, drop_invariant: bool) -> DataFrame:
     check_seqtype(seqtype)
     check_ratio(max_gap=max_gap, max_n=max_n, max_x=max_x)
     units = _raw_codons(records) if seqtype == "codon" else _raw_cells(records)
@@ -38,31 +50,45 @@ def trim_mask(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2,
     stays = (F.col("gap") <= max_gap) & (F.col("bad") <= most)
     if drop_invariant:
         stays = stays & ~F.col("invariant")
-    return sites.where(stays).select("locus", "pos")
+    return sites.select("locus", "pos", stays.alias("keep"))
+
+
+def trim_mask(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2, drop_invariant: bool = False) -> DataFrame:
+    """(locus, pos) of the columns, triplets for codon, that stay: a share beyond a limit goes, one at the limit stays."""
+    return _trim_sites(records, seqtype, max_gap, max_n, max_x, drop_invariant).where("keep").select("locus", "pos")
 
 
 def trim(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2, drop_invariant: bool = False) -> DataFrame:
     """The records less trimmed columns; a locus that loses all of them isn't there (the caller decides if that is an error)."""
-    mask = trim_mask(records, seqtype, max_gap, max_n, max_x, drop_invariant)
-    return apply_mask(_raw_codons(records) if seqtype == "codon" else _raw_cells(records), mask)
+    return apply_flags(records, _trim_sites(records, seqtype, max_gap, max_n, max_x, drop_invariant), seqtype)
+
 
+def paired_sites(codon: DataFrame, protein: DataFrame, max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2) -> DataFrame:
+    """(locus, pos, keep) of paired sites: one mask from gaps of either side, N of the triplet and X of the residue.
 
-def paired_mask(codon: DataFrame, protein: DataFrame, max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2) -> DataFrame:
-    """(locus, pos) of the sites that both sides keep: one mask from gaps of either, N of the triplet and X of the residue."""
+    Whole records are joined and their triplets and residues zipped, so that cells exist only after the join.
+    """
     check_ratio(max_gap=max_gap, max_n=max_n, max_x=max_x)
-    c = codon_cells(codon).withColumnRenamed("site", "pos")
-    p = cells(protein, "prot").select("locus", "record_order", "seq_id", "pos", "ch")
-    both = c.join(p, ["locus", "record_order", "seq_id", "pos"])
+    key = ["locus", "record_order", "seq_id"]
+    c = codon.select(*key, codons(F.translate(F.upper("seq"), "U", "T")).alias("codon"))
+    p = protein.select(*key, characters(F.upper("seq")).alias("ch"))
+    zipped = c.join(p, key).select("locus", F.posexplode(F.arrays_zip("codon", "ch")).alias("pos", "x"))
+    both = zipped.select("locus", (F.col("pos") + 1).alias("pos"), "x.codon", "x.ch").where("codon is not null and ch is not null")
     n = F.count(F.lit(1))
     sites = both.groupBy("locus", "pos").agg(
         (F.count_if((F.col("ch") == "-") | F.contains("codon", F.lit("-"))) / n).alias("gap"), (F.count_if(F.contains("codon", F.lit("N"))) / n).alias("n"), (F.count_if(F.col("ch") == "X") / n).alias("x")
     )
-    return sites.where((F.col("gap") <= max_gap) & (F.col("n") <= max_n) & (F.col("x") <= max_x)).select("locus", "pos")
+    return sites.select("locus", "pos", ((F.col("gap") <= max_gap) & (F.col("n") <= max_n) & (F.col("x") <= max_x)).alias("keep"))
+
+
+def paired_mask(codon: DataFrame, protein: DataFrame, **limits: float) -> DataFrame:
+    """(locus, pos) of the sites that both sides keep."""
+    return paired_sites(codon, protein, **limits).where("keep").select("locus", "pos")
 
 
 def trim_pair(codon: DataFrame, protein: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
-    mask = paired_mask(codon, protein, **limits)
-    return apply_mask(_raw_codons(codon), mask), apply_mask(_raw_cells(protein), mask)
+    sites = paired_sites(codon, protein, **limits)
+    return apply_flags(codon, sites, "codon"), apply_flags(protein, sites, "prot")
 
 
 def drop_missing_columns(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
@@ -70,9 +96,9 @@ def drop_missing_columns(records: DataFrame, seqtype: str = "nucl") -> DataFrame
     check_seqtype(seqtype)
     units = _raw_codons(records) if seqtype == "codon" else _raw_cells(records)
     empty = {"nucl": ["N", "-"], "prot": ["X", "-"], "codon": ["NNN", "---"]}[seqtype]
-    mask = units.groupBy("locus", "pos").agg(F.bool_and(F.col("ch").isin(empty)).alias("empty")).where("not empty")
+    sites = units.groupBy("locus", "pos").agg((~F.bool_and(F.col("ch").isin(empty))).alias("keep"))
     even = records.groupBy("locus").agg((F.min(F.length("seq")) == F.max(F.length("seq"))).alias("even"))
-    trimmed = apply_mask(units, mask).join(even.where("even"), "locus", "left_semi")
+    trimmed = apply_flags(records.join(even.where("even"), "locus", "left_semi"), sites, seqtype)
     rest = records.join(even.where("not even"), "locus", "left_semi").select("locus", "record_order", "seq_id", "seq")
     return trimmed.unionByName(rest)
 

@@ -21,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores: a file of a few megabytes is read as one piece, and much of the work that follows needs no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _dealt(spark: SparkSession, sf_dir: str, unit: int) -> DataFrame:
     letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("locus"), letters.alias("letters"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("locus"), letters.alias("letters"))
     docs = docs.withColumn("n", F.expr(f"cast(greatest(1, ceil(length(letters) / {TAXA * unit}D)) * {unit} as int)"))
     docs = docs.withColumn("record_order", F.explode(F.sequence(F.lit(0), F.lit(TAXA - 1))))
     return docs.select("locus", "record_order", F.expr("concat('sp', record_order)").alias("seq_id"), "letters", "n", F.expr("substr(letters, record_order * n + 1, n)").alias("own"))

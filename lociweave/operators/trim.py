@@ -38,6 +38,29 @@ def apply_flags(records: DataFrame, sites: DataFrame, seqtype: str) -> DataFrame
     return records.join(flags, "locus").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
 
 
+def transfer_columns(records: DataFrame, columns: DataFrame, seqtype: str) -> DataFrame:
+    """The columns (triplets for codon) that another program has kept: columns is (locus, pos from 1).
+
+    The places of a locus become one string of flags, which meets whole records.  See column_map_faults before.
+    """
+    check_seqtype(seqtype)
+    places = columns.groupBy("locus").agg(F.sort_array(F.collect_set(F.col("pos").cast("int"))).alias("at"))
+    skipped = F.transform("at", lambda p, k: F.concat(F.repeat(F.lit("0"), p - 1 - F.coalesce(F.get("at", k - 1), F.lit(0))), F.lit("1")))
+    flags = places.select("locus", F.array_join(skipped, "").alias("flags"))
+    units = codons(F.col("seq")) if seqtype == "codon" else characters(F.col("seq"))
+    kept = F.zip_with(units, F.split("flags", ""), lambda u, f: F.when(f == "1", u).otherwise(""))
+    return records.join(flags, "locus").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
+
+
+def column_map_faults(columns: DataFrame, records: DataFrame) -> DataFrame:
+    """(locus, fault): maps that name no locus, a column twice or one out of range; records are those of the mapped side."""
+    length = records.groupBy("locus").agg(F.max(F.length("seq")).alias("length"))
+    named = columns.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("different"), F.min("pos").alias("least"), F.max("pos").alias("most"))
+    fault = F.when(F.col("length").isNull(), "unknown locus").when(F.col("n").isNull(), "no columns").when(F.col("n") != F.col("different"), "column twice")
+    fault = fault.when((F.col("least") < 1) | (F.col("most") > F.col("length")), "out of range")
+    return named.join(length, "locus", "full_outer").select("locus", fault.alias("fault")).where("fault is not null")
+
+
 def _trim_sites(records: DataFrame, seqtype: str, max_gap: float, max_n: float, max_x: float, drop_invariant: bool) -> DataFrame:
     check_seqtype(seqtype)
     check_ratio(max_gap=max_gap, max_n=max_n, max_x=max_x)

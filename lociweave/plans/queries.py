@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import genetic_code as gc
 from lociweave.functions.sequences import partition_name
-from lociweave.operators import codon, concat, normalize, orthogroups, qc, report, sites, trim
+from lociweave.operators import codon, concat, frameshift, matrix, normalize, orthogroups, qc, report, sites, trim
 from lociweave.plans import views as v
 from lociweave.sinks import lines
 
@@ -528,6 +528,75 @@ def axt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.axt(v.codon_records(spark, sf_dir).where("record_order < 2"))
 
 
+#: Codon records in which some codons miss a base or are stops.
+_SHIFTED_SQL = f"""{v.CODON_SQL.replace("records as (", "plain as (")},
+records as (select * replace (replace(replace(seq, 'CAT', 'TAA'), 'GGA', 'G!A') as seq) from plain), {v.CODONS_SQL}"""
+
+
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.codon_records(spark, sf_dir).withColumn("seq", F.expr("replace(replace(seq, 'CAT', 'TAA'), 'GGA', 'G!A')"))
+
+
+_FRAMES_SQL = f"""{_SHIFTED_SQL},
+ends as (select {_fields}, min(site) as first, max(site) as last from codons where codon != '---' group by all),
+marked as (select codons.*, case when contains(codon, '!') then case when site in (first, last) then 'external_frameshift' else 'internal_frameshift' end
+    when site = last and codon in {_in(gc.stop_codons(1, True))} then 'terminal_stop' when site < last and codon in {_in(gc.stop_codons(1))} then 'internal_stop' end as event
+  from codons left join ends using ({_fields}))"""
+
+
+@query(f"""with {_FRAMES_SQL} select {_fields}, event, (3 * site - 2)::int as "start", (3 * site)::int as "end", codon as original from marked where event is not null""")
+def frame_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frameshift.frame_findings(_shifted(spark, sf_dir))
+
+
+@query(f"""with {_FRAMES_SQL} select {_fields}, string_agg(case when event is null then translate(codon, '?', 'N') else 'NNN' end, '' order by site) as seq from marked group by all""")
+def frameshift_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frameshift.masked(_shifted(spark, sf_dir))
+
+
+@query(f"""with {_FRAMES_SQL} select {_fields}, coalesce(event, 'export_change') as event, (3 * site - 2)::int as "start", (3 * site)::int as "end", codon as original,
+  'NNN' as replacement, 'replace' as action from marked where event is not null or codon = '???'""")
+def frameshift_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _shifted(spark, sf_dir)
+    return frameshift.triplet_edits(before, frameshift.masked(before))
+
+
+@query(f"""with {v.CODON_SQL}, {v.CODONS_SQL}, prot as (with {v.PROT_SQL}, {v.CELLS_SQL} select * from cells)
+select {_fields}, string_agg(case when contains('ACDEFGHIKLMNPQRSTVWYX-', ch) then codon else 'NNN' end, '' order by site) as seq
+from codons c join prot p using ({_fields}) where site = pos group by all""")
+def masked_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frameshift.masked_pair(v.codon_records(spark, sf_dir), v.proteins(spark, sf_dir))[0]
+
+
+@query(f"""with {v.PROT_SQL}, {v.CELLS_SQL}, mask as (select locus, pos from cells group by all having bool_or(ch in ('A', 'L')))
+select {_fields}, string_agg(ch, '' order by pos) as seq from cells semi join mask using (locus, pos) group by all""")
+def transferred_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = v.proteins(spark, sf_dir)
+    kept = p.select("locus", F.posexplode(F.split("seq", "")).alias("pos", "ch")).where("ch in ('A', 'L')")
+    return trim.transfer_columns(p, kept.select("locus", (F.col("pos") + 1).alias("pos")).distinct(), "prot")
+
+
+@query(f"""with {_concat_sql("pad-gaps")},
+m as (select locus, seq as fragment from records join parts using (locus) union all select locus, repeat('?', length) from blocks),
+cells as (select locus, unnest(string_split(fragment, '')) as ch, unnest(range(1, length(fragment) + 1)) as pos from m),
+counted as (select locus, pos, ch, count(*) as n from cells group by all),
+cols as (select locus, pos, sum((contains('ACGT', ch))::int) as k, sum((contains('ACGT', ch) and n > 1)::int) as twice, sum((contains('ACGT', ch) and n = 1)::int) as once from counted group by all),
+classes as (select sum((k = 0)::int)::bigint as unresolved_only, sum((k = 1)::int)::bigint as constant, sum((k > 1)::int)::bigint as variable, sum((twice > 1)::int)::bigint as pis,
+  sum((k = 2 and once > 0)::int)::bigint as singleton from cols),
+chars as (select sum(n)::bigint as cells, (sum(n) filter (where ch = '-'))::bigint as g, (sum(n) filter (where ch = '?'))::bigint as q,
+  (sum(n) filter (where not contains('ACGT-?', ch)))::bigint as a, (sum(n) filter (where ch in ('G', 'C')))::double / sum(n) filter (where contains('ACGT', ch)) as gc_ratio from counted)
+select (select count(*) from taxa)::bigint as taxa, (select count(*) from parts)::bigint as loci, (select sum(length) from parts)::bigint as length, cells,
+  (select case when sum(length) % 3 = 0 then sum(length) // 3 end from parts)::bigint as complete_codons, g as gap_characters, q as missing_characters, a as ambiguous_characters,
+  g::double / cells as gap_ratio, q::double / cells as missing_ratio, a::double / cells as ambiguous_ratio, gc_ratio, classes.* from chars, classes""")
+def matrix_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.matrix_statistics(v.occupied_records(spark, sf_dir), "pad-gaps", "codon")
+
+
+@query(f"""with {_concat_sql("pad-gaps")} select case when n_missing = 0 then 'included' else 'padded' end as status, count(*)::bigint as n from loci_n group by all""")
+def inclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.inclusion_counts(concat.inclusion(v.occupied_records(spark, sf_dir)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc_gate(spark, sf_dir)
 

@@ -125,6 +125,13 @@ def charsets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", pattern, 1).alias("name"), *[F.regexp_extract("value", pattern, k).cast("long").alias(n) for k, n in ((2, "start"), (3, "end"))])
 
 
+def columns_map(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos): the columns, from 1, that the line #ColumnsMap of a trimming program's output keeps; it counts from 0."""
+    rows = spark.read.text(path).where(F.col("value").startswith("#ColumnsMap\t"))
+    items = F.split(F.substring_index("value", "\t", -1), ",")
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.explode(items).alias("item")).where("trim(item) != ''").select("file", (F.trim("item").cast("int") + 1).alias("pos"))
+
+
 def charset_faults(parts: DataFrame, length: int) -> DataFrame:
     """(name, fault): partitions that don't follow on each other from 1 to length; parts are as many as loci."""
     from lociweave.functions.running import running_before

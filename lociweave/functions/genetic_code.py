@@ -114,15 +114,14 @@ def is_fourfold(codon: Column, table: int = 1) -> Column:
 
 
 def translate_codon(codon: Column, table: int = 1) -> Column:
-    """Residue of an upper-case codon over A, C, G, T, N; --- is -, anything else X."""
-    by_residue: dict[str, list[str]] = {}
-    for c, a in translations(table).items():
-        by_residue.setdefault(a, []).append(c)
-    out = F.when(codon == "---", "-")
-    for a, codons in sorted(by_residue.items()):
-        if a != "X":
-            out = out.when(codon.isin(codons), a)
-    return out.otherwise("X")
+    """Residue of an upper-case codon, three letters over A, C, G, T, N; --- is -, anything else X.
+
+    The places of the three letters are digits of an index into one constant array; 0 is any other letter.
+    """
+    letters, known = "-ACGTN", translations(table)
+    residues = ["-" if c == ("-", "-", "-") else known.get("".join(c), "X") for c in product("?" + letters, repeat=3)]
+    a, b, c = (F.instr(F.lit(letters), F.substring(codon, k, 1)) for k in (1, 2, 3))
+    return F.get(F.array(*map(F.lit, residues)), (a * 7 + b) * 7 + c)
 
 
 def is_start(codon: Column, table: int = 1) -> Column:

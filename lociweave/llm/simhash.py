@@ -4,11 +4,16 @@ Fingerprints within RADIUS bits of each other share a word that is within half t
 distinct fingerprint therefore emits all words of its ball of radius 1 (itself and its 64 one-bit variants),
 and a shuffle on these words brings linked fingerprints together.  At most 65 distinct fingerprints can share
 one word, so no group can grow with the input; copies have been folded into one fingerprint before.
+
+For looser copies, some ten of 64 bits apart, such balls can't be enumerated.  similar_documents() takes a wide
+fingerprint of BITS bits, many narrow words of its bits, and verifies the pairs that share one by their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,13 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 
+#: Wide fingerprints: words of a shingle, least similarity of a link, bits, number of narrow words and bits of each.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+BITS, TABLES, WORD_BITS = 512, 300, 26
+#: In a group that shares a word each node meets so many nodes before it.
+BACK = 3
+_PLACES = np.stack([np.random.default_rng(SEED + k).permutation(BITS)[:WORD_BITS] for k in range(TABLES)])
+
 
 def simhash(text: str | None, size: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint of one text; 0 if it has no words."""
@@ -39,29 +51,33 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long; one row per row of docs."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([simhash(x) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash(x, size) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
     narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return narrow.mapInArrow(digest, f"id {dict(docs.dtypes)[key]}, fp long")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, that connect all fingerprints of nodes (a column fp, distinct) within RADIUS of each other.
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct (a, b), a < b, that connect all fingerprints of nodes (a column fp, distinct) within radius, an even number, of each other.
 
-    Of the fingerprints that share a word each is linked with the next one; all of them lie within RADIUS of each
-    other, so the links have the same connected components as all pairs would have.
+    Of the fingerprints that share a word each is linked with the next one; all of them lie within radius of each
+    other, so the links have the same connected components as all pairs would have.  The ball of half the radius
+    has 1, 65, 2081 words for radius 0, 2, 4.
     """
-    ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius must be even: fingerprints meet in the middle")
+    flips = [sum(1 << i for i in c) for k in range(radius // 2 + 1) for c in combinations(range(64), k)]
+    ball = F.array(*[F.col("fp").bitwiseXOR(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")) for m in flips])
     emitted = nodes.select("fp", F.explode(ball).alias("word"))
     before = F.lag("fp").over(Window.partitionBy("word").orderBy("fp"))
     pairs = emitted.select(before.alias("a"), F.col("fp").alias("b")).where("a is not null")
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,25 +97,142 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("v", "label")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id) for every fp of nodes (fp, first): the smallest first that edges reach."""
+    labels = components(edges)
+    nodes = nodes.join(labels, nodes["fp"] == labels["v"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    nodes = written(nodes)
+    least = written(nodes.groupBy("label").agg(F.min("first").alias("component_id")))
+    return written(nodes.join(least, "label").select("fp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fingerprint, component_id) for every row of docs.
 
     fingerprint: 16 lowercase hex digits.  component_id: the smallest key among the documents whose fingerprints
-    can be reached by links of at most RADIUS differing bits, itself included.  Null and wordless texts have
+    can be reached by links of at most radius differing bits, itself included.  Null and wordless texts have
     fingerprint zero and link like any other; a null key is larger than none, so it is a component_id only where
     all keys are null.  Rows that repeat are returned as often.  Copies, however many, meet as one fingerprint.
     """
-    rows = written(fingerprints(docs, key, text))
+    rows = written(fingerprints(docs, key, text, size))
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    labels = components(links(nodes))
-    nodes = nodes.join(labels, nodes["fp"] == labels["v"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    nodes = written(nodes)
-    least = written(nodes.groupBy("label").agg(F.min("first").alias("component_id")))
-    named = written(nodes.join(least, "label").select("fp", "component_id"))
+    named = _named(nodes, links(nodes, radius))
     return rows.join(named, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay if one document of each component does, the one with the smallest key."""
-    stays = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__stays")).distinct()
+def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; one for all words of a shorter text, none without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(size)])) if len(words) >= size else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """BITS majority bits of a set of shingles; the smallest hash decides where the votes are even."""
+    if not len(shingles):
+        return bytes(BITS // 8)
+    ones = np.zeros(BITS, dtype=np.int64)
+    step = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    lead = None
+    for start in range(0, len(shingles), 255):  # so many votes fit into a byte
+        x = shingles[start : start + 255, None] + step  # splitmix64
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
+        lead = votes[0] if lead is None else lead
+        ones += votes.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones + lead > len(shingles)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WIDE_SHINGLE) -> DataFrame:
+    """(id, fp, n, wide): fp stands for the set of shingles, n is its size, wide its fingerprint as longs; one row per row of docs."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps, sizes, wide = [], [], []
+            for t in batch.column(1).to_pylist():
+                found = shingle_set(t, size)
+                fps.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                wide.append(np.frombuffer(wide_fingerprint(found), dtype=np.int64))
+            columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(wide, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "wide"])
+
+    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return narrow.mapInArrow(digest, f"id {dict(docs.dtypes)[key]}, fp long, n long, wide array<long>")
+
+
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (a, b) of nodes (fp, n, wide) that share a narrow word and may be so similar by their sizes and wide fingerprints.
+
+    A group that shares a word is gone through in the order of fp, which is the same for all words, so that a
+    large family of near copies meets in few different pairs.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = (1 << np.arange(WORD_BITS, dtype=np.int32)).astype(np.int32)
+        table = np.arange(TABLES, dtype=np.int64) << WORD_BITS
+        for batch in slices(batches, 256):
+            wide = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(batch.num_rows, BITS // 64)
+            bits = np.unpackbits(wide.view(np.uint8), axis=1)
+            words = table + np.stack([bits[:, p] @ weight for p in _PLACES], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(words), pa.list_(pa.int64()))], names=["fp", "words"])
+
+    emitted = nodes.where("n > 0").select("fp", "wide").mapInArrow(split, "fp long, words array<long>").select("fp", F.explode("words").alias("word"))
+    group = Window.partitionBy("word").orderBy("fp")
+    before = emitted.select(F.array_compact(F.array(*[F.lag("fp", k).over(group) for k in range(1, BACK + 1)])).alias("before"), F.col("fp").alias("b"))
+    pairs = before.where("size(before) > 0").select(F.explode("before").alias("a"), "b").distinct()
+    one = nodes.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
+    other = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
+    # halfway between the share of bits that such a pair and that an unrelated one differs in
+    most = BITS * (0.5 + math.acos(2 * similarity / (1 + similarity)) / math.pi) / 2
+    apart = sum((F.bit_count(F.get("wide_a", F.lit(k)).bitwiseXOR(F.get("wide_b", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    near = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (apart <= most)
+    return pairs.join(one, "a").join(other, "b").where(near).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sets (fp, grams, distinct in fp) have at least this Jaccard similarity."""
+    one, other = sets.select(F.col("fp").alias("a"), F.col("grams").alias("of_a")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("of_b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    enough = both * (1 + similarity) >= similarity * (F.size("of_a") + F.size("of_b")) - 1e-9
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, component_id) for every row of docs: components of links between texts whose sets of shingles are so similar (Jaccard).
+
+    Every link is exact; a pair can be missed if it shares none of the words.  Texts with the same set of shingles
+    always link, as do all null and wordless texts.  Null and repeated keys are as for near_duplicates().
+    """
+    rows = written(wide_fingerprints(docs, key, text, size))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")))
+    pairs = written(candidates(nodes, similarity))
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    ids = nodes.join(wanted, "fp", "left_semi").select(F.col("first").alias("__id"))
+    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
+            fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["fp", "grams"])
+
+    held = narrow.join(ids, narrow["id"].eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(grams, "fp long, grams array<long>")
+    # a key may stand at other texts too
+    sets = written(held.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")))
+    named = _named(nodes.select("fp", "first"), written(verified(pairs, sets, similarity)))
+    return rows.join(named, "fp").select(F.col("id").alias(key), "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that stay if one document of each component does, the one with the smallest key.
+
+    found: (key, component_id); near_duplicates() if null.
+    """
+    found = near_duplicates(docs, key, text) if found is None else found
+    stays = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__stays")).distinct()
     return docs.join(stays, docs[key].eqNullSafe(F.col("__stays")), "left_semi")

@@ -158,3 +158,41 @@ def test_few_or_equal_rows(spark, rows):
     assert len(got) == len(rows) and got["shard"].between(0, 39).all()
     if len(rows) == 100:
         assert got.groupby("shard").size().max() <= 4
+
+
+def _jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents(spark):
+    """Near copies far beyond two bits link from a Jaccard similarity of 0.8 on and not below; every second key is larger."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(60):
+        a = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 600))]
+        b = a.copy()
+        for at in rng.sample(range(len(a)), max(1, len(a) // (90 if k % 2 else 12))):
+            b[at] = "changed"
+        a, b = " ".join(a), " ".join(b)
+        j = _jaccard(a, b)
+        assert j >= 0.85 if k % 2 else j < 0.8
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if j >= 0.8 else 2 * k + 1}
+    rows += [(900, None), (901, "  "), (902, rows[0][1].upper()), (None, "of no key"), (903, "four words of text"), (904, "Four words\nof text")]
+    want |= {900: 900, 901: 900, 902: 0, None: None, 903: 903, 904: 903}
+    docs = docs_of(spark, rows)
+    found = simhash.similar_documents(docs)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs, found=found).where("doc_id is not null").collect()) == sorted({v for v in want.values() if v is not None})
+    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
+
+
+def test_radius_and_shingle_size(spark):
+    nodes = spark.createDataFrame([(0,), (0b1111,), (1 << 40,)], "fp long")
+    assert [tuple(r) for r in simhash.links(nodes, 4).where("a = 0 and b = 15").collect()] == [(0, 15)]
+    assert {tuple(r) for r in simhash.links(nodes).collect()} == {(0, 1 << 40)} and simhash.links(nodes, 0).count() == 0
+    with pytest.raises(ValueError):
+        simhash.links(nodes, 3)
+    got = simhash.fingerprints(docs_of(spark, [(1, "a b c d e f g")]), size=5).first()["fp"]
+    assert got & (2**64 - 1) == simhash.simhash("a b c d e f g", 5) != simhash.simhash("a b c d e f g")

@@ -33,8 +33,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold the article's text.
-OUTSIDE = frozenset("head nav header footer aside form button select option dialog menu svg object applet audio video canvas map math".split()) | RAW
-#: Words in class, id or role that name such a part.
+OUTSIDE = frozenset("head nav header footer aside button select option dialog menu svg object applet audio video canvas map math".split()) | RAW
+#: Words in class, id or role that name such a part; whether the element is one, its share of the page decides, as for a form.
 CLUTTER = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments comentarios kommentare commentaires complementary consent contentinfo cookie cookies disclaimer discussion disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond rail search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
@@ -57,11 +57,12 @@ class Block:
     elements: tuple[int, ...]  # numbers of the elements on the path
     linked: int  # characters inside links
     outside: bool
+    suspects: tuple[int, ...] = ()  # numbers of the elements around it that their name, or being a form, makes suspects
 
 
 def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     """The text blocks of a page in order, and the elements by number, as "article" or the like."""
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number, outside
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]  # name, number, outside, suspects
     found: list[Block] = []
     kinds: dict[int, str] = {}
     parts: list[str] = []
@@ -73,7 +74,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
             text = " ".join("".join(parts).split())
             if text:
                 on = [x for x in stack[1:] if x[0] not in INLINE]
-                found.append(Block(text, tuple(x[0] for x in on), tuple(x[1] for x in on), linked, stack[-1][2]))
+                found.append(Block(text, tuple(x[0] for x in on), tuple(x[1] for x in on), linked, stack[-1][2], stack[-1][3]))
             parts.clear()
         linked = 0
 
@@ -131,19 +132,23 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
                     break
         if more.endswith("/") and name in INLINE:
             continue
-        outside = stack[-1][2] or name in OUTSIDE
+        outside, suspects = stack[-1][2] or name in OUTSIDE, stack[-1][3]
+        number += 1
+        if name == "form":
+            suspects += (number,)
         words: set[str] = set()
         if more and name not in ("html", "body"):
             for a in _NAMES.finditer(more):
                 words.update(re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower()))
-            if name not in ("article", "main") and words & CLUTTER or _HIDDEN.search(more):
+            if name not in ("article", "main", "form") and words & CLUTTER:
+                suspects += (number,)
+            if _HIDDEN.search(more):
                 outside = True
-        number += 1
         if name in ("article", "main") or "main" in words or "articlebody" in words:
             kinds[number] = "article" if name == "article" else "main"
         if name in HEADINGS and any(x[0] == "header" for x in stack) and any(x[0] == "article" for x in stack):
-            outside = any(x[2] for x in stack if x[0] == "article")  # the headline in an article's own header
-        stack.append((name, number, outside))
+            outside, suspects = [x[2:] for x in stack if x[0] == "article"][-1]  # the headline in an article's own header
+        stack.append((name, number, outside, suspects))
     flush()
     return found, kinds
 
@@ -172,10 +177,43 @@ def path_scores(seen: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
+def without_clutter(everything: list[Block], kinds: dict[int, str]) -> list[Block]:
+    """The blocks that lie neither outside nor in clutter.
+
+    A suspect is none if it holds the page's article or main, the one with the highest score, or most of the score
+    of the page while no article or main has a quarter of it elsewhere.
+    """
+    seen = [b for b in everything if not b.outside]
+    if not any(b.suspects for b in seen):
+        return seen
+    scores = path_scores(seen)
+    weights = [scores[b.path] * max(0, len(b.text) - b.linked) for b in seen]
+    total: dict[int, float] = defaultdict(float)  # of articles and mains
+    within: dict[int, float] = defaultdict(float)
+    shared: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    for b, weight in zip(seen, weights, strict=True):
+        marked = [e for e in b.elements if e in kinds]
+        for e in marked:
+            total[e] += weight
+        for suspect in b.suspects:
+            within[suspect] += weight
+            for e in marked:
+                shared[suspect][e] += weight
+    falling, whole, clutter = sorted(total, key=total.__getitem__, reverse=True), sum(weights), set()
+    for suspect, held in within.items():
+        both = shared[suspect]
+        apart = next((total[e] for e in falling if e not in both), 0.0)
+        best = max([apart, *[total[e] - both[e] for e in both]])
+        inner = [both[e] for e in both if e >= suspect]  # numbers grow inwards
+        if not (inner and max(inner) >= best) and not (2 * held > whole and 4 * best < whole):
+            clutter.add(suspect)
+    return [b for b in seen if clutter.isdisjoint(b.suspects)]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, white space inside them as single blanks, joined by \\n; nothing if there are none."""
     everything, kinds = blocks(page or "")
-    seen = [b for b in everything if not b.outside]
+    seen = without_clutter(everything, kinds)
     if not seen:
         return ""
     scores = path_scores(seen)

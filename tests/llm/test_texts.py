@@ -33,6 +33,27 @@ def test_small_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "".join(f"<p>{'Some words of paragraph %d, with points; and more of them. ' % k * 8}</p>" for k in range(8))
+TALK = "<p>Somebody answers, at length and in whole sentences; and others do as well.</p>" * 200
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="content-sidebar-wrap"><main><article>%s</article></main><div class="sidebar"><p>Lost, and more.</p></div></div>',
+        '<div class="page with-sidebar no-header"><main><article>%s</article></main></div>',
+        '<form action="/page"><div><article>%s</article></div></form>',
+        '<div class="share content">%s</div>',
+        '<form><p>Lost, your name and your mail.</p></form><div>%s</div>',
+        f'<article>%s</article><div class="comments">{TALK}</div>',
+        f'<main><article>%s</article><ol class="comment-list">{TALK.replace("<p>", "<li><article><p>").replace("</p>", "</p></article></li>")}</ol></main>',
+    ],
+)
+def test_wrappers_are_no_clutter(body):
+    got = html_extract.main_text(f"<html><body><nav>Menu, and more</nav>{body % LONG}</body></html>")
+    assert got == html_extract.main_text(f"<article>{LONG}</article>") and got.count("\n") == 7
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, PAGE, "u"), (3, "<article>" + "<p>word, word. </p>" * 5000 + "</article>", "u")], "page_id long, html string, Text string")
     got = {r["page_id"]: r for r in html_extract.with_main_text(pages).collect()}

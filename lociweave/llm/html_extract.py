@@ -230,11 +230,14 @@ def main_text(page: str | None) -> str:
         root = max(inner)  # the innermost: numbers grow inwards
         if kinds[root] != "article" or sum(1 for e in kinds if kinds[e] == "article") == 1 or mass[root] >= MASS * whole:
             return "\n".join(b.text for b in seen if root in b.elements)
-    root = max((e for e in mass if mass[e] >= MASS * whole), default=0)
+    pages = {e for b in chosen for e, name in zip(b.elements, b.path, strict=True) if name in ("html", "body")}
+    root = max((e for e in mass if mass[e] >= MASS * whole and e not in pages), default=0)
+    if root:
+        return "\n".join(b.text for b in seen if root in b.elements)
     parents = {b.elements[-2:-1] for b in chosen}
     paths = {b.path for b in chosen}
     return "\n".join(
-        b.text for b in seen if (not root or root in b.elements) and (b.path in paths or b.elements[-2:-1] in parents or b.path[-1:] and b.path[-1] in HEADINGS) and (b.linked <= 0.6 * len(b.text))
+        b.text for b in seen if (b.path in paths or b.elements[-2:-1] in parents or b.path[-1:] and b.path[-1] in HEADINGS) and (b.linked <= 0.6 * len(b.text))
     )
 
 

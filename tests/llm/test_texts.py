@@ -54,6 +54,13 @@ def test_wrappers_are_no_clutter(body):
     assert got == html_extract.main_text(f"<article>{LONG}</article>") and got.count("\n") == 7
 
 
+def test_short_blocks_of_an_unmarked_article_stay():
+    items = "".join(f"<li>twenty-four characters {k}</li>" for k in range(6))
+    page = f"<html><body><div><a href='/'>Home</a></div><div>{LONG}<ul>{items}</ul><table><tr><td>cell</td></tr></table></div><div>end</div></body></html>"
+    got = html_extract.main_text(page).split("\n")
+    assert len(got) == 15 and got[8:] == [f"twenty-four characters {k}" for k in range(6)] + ["cell"]
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, PAGE, "u"), (3, "<article>" + "<p>word, word. </p>" * 5000 + "</article>", "u")], "page_id long, html string, Text string")
     got = {r["page_id"]: r for r in html_extract.with_main_text(pages).collect()}

@@ -193,6 +193,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert 60 < len(held) < 200 and (held["predicted"] == held["toxic"]).mean() > 0.9
 
 
+def test_different_texts_with_a_common_pair_all_train(spark):
+    rows = [(k, f"same words {k} differ") for k in range(40)] + [(k + 40, f"same words {k} differ") for k in range(40)]
+    labels = spark.createDataFrame([(k, 0) for k in range(80)], "doc_id long, toxic int")
+    got = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, "doc_id", "text", "toxic").select("text").collect()
+    known = {r["doc_id"] for r in labels.where(toxicity.remainder(toxicity.F.col("doc_id")) != 0).select("doc_id").collect()}
+    assert sorted(r["text"] for r in got) == sorted({t for k, t in rows if k in known})
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = _labelled(spark, 300)
     other = labels.withColumn("toxic", toxicity.F.when(toxicity.remainder(toxicity.F.col("doc_id")) == 0, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))

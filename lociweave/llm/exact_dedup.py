@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.bloom import flagged
-from lociweave.llm.common import WHITE, written
+from lociweave.llm.bloom import flagged, parted
+from lociweave.llm.common import WHITE, unused, with_groups, written
 
 
 def normalised(text: Column) -> Column:
@@ -26,22 +26,23 @@ def text_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Texts are equal if they are without white space.  Of equal texts the row with the most code points stays, then
     the one with the smallest key (null before all others), then, of rows that agree in both, just one.  A null
-    text counts as empty.
+    text counts as empty.  Columns of docs other than key and text aren't read.  Hashes are written and filters made
+    when this is called.
     """
     code_points = F.length(F.coalesce(F.col(text), F.lit("")))
     narrow = docs.select(F.col(key).alias("id"), F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256)).alias("digest"), code_points.alias("length"))
-    narrow = narrow.withColumn("row", F.monotonically_increasing_id())
-    narrow = written(narrow.withColumn("h", F.xxhash64("digest")))
+    narrow = written(narrow.withColumns({"row": F.monotonically_increasing_id(), "h": F.xxhash64("digest")}))
     probed = flagged(narrow, "h", "again")
-    alone, suspected = probed.where("not again"), written(probed.where("again"))
+    alone, suspected = probed.where("not again"), probed.where("again").select("id", "digest", "length", "row")
     rank = F.struct((-F.col("length")).alias("length"), "id", "row")
     groups = written(suspected.groupBy("digest").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")))
-    grouped = suspected.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "digest")
+    grouped = with_groups(suspected, groups, "digest", "n").select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "digest")
     passed = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     return passed.union(grouped).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay; rows that share a key and a text are one document and stay together."""
-    gone = text_groups(docs, key, text).where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias("__gone"))
-    return docs.join(written(gone), docs[key].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = written(text_groups(docs, key, text).where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias(unused(docs, "__gone"))))
+    passed, suspected = parted(docs, key, gone)
+    return passed.union(suspected.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(gone.columns[0])), "left_anti"))

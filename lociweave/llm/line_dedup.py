@@ -1,8 +1,8 @@
 """Line deduplication with a once-seen and a twice-seen Bloom filter.
 
-The narrow table of line digests never shuffles: it fills the filters with bit positions and is then probed in
-place.  Only lines that the twice-seen filter suspects go through a shuffle, where their digests are counted
-exactly and the smallest document that has them is chosen.
+The narrow table of line digests never shuffles: it fills the filters and is then probed in place.  Only lines that
+the twice-seen filter suspects go through a shuffle, where their digests are counted exactly and the smallest
+document that has them is chosen.  Only texts of documents that lose lines are shuffled, to meet these lines.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.bloom import suspects
-from lociweave.llm.common import WHITE, extended, slices, without, written
+from lociweave.llm.bloom import parted, suspects
+from lociweave.llm.common import WHITE, extended, slices, unused, with_groups, without, written
 
 MIN_LENGTH = 10
 _WHITE = WHITE.encode()
@@ -54,9 +54,9 @@ def line_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """(id, drops): for each document the digests of the lines that a smaller document has as well."""
-    suspected = written(suspects(lines, "h").select("id", "digest"))
-    shared = suspected.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    later = suspected.join(written(shared), "digest").where("id > first")
+    suspected = suspects(lines, "h").select("id", "digest")
+    shared = suspected.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("digest", "first", "n")
+    later = with_groups(suspected, written(shared), "digest", "n").where("id > first")
     return later.groupBy("id").agg(F.collect_set("digest").alias("drops"))
 
 
@@ -67,23 +67,28 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_le
     documents stays only in the one with the smallest key among them, there as often as it occurs; a document is
     what shares a key, however many rows.  Rows with a null key keep all their lines and count for no other row.
     A null or empty text is one empty line; a null text stays null.  Columns named n_lines or n_dropped in docs
-    are replaced.
+    are replaced.  Texts of documents that lose nothing don't move.  Lines are found and written when this is called.
     """
-    docs = without(docs, "n_lines", "n_dropped", "__id", "__drops")
-    drops = written(repeated_lines(written(line_digests(docs, key, text, min_length)))).withColumnsRenamed({"id": "__id", "drops": "__drops"})
-    joined = docs.join(drops, docs[key] == drops["__id"], "left").drop("__id")
+    docs = without(docs, "n_lines", "n_dropped")
+    drops = written(repeated_lines(written(line_digests(docs, key, text, min_length))))
+    whole, cut = parted(docs, key, drops.select("id"))
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lines = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+    whole = whole.withColumns({"n_lines": lines.cast("long"), "n_dropped": F.lit(0).cast("long")})
+    at, gone = unused(docs, "__id"), unused(docs, "__drops")
+    joined = cut.join(drops.select(F.col("id").alias(at), F.col("drops").alias(gone)), F.col(f"`{key}`") == F.col(at), "left").drop(at)
     schema = extended(docs, n_lines="long", n_dropped="long")
     place, width = docs.columns.index(text), len(docs.columns)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, counts, dropped = [], [], []
-            for value, gone in zip(batch.column(place).to_pylist(), batch.column("__drops").to_pylist(), strict=True):
+            for value, lost in zip(batch.column(place).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 lines = (value or "").encode().split(b"\n")
                 counts.append(len(lines))
-                if gone:
-                    gone = set(gone)
-                    kept = [x for x in lines if len(k := line_key(x)) < min_length or _digest(k) not in gone]
+                if lost:
+                    lost = set(lost)
+                    kept = [x for x in lines if len(k := line_key(x)) < min_length or _digest(k) not in lost]
                     value = b"\n".join(kept).decode()
                     dropped.append(len(lines) - len(kept))
                 else:
@@ -93,4 +98,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_le
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(rebuild, schema)
+    return whole.union(joined.mapInArrow(rebuild, schema))

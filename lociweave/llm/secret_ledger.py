@@ -1,19 +1,22 @@
-"""Secret scans over a ledger of content-addressed blobs, with Spark SQL functions only.
+"""Secret scans over a stored ledger of content-addressed blobs, with Spark SQL functions only.
 
-Every version of every path is addressed by the SHA-256 of its text.  A ledger says which rule, in which
-version, has been run over which blob; only pairs that it lacks are scanned, each blob once however many paths
-hold it, and findings are joined back to all paths.
+Every version of every path is addressed by the SHA-256 of its text.  The ledger, a folder of two tables, says which
+rule, in which version, has been run over which blob, and what was found.  Only pairs that it lacks are scanned, each
+blob once however many paths hold it; findings, new and old, are joined back to all paths.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociweave.llm.common import written
+from lociweave.llm.bloom import among, parted
+from lociweave.llm.common import scratch_dir, with_groups, written
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,12 @@ MORE = (
 )
 RULES = BASE + MORE
 
+SEEN, FOUND = "blob binary, rule string", "blob binary, rule string, start int, end int"
+
+
+def address(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
 
 def _matches(text: Column, rule: Rule, pending: Column) -> Column:
     """array<struct<gap, length, ok>> in order: gap is the text between a match and the one before."""
@@ -61,64 +70,112 @@ def _matches(text: Column, rule: Rule, pending: Column) -> Column:
     return F.when(pending & F.regexp_like(text, pattern), zipped)
 
 
-def scan(versions: DataFrame, path: str, text: str, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings, additions to the ledger).
+def _named(rules: tuple[Rule, ...], value) -> Column:
+    return F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.name, value(k, r))])[F.col("rule")]
+
+
+def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(additions, findings): the pairs of blob and rule that seen (blob, rule) lacks, and what scanning them found.
 
-    findings: blob, kind, rank (of the kind in rules), start, end (code points, end exclusive), one row per new
-    finding; additions: blob, rule, one row per pair that was scanned now.  ledger: blob, rule from earlier scans;
-    null for none.  A null text is the empty blob.  The text of a blob is taken from one of the rows that hold it,
-    grouped before and after the shuffle, so that thousands of copies cost one.
+    findings: blob, rule, start, end (code points, end exclusive).  A null text is the empty blob.  A text that one
+    row has is scanned where it lies; of one that several rows have a copy is taken, grouped before and after a
+    shuffle.  With seen, a filter of bounded size over the lacking pairs tells in place which rules a text is for;
+    the few pairs that pass it without being lacking are dropped afterwards.
     """
-    blobs = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
-    names = [r.name for r in rules]
-    if ledger is not None:
-        known = ledger.where(F.col("rule").isin(names)).groupBy("blob").agg(F.collect_set("rule").alias("known"))
-        done = known.where(F.size("known") == len(names)).select("blob")
-        blobs = blobs.join(done, "blob", "left_anti")
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is None:
-        blobs = blobs.withColumn("known", F.array().cast("array<string>"))
-    else:
-        blobs = blobs.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-    pending = [~F.array_contains("known", r.name) for r in rules]
-    each = [
-        F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(k).alias("rank"), p.alias("pending"), _matches(F.col("text"), r, p).alias("matches"))
-        for k, (r, p) in enumerate(zip(rules, pending, strict=True))
-    ]
-    scanned = written(blobs.select("blob", F.explode(F.array(*each)).alias("x")).select("blob", "x.*").where("pending").drop("pending"))
-    one = scanned.where("matches is not null").select("blob", "rule", "kind", "rank", F.posexplode("matches").alias("n", "m"))
-    upto = Window.partitionBy("blob", "rule").orderBy("n")
-    end = F.sum(F.col("m.gap") + F.col("m.length")).over(upto)
-    findings = one.withColumn("end", end).where("m.ok").select("blob", "kind", "rank", (F.col("end") - F.col("m.length")).alias("start"), "end")
-    return findings, scanned.select("blob", "rule")
+    rows = versions.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
+    counts = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+    lacking = counts.select("blob", "n", F.explode(F.array(*[F.lit(r.name) for r in rules])).alias("rule"))
+    if seen is not None:
+        lacking = lacking.join(seen.select("blob", "rule"), ["blob", "rule"], "left_anti")
+    lacking = written(lacking)
+    if seen is not None:
+        rows = parted(rows, "blob", written(lacking.select("blob").distinct()))[1]
+    alone, copies = parted(rows, "blob", written(lacking.where("n > 1").select("blob").distinct()))
+    blobs = alone.select("blob", "text").union(copies.groupBy("blob").agg(F.first("text").alias("text")).select("blob", "text"))
+    pending = [F.lit(True)] * len(rules)
+    if seen is not None:
+        for k, r in enumerate(rules):
+            blobs = among(blobs, "blob", written(lacking.where(F.col("rule") == r.name).select("blob")), f"p{k}")
+        pending = [F.col(f"p{k}") for k in range(len(rules))]
+    each = [F.struct(F.lit(r.name).alias("rule"), _matches(F.col("text"), r, p).alias("matches")) for r, p in zip(rules, pending, strict=True)]
+    scanned = written(blobs.select("blob", F.explode(F.array(*each)).alias("x")).select("blob", "x.*").where("matches is not null"))
+    if seen is not None:
+        scanned = scanned.join(lacking, ["blob", "rule"], "left_semi")
+    one = scanned.select("blob", "rule", F.posexplode("matches").alias("k", "m"))
+    upto = Window.partitionBy("blob", "rule").orderBy("k")
+    end = F.sum(F.col("m.gap") + F.col("m.length")).over(upto).cast("int")
+    findings = one.withColumn("end", end).where("m.ok").select("blob", "rule", (F.col("end") - F.col("m.length")).alias("start"), "end")
+    return lacking.select("blob", "rule"), findings
+
+
+def _stored(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(f"{schema}, batch string").parquet(f"{folder}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def stored(spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(seen, findings) of a ledger; null for both of a new one.
+
+    A batch counts once its pairs are there, which are written last: one that broke off is scanned anew.
+    """
+    seen = _stored(spark, folder, "seen", SEEN)
+    if seen is None:
+        return None, None
+    findings = _stored(spark, folder, "findings", FOUND)
+    return seen, findings.join(F.broadcast(seen.select("batch").distinct()), "batch", "left_semi")  # one row a run of update()
 
 
-def address(text: Column) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
+def update(folder: str, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger in folder lacks and adds it there; returns the added pairs (blob, rule)."""
+    spark = versions.sparkSession
+    seen, _ = stored(spark, folder)
+    added, findings = scan(versions, text, rules, seen)
+    batch = f"b{uuid.uuid4().hex}"
+    findings.write.parquet(f"{folder}/findings/batch={batch}")
+    added.write.parquet(f"{folder}/seen/batch={batch}")
+    return added
 
 
-def findings_by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text", base: tuple[Rule, ...] = BASE) -> DataFrame:
+def findings_by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """Per row of versions: path, n_<kind> for the base kinds, base_sha256 of the base spans and spans, all of them.
 
-    A span is kind:start:end; spans are ordered by start, then by the rank of the kind, and joined by commas.
+    findings: blob, rule, start, end; those of other rules or versions don't count.  A span is kind:start:end; spans
+    are ordered by start, then by the rank of the kind in rules, and joined by commas.
     """
     kinds = [r.kind for r in base]
+    ranked = findings.where(F.col("rule").isin([r.name for r in rules])).select("blob", "start", _named(rules, lambda k, r: k).alias("rank"), "end", _named(rules, lambda k, r: r.kind).alias("kind"))
     spans = F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind")))
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds]
-    per_blob = findings.groupBy("blob").agg(spans.alias("all"), *counts)
-    per_blob = per_blob.select("blob", *[f"n_{k}" for k in kinds], line(F.filter("all", lambda x: x["kind"].isin(kinds))).alias("base"), line(F.col("all")).alias("spans"))
-    held = versions.select(F.col(path), address(F.coalesce(F.col(text), F.lit(""))).alias("blob"))
-    joined = held.join(written(per_blob), "blob", "left")
+    per_blob = ranked.groupBy("blob").agg(spans.alias("all"), *counts)
+    per_blob = written(per_blob.select("blob", *[f"n_{k}" for k in kinds], line(F.filter("all", lambda x: x["kind"].isin(kinds))).alias("base"), line(F.col("all")).alias("spans")))
+    held = versions.select(F.col(f"`{path}`").alias("path"), address(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("blob"))
+    clean, maybe = parted(held, "blob", per_blob.select("blob"))
+    maybe = written(maybe)
+    groups = written(maybe.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).join(per_blob, "blob", "left"))
+    empty = {"n": F.lit(0).cast("long"), **{f"n_{k}": F.lit(0).cast("long") for k in kinds}, "base": F.lit(""), "spans": F.lit("")}
+    joined = clean.withColumns(empty).unionByName(with_groups(maybe, groups, "blob", "n"))
     return joined.select(
-        path,
+        F.col("path").alias(path),
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
 
 
-def scan_documents(docs: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """scan() and findings_by_path() in one; of a ledger's earlier findings the caller keeps the table."""
-    findings, _ = scan(docs, path, text, rules, ledger)
-    return findings_by_path(docs, findings, path, text)
+def scan_documents(docs: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, folder: str | None = None) -> DataFrame:
+    """The findings of every row of docs, by way of the ledger in folder: what it lacks is scanned and added first.
+
+    One row a row of docs, repeated ones too, in the columns of findings_by_path(); other columns aren't read.  A null
+    text is an empty one and has no findings; a null path is returned as it is.  Matches that start at the same place
+    are ordered by the rank of their rule.  Without a folder the ledger is a new one in the shared folder.  The scan
+    runs and the ledger grows when this is called.
+    """
+    spark = docs.sparkSession
+    folder = folder or f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+    update(folder, docs, text, rules)
+    return findings_by_path(docs, stored(spark, folder)[1], path, text, rules)

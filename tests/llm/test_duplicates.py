@@ -163,6 +163,26 @@ def test_few_or_equal_rows(spark, rows):
         assert got.groupby("shard").size().max() <= 4
 
 
+def test_shards_follow_from_the_rows_alone(spark):
+    """Other partitions and another order give the same shards and slots; equal texts stay together; brute force finds the balance."""
+    rng = random.Random(8)
+    schema = "doc_id long, text string, lang string, source string, Size string, shard int"
+    texts = ["x" * rng.randint(0, 400) + str(k) for k in range(700)]
+    rows = [(k, rng.choice(texts), rng.choice(["en", "de", None]), rng.choice(["a", "a", "b"]), "s", 1) for k in range(900)]
+    rows += [(5, "again", "en", "a", None, None)] * 40 + [(None, None, None, None, None, None)] * 3 + [(9000 + k, "hot", "en", "a", "s", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, schema)
+    show = lambda df: sorted(tuple(map(repr, r)) for r in df.collect())
+    found = kd_shard.shard(docs)
+    assert show(found) == show(kd_shard.shard(docs.orderBy(docs["text"].desc()).repartition(7)))
+    at = defaultdict(set)
+    text_of = {r[0]: r[1] for r in rows}
+    for r in found.collect():
+        at[text_of[r["doc_id"]] if r["doc_id"] != 5 or r["size"] != 21 else "again"].add(r["shard"])
+    assert sum(len(x) - 1 for t, x in at.items() if t != "hot") <= 39 and len(at["hot"]) > 1
+    sizes = found.groupBy("shard").agg({"size": "sum"}).toPandas().iloc[:, 1]
+    assert sizes.max() - sizes.min() <= 3 * 420
+
+
 def _jaccard(a, b):
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])

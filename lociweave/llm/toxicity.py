@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import extended, slices, without, written
-from lociweave.llm.toxicity_features import FEATURES, Lexicon, measure, terms
+from lociweave.llm.toxicity_features import FEATURES, Judge, Lexicon, measure, terms
 
 #: The most labelled rows that anything is learned from; which ones, a hash of the key decides.
 MAX_TRAINING_ROWS = 30_000
-#: The most terms of a lexicon, the least log-odds of a term, and the share of toxic texts that must have it.
-MAX_TERMS, WEAK, SUPPORT = 3000, 1.5, 0.003
+#: The least log-odds of a term of a lexicon, and the share of toxic texts that must have it (two texts at least).  All
+#: such terms are taken; there are at most as many as a toxic text has terms on average, divided by SUPPORT.
+WEAK, SUPPORT = 1.5, 0.003
 TREES, DEPTH, STEP = 20, 3, 0.2
 
+
 def remainder(key: Column) -> Column:
     """crc32 of the key as text, mod 5: 0 is held out."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)).cast("int")
@@ -40,12 +42,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(F.col(key)) != 0))
     known = known.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("__key"), "__key").limit(most)
-    rows = docs.join(F.broadcast(known), docs[key] == F.col("__key")).select(remainder(F.col("__key")).alias("part"), "label", F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "__key").select(remainder(F.col("__key")).alias("part"), "label", "text")
     return rows.where("text is not null").groupBy("label", "text").agg(F.min("part").alias("part")).select("part", "label", "text")
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, Lexicon]:
-    """Lexica of parts 1 and 2 ("a"), of parts 3 and 4 ("b"), and of all; the driver gets at most MAX_TERMS terms of each."""
+    """Lexica of parts 1 and 2 ("a"), of parts 3 and 4 ("b"), and of all; the driver gets the terms above WEAK and SUPPORT only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[tuple[str, int, str]] = Counter()
@@ -69,8 +71,8 @@ def learn_lexicon(rows: DataFrame) -> dict[str, Lexicon]:
         toxic, clean = (sum(whole[f"{h}{k}"] for h in halves) for k in (1, 0))
         pos, neg = (sum((F.col(f"{h}{k}") for h in halves), F.lit(0)) for k in (1, 0))
         odds = F.log(((pos + 0.5) / (toxic + 1.0)) / ((neg + 0.5) / (clean + 1.0)))
-        chosen = table.where((F.col("term") != "") & (pos >= max(2.0, SUPPORT * toxic)) & (odds >= WEAK)).select("term", odds.alias("odds"), pos.alias("pos"))
-        for r in chosen.orderBy((-F.col("odds") * F.col("pos")), "term").limit(MAX_TERMS).collect():
+        chosen = table.where((F.col("term") != "") & (pos >= max(2.0, SUPPORT * toxic)) & (odds >= WEAK)).select("term", odds.alias("odds"))
+        for r in chosen.collect():
             if r["term"].endswith("-"):
                 lexica[name].beginnings[r["term"][:-1]] = r["odds"]
             else:
@@ -84,10 +86,10 @@ def with_features(rows: DataFrame, lexicon: dict[str, Lexicon], text: str, by: s
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        judges = {k: Judge(x) for k, x in shared.value.items()}
         for batch in slices(batches):
             names = batch.column(by).to_pylist() if by else ["all"] * batch.num_rows
-            found = [measure(t, known[k]) for t, k in zip(batch.column(text).to_pylist(), names, strict=True)]
+            found = [measure(t, judges[k]) for t, k in zip(batch.column(text).to_pylist(), names, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=schema.names)
 
     return rows.mapInArrow(take, schema)
@@ -140,11 +142,14 @@ def with_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     Learns from labels of keys that aren't held out; scores depend on whole texts alone.  A null or empty text has
     no words and is scored like any other.  A null key counts as held out.  Without labels of both kinds, or
-    documents, the score follows the density of general insults.  Rows are never grouped for scoring; repeated
-    rows get repeated scores.  Columns of these names in docs are replaced.
+    documents, there is nothing to boost and the score is a stopgap, the density of a short list of insults.  Rows are
+    never grouped for scoring; repeated rows get repeated scores.  Columns of these names in docs are replaced.  The
+    model is fitted when this is called.
     """
-    docs = without(docs, "held_out", "score", "predicted", "features")
+    kept = without(docs, "held_out", "score", "predicted")
     model = fit(docs, labels, key, text, label, most)
-    scored = model.score(with_features(docs, {"all": model.lexicon}, text))
-    held = F.coalesce(remainder(F.col(key)) == 0, F.lit(True))
-    return scored.withColumns({"held_out": held, "predicted": (F.col("score") >= 0.5).cast("int")})
+    # plain names inside, so that no column of docs clashes with one of the model
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    scored = model.score(with_features(docs.toDF(*names.values()), {"all": model.lexicon}, names[text]))
+    held = F.coalesce(remainder(F.col(names[key])) == 0, F.lit(True))
+    return scored.select(*[F.col(names[c]).alias(c) for c in kept.columns], held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -226,8 +227,75 @@ def test_toxicity_without_labels(spark):
     assert toxicity.with_scores(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
 
 
-def test_features():
-    lexicon = toxicity_features.Lexicon({"snot": 4.0}, {"vexak": 3.5})
-    f = dict(zip(toxicity_features.FEATURES, toxicity_features.measure("You are sn0t! SNOT vexakorian, so good", lexicon), strict=True))
-    assert f["strong words"] > 0 and f["strong beginnings"] > 0 and f["disguised"] > 0 and f["near second person"] > 0
-    assert len(toxicity_features.measure(None, lexicon)) == len(toxicity_features.FEATURES)
+def _features(text, words_of, beginnings):
+    """Every feature from its definition, over characters and words one by one."""
+    seed, persons = toxicity_features.SEED, toxicity_features.SECOND_PERSON
+    text, words, at = text or "", [], 0
+    joins = "@$*!"
+    letter = lambda c: c.isalnum()
+    while at < len(text):
+        end = at
+        while end < len(text) and (letter(text[end]) or (text[end] in joins and end > at and end + 1 < len(text) and letter(text[end + 1]) and letter(text[end - 1]))):
+            end += 1
+        if end > at:
+            words.append(text[at:end])
+        at = end + 1
+    n, size = max(1, len(words)), max(1, len(text))
+    count = dict.fromkeys(toxicity_features.FEATURES, 0.0)
+    strong = begun = 0
+    hits, people, different = set(), [], set()
+    for k, w in enumerate(words):
+        low = w.lower()
+        odds = words_of.get(low)
+        if odds is None and low not in seed and any(c in "0123456789@$*!" for c in low) and not low.isdigit():
+            count["odd words"] += 100 / n
+            plain = "".join(dict(zip("013457@$!", "oieastasi", strict=True)).get(c, c) for c in low)
+            if plain in words_of or plain in seed:
+                count["disguised"] += 100 / n
+                hits.add(k)
+        first = odds is None and len(low) > 5 and low[:5] in beginnings
+        odds = beginnings[low[:5]] if first else odds
+        if odds is not None:
+            count[f"{'strong' if odds >= 3 else 'weak'} {'beginnings' if first else 'words'}"] += 100 / n
+            strong, begun = strong + (odds >= 3 and not first), begun + (odds >= 3 and first)
+            count["highest odds"], count["odds"] = max(count["highest odds"], odds), count["odds"] + 100 * odds / n
+            if odds >= 3:
+                hits.add(k)
+                different.add(low)
+        if low in seed:
+            count["seed words"] += 100 / n
+            hits.add(k)
+        if low in persons:
+            people.append(k)
+        count["capital words"] += (len(w) > 1 and w.isupper()) / n
+    count |= {"strong count": math.log(1 + strong), "beginning count": math.log(1 + begun), "distinct strong": math.log(1 + len(different)), "length": math.log(1 + len(words))}
+    count["near second person"] = 100 * sum(any(abs(k - p) <= 6 for p in people) for k in hits) / n
+    count["second person"] = 100 * len(people) / n
+    count["capitals"] = sum(c.isupper() for c in text) / max(1, sum(c.isalpha() for c in text))
+    count["exclamations"], count["questions"] = (100 * text.count(c) / size for c in "!?")
+    count["punctuation"] = 100 * sum(not (c.isalnum() or c == "_" or c.isspace()) for c in text) / size
+    runs = re.findall(r"((\w)\2{2,})", text)
+    count["drawn out"] = 100 * sum(len(r[0]) // 3 for r in runs) / n
+    return [count[f] for f in toxicity_features.FEATURES]
+
+
+def test_features_against_brute_force():
+    rng = random.Random(11)
+    words_of, beginnings = {"snot": 4.0, "grumpf": 2.0, "w3ird": 3.5}, {"vexak": 3.5, "mildi": 1.7}
+    parts = ["You", "are", "sn0t!", "SNOT", "vexakorian", "mildish", "MILDISH", "grumpf", "w3ird", "1d1ot", "idiot", "stupid", "good", "ÉCOLE", "ça", "tú", "sooo", "hmmmmmm", "a_b", "x@y", "12", "3rd", "…", "¿", "!", "?!", "日本", "__", "b@d", "ungewöhnlich"]
+    judge = toxicity_features.Judge(toxicity_features.Lexicon(words_of, beginnings), most=12)
+    texts = [None, "", " ", *["".join(rng.choice(parts) + rng.choice([" ", " ", "\n", ", ", ""]) for _ in range(rng.randint(1, 60))) for _ in range(400)], "You idiot! " * 20_000]
+    for text in texts:
+        got, want = toxicity_features.measure(text, judge), _features(text, words_of, beginnings)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True)), (text, [x for x in zip(toxicity_features.FEATURES, got, want, strict=True) if abs(x[1] - x[2]) > 1e-9])
+
+
+def test_toxicity_with_clashing_columns_and_repeated_rows(spark):
+    docs, labels = _labelled(spark, 200)
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "YOU idiot " * 30_000)], docs.schema))
+    more = docs.selectExpr("doc_id", "text", "1 as features", "2 as __vector", "3 as __p", "4 as Score", "5 as __probability", "6 as c1")
+    got = toxicity.with_scores(more, labels)
+    assert got.columns == ["doc_id", "text", "features", "__vector", "__p", "__probability", "c1", "held_out", "score", "predicted"]
+    rows = got.collect()
+    assert len(rows) == 208 and {(r["features"], r["__vector"], r["c1"]) for r in rows} == {(1, 2, 6)}
+    assert len({(r["doc_id"], r["score"]) for r in rows}) == 203

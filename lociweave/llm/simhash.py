@@ -22,18 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociweave.llm.common import slices, written
+from lociweave.llm.bloom import parted
+from lociweave.llm.common import remove, saved, slices, unused, with_groups, written
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 
-#: Wide fingerprints: words of a shingle, least similarity of a link, bits, number of narrow words and bits of each.
-WIDE_SHINGLE, SIMILARITY = 5, 0.8
-BITS, TABLES, WORD_BITS = 512, 300, 26
+#: Wide fingerprints: words of a shingle, least similarity of a link, bits.
+WIDE_SHINGLE, SIMILARITY, BITS = 5, 0.8, 512
+#: The expected share of pairs of just that similarity that share a narrow word; bits of a word beyond those that count the nodes.
+RECALL, SPARE_BITS = 0.984, 8
 #: In a group that shares a word each node meets so many nodes before it.
 BACK = 3
-_PLACES = np.stack([np.random.default_rng(SEED + k).permutation(BITS)[:WORD_BITS] for k in range(TABLES)])
 
 
 def simhash(text: str | None, size: int = SHINGLE) -> int:
@@ -84,26 +85,32 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label) for every end of an edge (a, b): label is the smallest end that can be reached from v.
 
     Each round takes the smallest label among a vertex and its neighbours and then that label's own label, so
-    the rounds grow with the logarithm of the longest chain.  Every round is a written table.
+    the rounds grow with the logarithm of the longest chain.  Every round is a written table; those of earlier rounds
+    are deleted.
     """
-    both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")))
-    labels = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
+    spark = edges.sparkSession
+    both, held = saved(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")))
+    labels, last = saved(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        lower = written(labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        lower, between = saved(labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old")))
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        labels = written(lower.join(jump, "label").select("v", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("moved")))
+        moved = lower.join(jump, "label").select("v", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("moved"))
+        labels, now = saved(moved)
+        remove(spark, [last, between])
+        last = now
         if labels.where("moved").isEmpty():
+            remove(spark, [held])
             return labels.select("v", "label")
 
 
 def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component_id) for every fp of nodes (fp, first): the smallest first that edges reach."""
+    """(fp, component_id, times) for every fp of nodes (fp, first, times): the smallest first that edges reach."""
     labels = components(edges)
-    nodes = nodes.join(labels, nodes["fp"] == labels["v"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    nodes = nodes.join(labels, nodes["fp"] == labels["v"], "left").select("fp", "first", "times", F.coalesce("label", "fp").alias("label"))
     nodes = written(nodes)
-    least = written(nodes.groupBy("label").agg(F.min("first").alias("component_id")))
-    return written(nodes.join(least, "label").select("fp", "component_id"))
+    least = written(nodes.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return written(with_groups(nodes, least, "label", "n").select("fp", "component_id", "times"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -113,11 +120,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     can be reached by links of at most radius differing bits, itself included.  Null and wordless texts have
     fingerprint zero and link like any other; a null key is larger than none, so it is a component_id only where
     all keys are null.  Rows that repeat are returned as often.  Copies, however many, meet as one fingerprint.
+    Columns of docs other than key and text aren't read.  Fingerprints, links and components are made and written when
+    this is called.
     """
     rows = written(fingerprints(docs, key, text, size))
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")))
     named = _named(nodes, links(nodes, radius))
-    return rows.join(named, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return with_groups(rows, named, "fp", "times").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
@@ -165,30 +174,51 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return narrow.mapInArrow(digest, f"id {dict(docs.dtypes)[key]}, fp long, n long, wide array<long>")
 
 
+def agreement(similarity: float) -> float:
+    """The share of bits in which wide fingerprints of two sets of this Jaccard similarity agree."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def word_places(nodes: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """The places of the bits of each narrow word, one row a word.
+
+    Words get a bit more each time the nodes double, so that unlike nodes keep sharing few, and there are as many as
+    RECALL asks for: 300 words of 26 bits for 2^18 nodes, a sixth more with each doubling.
+    """
+    bits = SPARE_BITS + max(1, nodes).bit_length()
+    tables = math.ceil(math.log(1 - RECALL) / math.log1p(-(agreement(similarity) ** bits)))
+    return np.stack([np.random.default_rng(SEED + k).permutation(BITS)[:bits] for k in range(tables)])
+
+
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b) of nodes (fp, n, wide) that share a narrow word and may be so similar by their sizes and wide fingerprints.
+    """(a, b, shared), once each: pairs of nodes (fp, n, wide) that meet in groups that share a narrow word, and in how many.
 
-    A group that shares a word is gone through in the order of fp, which is the same for all words, so that a
-    large family of near copies meets in few different pairs.
+    A group is gone through in the order of fp, which is the same for all words, so that a large family of near
+    copies meets in few different pairs.
     """
+    places = word_places(nodes.count(), similarity)
+    tables, width = places.shape
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = (1 << np.arange(WORD_BITS, dtype=np.int32)).astype(np.int32)
-        table = np.arange(TABLES, dtype=np.int64) << WORD_BITS
+        weight, table = 1 << np.arange(width, dtype=np.int64), np.arange(tables, dtype=np.int64) << width
         for batch in slices(batches, 256):
             wide = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(batch.num_rows, BITS // 64)
             bits = np.unpackbits(wide.view(np.uint8), axis=1)
-            words = table + np.stack([bits[:, p] @ weight for p in _PLACES], axis=1)
+            words = table + np.stack([bits[:, p] @ weight for p in places], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(words), pa.list_(pa.int64()))], names=["fp", "words"])
 
     emitted = nodes.where("n > 0").select("fp", "wide").mapInArrow(split, "fp long, words array<long>").select("fp", F.explode("words").alias("word"))
     group = Window.partitionBy("word").orderBy("fp")
     before = emitted.select(F.array_compact(F.array(*[F.lag("fp", k).over(group) for k in range(1, BACK + 1)])).alias("before"), F.col("fp").alias("b"))
-    pairs = before.where("size(before) > 0").select(F.explode("before").alias("a"), "b").distinct()
+    return before.where("size(before) > 0").select(F.explode("before").alias("a"), "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) that may be so similar by their sizes and wide fingerprints."""
     one = nodes.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
     other = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
     # halfway between the share of bits that such a pair and that an unrelated one differs in
-    most = BITS * (0.5 + math.acos(2 * similarity / (1 + similarity)) / math.pi) / 2
+    most = BITS * (0.5 + 1 - agreement(similarity)) / 2
     apart = sum((F.bit_count(F.get("wide_a", F.lit(k)).bitwiseXOR(F.get("wide_b", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
     near = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (apart <= most)
     return pairs.join(one, "a").join(other, "b").where(near).select("a", "b")
@@ -202,37 +232,57 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(fp, grams): the shingles of all that pairs (a, b) name; texts that stand for others aren't touched."""
+    wanted = written(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    ids = written(nodes.join(wanted, "fp", "left_semi").select("first"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
+            fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["fp", "grams"])
+
+    narrow = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    held = parted(narrow, "id", ids)[1].select("text").mapInArrow(grams, "fp long, grams array<long>")
+    # keys that pass the filter by chance, or that stand at other texts too, go here
+    return written(held.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")))
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id) for every row of docs: components of links between texts whose sets of shingles are so similar (Jaccard).
 
-    Every link is exact; a pair can be missed if it shares none of the words.  Texts with the same set of shingles
-    always link, as do all null and wordless texts.  Null and repeated keys are as for near_duplicates().
+    Every link is exact; a pair can be missed if it doesn't meet in a word.  Each node is first verified with the
+    one it meets most often, and then all pairs whose ends that has left apart; pairs inside a component would change
+    nothing.  Texts with the same set of shingles always link, as do all null and wordless texts.  Null and repeated
+    keys, and other columns, are as for near_duplicates().
     """
     rows = written(wide_fingerprints(docs, key, text, size))
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("wide").alias("wide")))
     pairs = written(candidates(nodes, similarity))
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    ids = nodes.join(wanted, "fp", "left_semi").select(F.col("first").alias("__id"))
-    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
-            fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["fp", "grams"])
+    def linked(some: DataFrame) -> DataFrame:
+        near = written(plausible(some, nodes, similarity))
+        return written(verified(near, shingle_sets(docs, nodes, near, key, text, size), similarity))
 
-    held = narrow.join(ids, narrow["id"].eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(grams, "fp long, grams array<long>")
-    # a key may stand at other texts too
-    sets = written(held.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")))
-    named = _named(nodes.select("fp", "first"), written(verified(pairs, sets, similarity)))
-    return rows.join(named, "fp").select(F.col("id").alias(key), "component_id")
+    edges = linked(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")))
+    labels = components(edges)
+    of = lambda side: labels.select(F.col("v").alias(side), F.col("label").alias(f"label_{side}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+    edges = edges.unionByName(linked(apart.select("a", "b")))
+    named = _named(nodes.select("fp", "first", "times"), edges)
+    return with_groups(rows.select("id", "fp"), named, "fp", "times").select(F.col("id").alias(key), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay if one document of each component does, the one with the smallest key.
 
-    found: (key, component_id); near_duplicates() if null.
+    found: (key, component_id); near_duplicates() if null.  A key with several texts stays if one of them does.
+    Documents that no filter suspects of having to go don't move.
     """
     found = near_duplicates(docs, key, text) if found is None else found
-    stays = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__stays")).distinct()
-    return docs.join(stays, docs[key].eqNullSafe(F.col("__stays")), "left_semi")
+    stays = F.bool_or(F.col("key").eqNullSafe(F.col("component_id")))
+    gone = found.select(F.col(f"`{key}`").alias("key"), "component_id").groupBy("key").agg(stays.alias("stays")).where("not stays")
+    gone = written(gone.select(F.col("key").alias(unused(docs, "__gone"))))
+    passed, suspected = parted(docs, key, gone)
+    return passed.union(suspected.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(gone.columns[0])), "left_anti"))

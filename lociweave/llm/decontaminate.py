@@ -7,7 +7,6 @@ each phrase occurs, sampled suffix positions say where, and overlapping occurren
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import repeat
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import extended, slices, without
+from lociweave.llm.common import extended, slices, without, written
 from lociweave.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -25,8 +24,9 @@ WINDOW = 13
 ONE_IN = 20
 #: Documents whose stretches share an index, and words of a passage beyond the overlap of WINDOW - 1.
 SHARD_ROWS, PASSAGE = 2048, 64
-#: Benchmark text that executors get at a time; a larger benchmark is searched for in blocks, one after the other.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text that the driver and executors have at a time; a larger benchmark is searched for in blocks, one after
+#: the other, each block's result written before the next is read.
+BLOCK_BYTES = 4 << 20
 
 #: Bytes of words stay, A-Z in lower case, all others become blanks; in UTF-8 every byte beyond ASCII is of a word.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -122,7 +122,7 @@ def search(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tu
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, not more than about block_bytes of them at a time on the driver."""
+    """The items in blocks of about block_bytes; the driver has one at a time."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
     held = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, math.ceil(held / block_bytes))
@@ -140,7 +140,8 @@ def with_hits(
     contaminated: n_hit > 0 and one_in * n_hit >= n_words.  A window has so many consecutive words of an item, or
     all of a shorter one.  Null and empty texts have no words, on either side; a null item id is the empty string;
     an empty benchmark hits nothing.  Rows are never grouped and nothing shuffles; repeated rows give repeated
-    results.  Columns of these names in docs are replaced.
+    results.  Columns of these names in docs are replaced.  A benchmark of several blocks is searched for, but for the
+    last of them, when this is called.
     """
     added = {"n_words": "long", "n_hit": "long", "spans": "array<struct<`start`:int,`end`:int>>", "items": "array<string>", "contaminated": "boolean"}
     out = without(docs, *added)
@@ -148,7 +149,9 @@ def with_hits(
     schema = extended(out, **added)
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.bool_()]
     context = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    for nth, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+        if nth:
+            out = written(out)  # so that a task has the phrases of one block only
         shared = context.broadcast(Phrases(block, window))
 
         def hit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,3 @@ def with_hits(
 
         out = out.mapInArrow(hit, schema)
     return out
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

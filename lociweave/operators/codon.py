@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,35 +20,19 @@ def translate_cds(records: DataFrame, table: int = 1) -> DataFrame:
     return records.where(F.length("seq") > 2).select(*KEY, F.array_join(F.transform(units, residue), "").alias("seq"))
 
 
-def _fill(aligned: str, cds: str) -> str:
-    at, out = 0, []
-    for ch in aligned:
-        if ch == "-":
-            out.append("---")
-        else:
-            out.append(cds[at : at + 3])
-            at += 3
-    return "".join(out)
-
-
 def back_translate(protein: DataFrame, cds: DataFrame) -> DataFrame:
     """Aligned residues replaced by the triplets of the sequence they come from: the k-th residue by the k-th triplet, - by ---.
 
     Joined by locus and seq_id; records of one side only, or with a different number of residues and triplets,
-    are left out and reported by back_translation_faults.  The walk along a record is a small Arrow function: built-in
-    functions have no running index inside a string, and one row per residue would have to be shuffled and sorted.
+    are left out and reported by back_translation_faults.  The residues cut an aligned row into one more run of gaps
+    than there are triplets; runs and triplets are zipped within the row.
     """
     p = protein.select(*KEY, F.col("seq").alias("aligned"))
     c = cds.select("locus", "seq_id", F.col("seq").alias("cds"))
     both = p.join(c, ["locus", "seq_id"]).where(F.length(F.replace("aligned", F.lit("-"), F.lit(""))) == F.floor(F.length("cds") / 3))
-
-    def fill(batches):
-        for b in batches:
-            seqs = [_fill(a, x) for a, x in zip(b.column("aligned").to_pylist(), b.column("cds").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in KEY] + [pa.array(seqs, pa.string())], names=[*KEY, "seq"])
-
-    kinds = dict(both.dtypes)
-    return both.mapInArrow(fill, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", seq string")
+    gaps = F.split(F.replace("aligned", F.lit("-"), F.lit("---")), "[^-]", -1)
+    filled = F.zip_with(gaps, codons(F.col("cds")), lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
+    return both.select(*KEY, F.array_join(filled, "").alias("seq"))
 
 
 def back_translation_faults(protein: DataFrame, cds: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.genetic_code import is_stop
 from lociweave.functions.sequences import DNA, PROTEIN, characters, codons, occurrences, ratio
-from lociweave.model import cells, check_ratio, check_seqtype, codon_cells
-from lociweave.operators.sites import column_gaps, site_classes_qc
+from lociweave.model import check_ratio, check_seqtype
+from lociweave.operators.sites import site_profile
 
 
 @dataclass(frozen=True)
@@ -34,33 +34,42 @@ class Gate:
             raise ValueError("length and site thresholds must not be negative")
 
 
-def alignment_summary(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
-    """Per locus: sequences, common length (0 if lengths differ) and ratios of gaps, missing and ambiguous characters.
-
-    The ambiguous ratio is of N among characters (nucl), of X (prot), or of triplets with an N (codon).
-    """
-    check_seqtype(seqtype)
-    seq = F.upper("seq")
+def _summary(seqtype: str) -> list[Column]:
+    seq, length = F.upper("seq"), F.length("seq")
     if seqtype == "codon":
         triplets = codons(F.translate(seq, "U", "T"))
         bad, all_ = F.sum(F.size(F.filter(triplets, lambda c: F.contains(c, F.lit("N"))))), F.sum(F.size(triplets))
     else:
-        bad, all_ = F.sum(occurrences(seq, "X" if seqtype == "prot" else "N")), F.sum(F.length("seq"))
-    total = F.sum(F.length("seq"))
-    return records.groupBy("locus").agg(
+        bad, all_ = F.sum(occurrences(seq, "X" if seqtype == "prot" else "N")), F.sum(length)
+    total = F.sum(length)
+    return [
         F.count(F.lit(1)).alias("sequence_count"),
-        F.when(F.min(F.length("seq")) == F.max(F.length("seq")), F.max(F.length("seq"))).otherwise(0).cast("long").alias("alignment_length"),
+        F.when(F.min(length) == F.max(length), F.max(length)).otherwise(0).cast("long").alias("alignment_length"),
         ratio(F.sum(occurrences(seq, "-")), total).alias("gap_ratio"),
         ratio(F.sum(occurrences(seq, "?")), total).alias("missing_ratio"),
         ratio(bad, all_).alias("x_ratio" if seqtype == "prot" else "n_ratio"),
-    )
+    ]
+
+
+def alignment_summary(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
+    """Per locus: sequences, common length (0 if lengths differ) and ratios of gaps, missing and ambiguous characters.
+
+    The ambiguous ratio is of N among characters (nucl), of X (prot), or of triplets with an N (codon).
+    """
+    check_seqtype(seqtype)
+    return records.groupBy("locus").agg(*_summary(seqtype))
+
+
+def _foreign(seqtype: str) -> Column:
+    """The characters of a sequence outside the alphabet, sorted."""
+    allowed = PROTEIN if seqtype == "prot" else DNA
+    return F.array_join(F.array_sort(F.array_distinct(characters(F.translate(F.upper("seq"), allowed, "")))), "")
 
 
 def sequence_stats(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
     """Per record: length, counts and ratios of -, ?, N and X, and the characters outside the alphabet, sorted."""
     seq, n = F.upper("seq"), F.length("seq").cast("long")
-    allowed = F.array(*[F.lit(c) for c in (PROTEIN if seqtype == "prot" else DNA)])
-    out = records.select("locus", "record_order", "seq_id", n.alias("length"), *[occurrences(seq, c).alias(f"{k}_count") for k, c in (("gap", "-"), ("missing", "?"), ("n", "N"), ("x", "X"))], F.array_join(F.array_sort(F.array_except(characters(seq), allowed)), "").alias("invalid"))
+    out = records.select("locus", "record_order", "seq_id", n.alias("length"), *[occurrences(seq, c).alias(f"{k}_count") for k, c in (("gap", "-"), ("missing", "?"), ("n", "N"), ("x", "X"))], _foreign(seqtype).alias("invalid"))
     return out.select("*", *[ratio(F.col(f"{k}_count"), F.col("length")).alias(f"{k}_ratio") for k in ("gap", "missing", "n", "x")])
 
 
@@ -71,29 +80,36 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 
 def _joined(pairs: Column) -> Column:
     """Ordered (at, what) structs as at-what;at-what, null if there are none."""
-    text = F.array_join(F.transform(F.sort_array(pairs), lambda x: F.concat_ws("-", x["at"], x["what"])), ";")
+    text = F.array_join(F.transform(pairs, lambda x: F.concat_ws("-", x["at"], x["what"])), ";")
     return F.when(F.size(pairs) > 0, text)
 
 
+def _with_stops(records: DataFrame, seqtype: str, table: int) -> DataFrame:
+    """records with stops, the (at, what) of all stops in order, and last, the place of the last occupied unit; within the row.
+
+    Codon records whose length isn't divisible by three have none.
+    """
+    if seqtype == "codon":
+        units, empty, stop = codons(F.translate(F.upper("seq"), "U", "T")), ("---", "???"), lambda c: is_stop(c, table)
+        units = F.when(F.length("seq") % 3 == 0, units).otherwise(F.array().cast("array<string>"))
+    else:
+        units, empty, stop = characters(F.upper("seq")), ("-", "?"), lambda c: c == "*"
+    with_units = records.withColumn("__units", units)
+    found = F.array_compact(F.transform("__units", lambda c, i: F.when(stop(c), F.struct((i + 1).alias("at"), c.alias("what")))))
+    last = F.array_max(F.transform("__units", lambda c, i: F.when(~c.isin(*empty), i + 1)))
+    return with_units.withColumns({"stops": found, "last": last}).drop("__units")
+
+
 def stop_findings(records: DataFrame, seqtype: str = "codon", table: int = 1) -> DataFrame:
     """(locus, record_order, seq_id, terminal_stop, internal_stops) of the records with a stop, positions from 1.
 
     The last triplet but --- and ??? (the last residue but - and ?) is the terminal one.  Codon records whose length
-    isn't divisible by three aren't looked at.  Dual-coding codons are not stops.
+    isn't divisible by three aren't looked at.  Dual-coding codons are not stops.  Nothing shuffles.
     """
-    key = ["locus", "record_order", "seq_id"]
-    if seqtype == "codon":
-        units = codon_cells(records.where(F.length("seq") % 3 == 0)).withColumnsRenamed({"site": "at", "codon": "what"})
-        occupied, stop = ~F.col("what").isin("---", "???"), is_stop(F.col("what"), table)
-    else:
-        units = cells(records, "prot").withColumnsRenamed({"pos": "at", "ch": "what"})
-        occupied, stop = ~F.col("what").isin("-", "?"), F.col("what") == "*"
-    marked = units.withColumns({"stop": stop, "occupied": occupied}).where("occupied")
-    last = F.max_by("at", "at")
-    found = marked.groupBy(*key).agg(last.alias("last"), F.collect_list(F.when(F.col("stop"), F.struct("at", "what"))).alias("stops")).where(F.size("stops") > 0)
+    found = _with_stops(records, seqtype, table).where(F.size("stops") > 0)
     terminal = F.filter("stops", lambda x: x["at"] == F.col("last"))
     inner = F.filter("stops", lambda x: x["at"] != F.col("last"))
-    return found.select(*key, F.get(terminal, F.lit(0))["what"].alias("terminal_stop"), _joined(inner).alias("internal_stops"))
+    return found.select("locus", "record_order", "seq_id", F.get(terminal, F.lit(0))["what"].alias("terminal_stop"), _joined(inner).alias("internal_stops"))
 
 
 def reasons(records: DataFrame, gate: Gate = Gate(), audited_internal: DataFrame | None = None) -> DataFrame:
@@ -102,16 +118,25 @@ def reasons(records: DataFrame, gate: Gate = Gate(), audited_internal: DataFrame
     audited_internal: a column locus, of loci where preprocessing has masked internal stops.
     """
     seqtype = gate.seqtype
-    summary = alignment_summary(records, seqtype)
-    stats = sequence_stats(records, seqtype)
+    check_seqtype(seqtype)
     whole = F.size(F.filter(codons(F.upper("seq")), lambda c: F.contains(c, F.lit("-")) & (c != "---"))) == 0
-    frames = records.groupBy("locus").agg(F.bool_or(~((F.length("seq") % 3 == 0) & whole)).alias("frame_error"))
-    bad = stats.groupBy("locus").agg(F.bool_or(F.col("invalid") != "").alias("invalid"), F.bool_or(F.col("length") == 0).alias("empty"))
-    twice = duplicate_ids(records).select("locus", F.lit(True).alias("twice")).distinct()
-    joined = summary.join(bad, "locus").join(twice, "locus", "left")
+    found = {
+        "invalid": F.bool_or(F.length(F.translate(F.upper("seq"), PROTEIN if seqtype == "prot" else DNA, "")) > 0),
+        "empty": F.bool_or(F.length("seq") == 0),
+        "mismatch": F.min(F.length("seq")) != F.max(F.length("seq")),
+        "twice": F.count(F.lit(1)) > F.count_distinct(F.struct("seq_id")),
+    }
+    if seqtype == "codon":
+        found["frame_error"] = F.bool_or(~((F.length("seq") % 3 == 0) & whole))
+    if seqtype != "nucl":
+        stops = _with_stops(records, seqtype, gate.table)
+        found["ends"] = F.bool_or(F.exists("stops", lambda x: x["at"] == F.col("last")))
+        found["within"] = F.bool_or(F.exists("stops", lambda x: x["at"] != F.col("last")))
+    summary = _summary(seqtype)
+    # one pass over records and one over cells, both dealt by locus in the end
+    joined = (stops if seqtype != "nucl" else records).groupBy("locus").agg(*summary, *[c.alias(n) for n, c in found.items()])
+    joined = joined.join(site_profile(records, seqtype), "locus", "left")
     aligned = F.col("alignment_length") > 0
-    sites = site_classes_qc(records, seqtype).join(column_gaps(records, seqtype), "locus")
-    joined = joined.join(sites, "locus", "left")
     tests = {
         "duplicate_ids": F.col("twice"),
         "invalid_characters": F.col("invalid"),
@@ -122,17 +147,12 @@ def reasons(records: DataFrame, gate: Gate = Gate(), audited_internal: DataFrame
         "short_alignment": F.floor(F.col("alignment_length") / (3 if seqtype == "codon" else 1)) < gate.min_length,
         "parsimony_informative_sites": F.when(aligned, F.col("parsimony_informative_sites")).otherwise(0) < gate.min_informative,
     }
-    mismatch = records.groupBy("locus").agg((F.min(F.length("seq")) != F.max(F.length("seq"))).alias("mismatch"))
-    joined = joined.join(mismatch, "locus")
     if seqtype == "prot":
         tests["X_ratio"] = F.col("x_ratio") > gate.max_x_ratio
     else:
         tests["N_ratio"] = F.col("n_ratio") > gate.max_n_ratio
     if seqtype != "nucl":
-        stops = stop_findings(records, seqtype, gate.table)
-        stops = stops.groupBy("locus").agg(F.bool_or(F.col("terminal_stop").isNotNull()).alias("ends"), F.bool_or(F.col("internal_stops").isNotNull()).alias("within"))
-        joined = joined.join(stops, "locus", "left")
-        within = F.coalesce("within", F.lit(False))
+        within = F.col("within")
         if audited_internal is not None:
             joined = joined.join(audited_internal.select("locus", F.lit(True).alias("audited")).distinct(), "locus", "left")
             within = within | F.coalesce("audited", F.lit(False))
@@ -141,11 +161,10 @@ def reasons(records: DataFrame, gate: Gate = Gate(), audited_internal: DataFrame
         if not gate.allow_internal_stop:
             tests["internal_stop"] = within
     if seqtype == "codon":
-        joined = joined.join(frames, "locus")
         tests["frame_error"] = F.col("frame_error")
     failed = F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests.items()])))
     zero = ["constant_sites", "variable_sites", "parsimony_informative_sites", "singleton_sites"]
-    return joined.select(*summary.columns, *[F.when(aligned, F.col(c)).otherwise(0).alias(c) for c in zero], failed.alias("reasons"))
+    return joined.select("locus", "sequence_count", "alignment_length", "gap_ratio", "missing_ratio", "x_ratio" if seqtype == "prot" else "n_ratio", *[F.when(aligned, F.col(c)).otherwise(0).alias(c) for c in zero], failed.alias("reasons"))
 
 
 def qc_gate(records: DataFrame, gate: Gate = Gate(), audited_internal: DataFrame | None = None) -> DataFrame:

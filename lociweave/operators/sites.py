@@ -16,25 +16,42 @@ def _total(columns: list[Column]) -> Column:
     return reduce(add, columns)
 
 
+def _state_sums(states: str) -> list[Column]:
+    """From counts n_<state> of a column: resolved states, those that occur twice or more, and those that occur once."""
+    each = [F.col(f"n_{s}") for s in states]
+    return [_total([test(c).cast("int") for c in each]).alias(name) for name, test in (("n_states", lambda c: c > 0), ("n_twice", lambda c: c > 1), ("n_once", lambda c: c == 1))]
+
+
 def site_counts(records: DataFrame, seqtype: str, states: str) -> DataFrame:
-    """(locus, pos, n_states, n_twice, n_once, least): resolved states in a column, those that occur twice or once, the rarest one's count."""
+    """(locus, pos, n_states, n_twice, n_once): resolved states in a column, those that occur twice or once."""
     counted = cells(records, seqtype).groupBy("locus", "pos").agg(*[F.count_if(F.col("ch") == s).alias(f"n_{s}") for s in states])
-    each = [F.col(f"n_{s}") for s in states]
-    return counted.select(
-        "locus", "pos", _total([(c > 0).cast("int") for c in each]).alias("n_states"), _total([(c > 1).cast("int") for c in each]).alias("n_twice"), _total([(c == 1).cast("int") for c in each]).alias("n_once")
-    )
+    return counted.select("locus", "pos", *_state_sums(states))
 
 
-def site_classes_qc(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
-    """Per locus: constant (one state or none), variable, parsimony informative (two states twice) and singleton sites."""
-    s = site_counts(records, seqtype, PROTEIN_STATES_QC if seqtype == "prot" else DNA_STATES)
+def _classes_qc() -> list[Column]:
     variable, informative = F.col("n_states") > 1, F.col("n_twice") > 1
-    return s.groupBy("locus").agg(
+    return [
         F.count_if(~variable).alias("constant_sites"),
         F.count_if(variable).alias("variable_sites"),
         F.count_if(variable & informative).alias("parsimony_informative_sites"),
         F.count_if(variable & ~informative & (F.col("n_once") > 0)).alias("singleton_sites"),
-    )
+    ]
+
+
+def _states_qc(seqtype: str) -> str:
+    return PROTEIN_STATES_QC if seqtype == "prot" else DNA_STATES
+
+
+def site_classes_qc(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
+    """Per locus: constant (one state or none), variable, parsimony informative (two states twice) and singleton sites."""
+    return site_counts(records, seqtype, _states_qc(seqtype)).groupBy("locus").agg(*_classes_qc())
+
+
+def site_profile(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
+    """site_classes_qc() and column_gaps() from one pass over the cells."""
+    states = _states_qc(seqtype)
+    counted = cells(records, seqtype).groupBy("locus", "pos").agg(*[F.count_if(F.col("ch") == s).alias(f"n_{s}") for s in states], _gap_ratio())
+    return counted.select("locus", *_state_sums(states), "gap_ratio").groupBy("locus").agg(*_classes_qc(), *_gap_sums())
 
 
 def site_classes_report(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
@@ -50,16 +67,27 @@ def site_classes_report(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
 
 
 def distinct_patterns(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
-    """Per locus how many different columns there are, all symbols counting."""
-    column = F.array_join(F.sort_array(F.collect_list(F.struct("record_order", "ch")))["ch"], "")
-    patterns = cells(records, seqtype).groupBy("locus", "pos").agg(column.alias("pattern"))
-    return patterns.groupBy("locus").agg(F.countDistinct("pattern").alias("distinct_patterns"))
+    """Per locus how many different columns there are, all symbols counting.
+
+    A column is known by 128 bits that its cells, each hashed with its place in two ways, give together in any order:
+    no column is collected or sorted.
+    """
+    marks = [F.bit_xor(F.xxhash64("record_order", "ch", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    patterns = cells(records, seqtype).groupBy("locus", "pos").agg(*marks)
+    return patterns.groupBy("locus", "h0", "h1").agg(F.lit(1).alias("one")).groupBy("locus").agg(F.count(F.lit(1)).alias("distinct_patterns"))
+
+
+def _gap_ratio() -> Column:
+    return (F.count_if(F.col("ch") == "-") / F.count(F.lit(1))).alias("gap_ratio")
+
+
+def _gap_sums() -> list[Column]:
+    return [F.max("gap_ratio").alias("max_gap_ratio"), F.count_if(F.col("gap_ratio") == 1).alias("full_gap_columns")]
 
 
 def column_gaps(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
     """Per locus: the highest gap ratio of a column, and how many columns are nothing but gaps."""
-    gaps = cells(records, seqtype).groupBy("locus", "pos").agg((F.count_if(F.col("ch") == "-") / F.count(F.lit(1))).alias("gap_ratio"))
-    return gaps.groupBy("locus").agg(F.max("gap_ratio").alias("max_gap_ratio"), F.count_if(F.col("gap_ratio") == 1).alias("full_gap_columns"))
+    return cells(records, seqtype).groupBy("locus", "pos").agg(_gap_ratio()).groupBy("locus").agg(*_gap_sums())
 
 
 def valid_codon_sites(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Alignments, orthogroups and edits made from the general tables, whole tables and whole texts, in Spark and in SQL.
 
 Every document is a locus.  Its letters, in order, are dealt to TAXA rows of equal length, the last one filled up
-with gaps, and each letter is mapped to a symbol.
+with gaps, and each letter is mapped to a symbol, those beyond A to Z as an n.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, sf_dir: str, unit: int) -> DataFrame:
-    letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    letters = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]", ""), "[^A-Za-z]", "n"))
     docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("locus"), letters.alias("letters"))
     docs = docs.withColumn("n", F.expr(f"cast(greatest(1, ceil(length(letters) / {TAXA * unit}D)) * {unit} as int)"))
     docs = docs.withColumn("record_order", F.explode(F.sequence(F.lit(0), F.lit(TAXA - 1))))
@@ -82,7 +82,7 @@ def _records_sql(symbols: str, unit: int) -> str:
 dealt as (
   select locus, i as record_order, 'sp' || i as seq_id, letters, n, substr(letters, i * n + 1, n) as own
   from (select *, (greatest(1, ceil(length(letters) / {TAXA * unit}.0)) * {unit})::int as n
-        from (select doc_id as locus, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as letters from documents)) s,
+        from (select doc_id as locus, lower(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g'), '[^A-Za-z]', 'n', 'g')) as letters from documents)) s,
        (select unnest(range({TAXA}))::int as i) t),
 records as (select locus, record_order, seq_id, rpad(translate(own, '{ABC}', '{symbols}'), n, '-') as seq from dealt)"""
 

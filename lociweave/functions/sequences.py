@@ -62,9 +62,19 @@ def taxon_from_label(label: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(label, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+#: Fixed values, a convention of file names: who aligned a locus, as what, and the end of the name.
+ALIGNERS, ALIGNED_AS, ALIGNED_END = ("mafft", "muscle", "clustalw2", "prank", "macse"), ("nucl", "codon", "prot"), r"(?:\.trimmed)?\.aln\.fasta$"
+_ALIGNED = rf"\.(?:{'|'.join(ALIGNERS)})\.(?:{'|'.join(ALIGNED_AS)}){ALIGNED_END}"
+
+
+def input_key(path: Column, digits: int = 10) -> Column:
+    """The stem of a file name, and the beginning of the SHA-256 of its path."""
+    return F.concat_ws("_", taxon_from_label(path), F.substring(F.sha2(path.cast("binary"), 256), 1, digits))
+
+
 def partition_name(path: Column) -> Column:
     """A charset name from a file name: an aligner's suffix goes, anything but ASCII letters and digits becomes _."""
-    name = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.(?:mafft|muscle|clustalw2|prank|macse)\.(?:nucl|codon|prot)(?:\.trimmed)?\.aln\.fasta$", "")
+    name = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), _ALIGNED, "")
     name = F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
     return F.when(name.rlike("^[A-Za-z]"), name).otherwise(F.concat(F.lit("gene_"), name))
 
@@ -74,8 +84,8 @@ def locus_key(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     for pattern in (
         r"^(.+)\.macse_original\.(?:NT|AA)\.(?:fasta|fa)$",
-        r"^(.+)\.(?:mafft|muscle|prank|clustalw2|macse)\.(?:nucl|codon|prot)(?:\.trimmed)?\.aln\.fasta$",
-        r"^(.+?)(?:\.trimmed)?\.aln\.fasta$",
+        rf"^(.+){_ALIGNED}",
+        rf"^(.+?){ALIGNED_END}",
         r"^(.+)\.[^.]*$",
     ):
         name = F.when(name.rlike(pattern), F.concat(F.lit("\x00"), F.regexp_extract(name, pattern, 1))).otherwise(name)

@@ -71,17 +71,19 @@ def fourfold_mask(records: DataFrame, table: int = 1, policy: str = "ignore-miss
 
 
 def fourfold_sites(records: DataFrame, table: int = 1, policy: str = "ignore-missing") -> DataFrame:
-    """The third bases of fourfold columns; loci without any aren't there."""
+    """The third bases of fourfold columns; records of loci without any are empty."""
     upper = records.withColumn("seq", F.translate(F.upper("seq"), "U", "T"))
-    kept = apply_flags(upper, _fourfold_sites(records, table, policy), "codon")
+    kept = apply_flags(upper, _fourfold_sites(records, table, policy), "codon", keep_empty=True)
     return kept.select(*KEY, F.regexp_replace("seq", "(?s)..(.)", "$1").alias("seq"))
 
 
 def pairwise_4dtv(records: DataFrame, table: int = 1) -> DataFrame:
-    """Per locus, its first two records: fourfold sites, transversions among them, their share and the corrected one.
+    """(locus, sequence1, sequence2, corrected_4dtv, raw_4dtv, sites, transversions) of loci with two records.
 
-    Corrected is null where the correction has no value.
+    sites: fourfold ones; transversions: among them; corrected is null where the correction has no value.  Loci that
+    pair_faults() names aren't there.
     """
+    records = records.join(pair_faults(records).select("locus"), "locus", "left_anti")
     triplets = codons(F.translate(F.upper("seq"), "U", "T"))
     side = lambda k, name: records.where(F.col("record_order") == k).select("locus", triplets.alias(name))
     zipped = side(0, "x").join(side(1, "y"), "locus").select("locus", F.explode(F.arrays_zip("x", "y")).alias("pair"))
@@ -94,6 +96,16 @@ def pairwise_4dtv(records: DataFrame, table: int = 1) -> DataFrame:
     sums = sums.withColumns({"tc": F.expr("T*C"), "ag": F.expr("A*G")}).withColumns({"w": F.expr("case when Y > 0 and R > 0 then tc*R/Y + ag*Y/R end")})
     sums = sums.withColumns({"first": F.expr("case when A > 0 and C > 0 and G > 0 and T > 0 then 1 - raw*w/(2*(tc*R + ag*Y)) end"), "second": F.expr("case when Y > 0 and R > 0 then 1 - raw/(2*Y*R) end")})
     corrected = F.expr("case when first > 0 and second > 0 then -2*ln(first)*(tc/Y + ag/R) + 2*ln(second)*(w - Y*R) end")
-    every = records.select("locus").distinct().join(sums, "locus", "left")
+    of = lambda k: F.min(F.when(F.col("record_order") == k, F.col("seq_id"))).alias(f"sequence{k + 1}")
+    every = records.groupBy("locus").agg(of(0), of(1)).join(sums, "locus", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.select("locus", count("sites"), count("transversions"), F.col("raw").alias("raw_4dtv"), F.round(corrected, 9).alias("corrected_4dtv"))
+    return every.select("locus", "sequence1", "sequence2", (F.round(corrected, 9) + 0.0).alias("corrected_4dtv"), F.col("raw").alias("raw_4dtv"), count("sites"), count("transversions"))
+
+
+def pair_faults(records: DataFrame) -> DataFrame:
+    """(locus, fault): loci that don't have exactly two records, with different ids and one length, of whole triplets."""
+    length = F.length("seq")
+    found = records.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.min("seq_id").alias("a"), F.max("seq_id").alias("b"), F.min(length).alias("least"), F.max(length).alias("most"))
+    fault = F.when(F.col("n") != 2, "not two sequences").when(F.col("a").eqNullSafe(F.col("b")), "equal ids").when(F.col("least") == 0, "empty sequence")
+    fault = fault.when(F.col("least") != F.col("most"), "lengths differ").when(F.col("most") % 3 != 0, "not whole triplets")
+    return found.select("locus", fault.alias("fault")).where("fault is not null")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.running import running_before
 
 POLICIES = ("pad-gaps", "skip-gene")
+#: Taxa beyond this are refused: their list goes to all executors, and a locus may lack nearly all of them.
+MOST_TAXA = 1 << 18
 
 
 def taxa(records: DataFrame) -> DataFrame:
@@ -22,7 +24,10 @@ def inclusion(records: DataFrame, policy: str = "pad-gaps") -> DataFrame:
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {', '.join(POLICIES)}")
-    every = taxa(records).agg(F.sort_array(F.collect_list(F.struct("first", "taxon")))["taxon"].alias("every"))  # one row
+    # one row; a few more than MOST_TAXA are enough to tell that there are too many
+    some = taxa(records).limit(MOST_TAXA + 1)
+    every = some.agg(F.sort_array(F.collect_list(F.struct("first", "taxon")))["taxon"].alias("every"))
+    every = every.select(F.when(F.size("every") <= MOST_TAXA, F.col("every")).otherwise(F.raise_error(F.lit(f"more than {MOST_TAXA} taxa"))).alias("every"))
     loci = records.groupBy("locus").agg(F.max(F.length("seq")).cast("long").alias("length"), F.collect_set("seq_id").alias("has"))
     with_all = loci.join(F.broadcast(every), F.lit(True))
     missing = F.array_except("every", "has")
@@ -50,8 +55,21 @@ def supermatrix(records: DataFrame, policy: str = "pad-gaps") -> DataFrame:
     return seen.unionByName(pad).select("taxon", "locus", "start", "end", "fragment")
 
 
+def duplicate_names(parts: DataFrame, name: Column) -> DataFrame:
+    """(name, loci): partitions that would share a name, with their loci in order."""
+    named = parts.select("locus", name.alias("name")).groupBy("name").agg(F.array_sort(F.collect_set("locus")).alias("loci"))
+    return named.where(F.size("loci") > 1)
+
+
+def check_names(parts: DataFrame, name: Column) -> None:
+    """Raises if two partitions would share a name."""
+    found = duplicate_names(parts, name).orderBy("name").first()
+    if found:
+        raise ValueError(f"duplicate partition name {found['name']}: {', '.join(map(str, found['loci']))}")
+
+
 def rows(matrix: DataFrame) -> DataFrame:
-    """(taxon, seq): whole rows, for sinks of formats that have a row on a line."""
+    """(taxon, seq): whole rows, for sinks of formats that have a row on a line: a taxon's row has to fit in a task."""
     return matrix.groupBy("taxon").agg(F.array_join(F.sort_array(F.collect_list(F.struct("start", "fragment")))["fragment"], "").alias("seq"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.genetic_code import is_stop
-from lociweave.functions.sequences import AMBIGUOUS_BASES, characters, codons, normalize_nucleotides, normalize_protein
+from lociweave.functions.sequences import AMBIGUOUS_BASES, characters, codons, normalize_nucleotides, normalize_protein, normalize_rna
 
 KEY = ("locus", "record_order", "seq_id")
 
@@ -20,11 +20,11 @@ def _bases(records: DataFrame) -> DataFrame:
     return out.withColumns({"at": F.col("at") + 1, "upper": F.upper("original")})
 
 
-def _base_events(bases: DataFrame, ambiguous: str) -> DataFrame:
-    is_u = F.col("upper") == "U"
-    bases = bases.where(is_u | F.col("upper").isin(list(ambiguous)))
-    kind = F.when(is_u, "uracil_to_thymine").otherwise("nucleotide_ambiguity")
-    return bases.select(*_event(kind, F.col("at"), F.col("at"), F.col("original"), F.when(is_u, "T").otherwise("N"), F.lit("replace")))
+def _base_events(bases: DataFrame, ambiguous: str, rna: bool = False) -> DataFrame:
+    swapped = F.col("upper") == ("T" if rna else "U")
+    bases = bases.where(swapped | F.col("upper").isin(list(ambiguous)))
+    kind = F.when(swapped, "thymine_to_uracil" if rna else "uracil_to_thymine").otherwise("nucleotide_ambiguity")
+    return bases.select(*_event(kind, F.col("at"), F.col("at"), F.col("original"), F.when(swapped, "U" if rna else "T").otherwise("N"), F.lit("replace")))
 
 
 def clean_nucl(records: DataFrame) -> DataFrame:
@@ -44,6 +44,16 @@ def export_events(records: DataFrame, protein: bool = False) -> DataFrame:
     return bases.select(*_event(F.lit("protein_unsupported_residue"), F.col("at"), F.col("at"), F.col("original"), F.lit("X"), F.lit("replace")))
 
 
+def clean_rna(records: DataFrame) -> DataFrame:
+    """An RNA export: as clean_export, then T as U."""
+    return records.select(*KEY, normalize_rna(F.col("seq")).alias("seq"))
+
+
+def rna_events(records: DataFrame) -> DataFrame:
+    """Edits of clean_rna: T to U, IUPAC letters to N; ? stays, and U is no edit."""
+    return _base_events(_bases(records), AMBIGUOUS_BASES, rna=True)
+
+
 def clean_export(records: DataFrame, protein: bool = False) -> DataFrame:
     seq = normalize_protein(F.col("seq")) if protein else normalize_nucleotides(F.col("seq"), keep_missing=True)
     return records.select(*KEY, seq.alias("seq"))

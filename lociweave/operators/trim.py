@@ -25,17 +25,18 @@ def apply_mask(units: DataFrame, mask: DataFrame) -> DataFrame:
     return rebuilt(units.join(mask.select("locus", "pos"), ["locus", "pos"], "left_semi"), "pos", "raw")
 
 
-def apply_flags(records: DataFrame, sites: DataFrame, seqtype: str) -> DataFrame:
+def apply_flags(records: DataFrame, sites: DataFrame, seqtype: str, keep_empty: bool = False) -> DataFrame:
     """The records less the columns (triplets for codon) that sites (locus, pos, keep), which has all of them, doesn't keep.
 
     The flags of a locus become one string, as long as its alignment, and meet whole records: no cell is shuffled
-    again.  Loci that keep nothing aren't there.
+    again.  Loci that keep nothing aren't there, or with keep_empty have empty sequences.
     """
     flag = F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("keep"), "1").otherwise("0").alias("flag"))))["flag"]
-    flags = sites.groupBy("locus").agg(F.array_join(flag, "").alias("flags")).where("contains(flags, '1')")
+    flags = sites.groupBy("locus").agg(F.array_join(flag, "").alias("flags"))
+    flags = flags if keep_empty else flags.where("contains(flags, '1')")
     units = codons(F.col("seq")) if seqtype == "codon" else characters(F.col("seq"))
-    kept = F.zip_with(units, F.split("flags", ""), lambda u, f: F.when(f == "1", u).otherwise(""))
-    return records.join(flags, "locus").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
+    kept = F.zip_with(units, F.split(F.coalesce("flags", F.lit("")), ""), lambda u, f: F.when(f == "1", u).otherwise(""))
+    return records.join(flags, "locus", "left" if keep_empty else "inner").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
 
 
 def transfer_columns(records: DataFrame, columns: DataFrame, seqtype: str) -> DataFrame:
@@ -147,8 +148,11 @@ def filter_sequences(
 
 
 def rename(records: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Ids made safe and then looked up in mapping (original_id, renamed_id); those it lacks stay."""
-    known = mapping.select(safe_id(F.col("original_id")).alias("__old"), "renamed_id")
+    """Ids made safe and then looked up in mapping (original_id, renamed_id); those it lacks stay.
+
+    One record stays one: of several names for an id the smallest is taken, see mapping_conflicts and rename_faults.
+    """
+    known = mapping.groupBy(safe_id(F.col("original_id")).alias("__old")).agg(F.min("renamed_id").alias("renamed_id"))
     joined = records.join(known, safe_id(F.col("seq_id")) == F.col("__old"), "left")
     return joined.select("locus", "record_order", F.coalesce("renamed_id", safe_id(F.col("seq_id"))).alias("seq_id"), "seq")
 
@@ -157,3 +161,16 @@ def mapping_conflicts(mapping: DataFrame) -> DataFrame:
     """(original_id, n): ids that a mapping gives more than one name."""
     return mapping.groupBy(safe_id(F.col("original_id")).alias("original_id")).agg(F.countDistinct("renamed_id").alias("n")).where("n > 1")
 
+
+def rename_faults(renamed: DataFrame) -> DataFrame:
+    """(locus, seq_id, fault): ids of rename()'s records that are empty, have white space in them, or stand twice in a locus."""
+    n = renamed.groupBy("locus", "seq_id").agg(F.count(F.lit(1)).alias("n"))
+    fault = F.when(F.coalesce("seq_id", F.lit("")) == "", "empty id").when(F.col("seq_id").rlike(r"\s"), "white space in id").when(F.col("n") > 1, "duplicate id")
+    return n.select("locus", "seq_id", fault.alias("fault")).where("fault is not null")
+
+
+def filter_faults(before: DataFrame, after: DataFrame, by_taxon: bool = False) -> DataFrame:
+    """(locus, fault) of filtered loci that mustn't be written: nothing left, or by_taxon and fewer than two records."""
+    left = before.select("locus").distinct().join(after.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("length")), "locus", "left")
+    fault = F.when(F.col("n").isNull(), "no sequences remain").when(F.lit(by_taxon) & (F.col("n") < 2), "fewer than two sequences").when(F.col("length") == 0, "no sites remain")
+    return left.select("locus", fault.alias("fault")).where("fault is not null")

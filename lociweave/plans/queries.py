@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions import genetic_code as gc
-from lociweave.functions.sequences import partition_name
+from lociweave.functions.sequences import input_key, nexus_label, partition_name, safe_id, taxon_from_label
 from lociweave.operators import codon, concat, frameshift, matrix, normalize, orthogroups, qc, report, sites, trim
 from lociweave.plans import views as v
 from lociweave.sinks import lines
@@ -268,6 +268,18 @@ def preprocess_codon_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.codon_events(v.records(spark, sf_dir, v.RAW))
 
 
+@query(f"with {v.RAW_SQL} select {_fields}, translate(translate(upper(seq), 'URYSWKMBDHV', 'TNNNNNNNNNN'), 'T', 'U') as seq from records")
+def rna_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.clean_rna(v.records(spark, sf_dir, v.RAW))
+
+
+@query(f"""with {v.RAW_SQL}, {v.CELLS_SQL}
+select {_fields}, case when upper(ch) = 'T' then 'thymine_to_uracil' else 'nucleotide_ambiguity' end as event, pos::int as "start", pos::int as "end",
+  ch as original, case when upper(ch) = 'T' then 'U' else 'N' end as replacement, 'replace' as action from cells where contains('TRYSWKMBDHV', upper(ch))""")
+def rna_export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.rna_events(v.records(spark, sf_dir, v.RAW))
+
+
 _P_END = "length(rtrim(seq, '*-'))"
 
 
@@ -324,7 +336,8 @@ def _fourfold_sql(policy: str) -> str:
     keep = f"""bool_and(codon in {_in(gc.fourfold_codons(1))} or not ({counts})) and min(substr(codon, 1, 2)) filter (where {counts}) = max(substr(codon, 1, 2)) filter (where {counts})
   and sum(({counts})::int) >= {least}"""
     return f"""with {v.CODON_SQL}, {v.CODONS_SQL}, mask as (select locus, site from codons group by all having {keep})
-select {_fields}, string_agg(substr(codon, 3, 1), '' order by site) as seq from codons semi join mask using (locus, site) group by all"""
+select {_fields}, coalesce(kept.seq, '') as seq from records left join
+  (select {_fields}, string_agg(substr(codon, 3, 1), '' order by site) as seq from codons semi join mask using (locus, site) group by all) kept using ({_fields})"""
 
 
 @query(_fourfold_sql("ignore-missing"))
@@ -337,7 +350,7 @@ def fourfold_sites_require_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codon.fourfold_sites(v.codon_records(spark, sf_dir), policy="require-all")
 
 
-@query(f"""with {v.CODON_SQL}, {v.CODONS_SQL},
+@query(f"""with {v.PAIRS_SQL}, {v.CODONS_SQL},
 pairs as (
   select x.locus, substr(x.codon, 3, 1) as x, substr(y.codon, 3, 1) as y from codons x join codons y using (locus, site)
   where x.record_order = 0 and y.record_order = 1 and x.codon in {_in(gc.fourfold_codons(1))} and y.codon in {_in(gc.fourfold_codons(1))} and substr(x.codon, 1, 2) = substr(y.codon, 1, 2)),
@@ -346,10 +359,18 @@ k as (select *, tv::double / n as raw, fT + fC as fY, fA + fG as fR from s),
 m as (select *, fT * fC * fR / fY + fA * fG * fY / fR as w, fT * fC * fR + fA * fG * fY as d from k where fA > 0 and fC > 0 and fG > 0 and fT > 0),
 f as (select locus, raw, w, fY, fR, fT, fC, fA, fG, 1 - raw * w / (2 * d) as one, 1 - raw / (2 * fY * fR) as two from m),
 c as (select locus, -2 * ln(one) * (fT * fC / fY + fA * fG / fR) + 2 * ln(two) * (w - fY * fR) as corrected from f where one > 0 and two > 0)
-select locus, coalesce(n, 0)::bigint as sites, coalesce(tv, 0)::bigint as transversions, raw as raw_4dtv, round(corrected, 9) as corrected_4dtv
-from (select distinct locus from records) left join k using (locus) left join c using (locus)""")
+select locus, sequence1, sequence2, round(corrected, 9) + 0.0 as corrected_4dtv, raw as raw_4dtv, coalesce(n, 0)::bigint as sites, coalesce(tv, 0)::bigint as transversions
+from (select locus, max(seq_id) filter (where record_order = 0) as sequence1, max(seq_id) filter (where record_order = 1) as sequence2 from records group by locus having max(length(seq)) > 0)
+left join k using (locus) left join c using (locus)""")
 def pairwise_4dtv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codon.pairwise_4dtv(v.codon_records(spark, sf_dir))
+    return codon.pairwise_4dtv(v.codon_pairs(spark, sf_dir))
+
+
+@query(f"""with {v.CODON_SQL} select locus, 'not two sequences' as fault from records group by locus having count(*) != 2
+union all (with {v.PAIRS_SQL} select locus, case when max(length(seq)) = 0 then 'empty sequence' when max(length(seq)) % 3 != 0 then 'not whole triplets' end from records
+  group by locus having max(length(seq)) = 0 or max(length(seq)) % 3 != 0)""")
+def pair_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codon.pair_faults(v.codon_records(spark, sf_dir)).unionByName(codon.pair_faults(v.codon_pairs(spark, sf_dir)))
 
 
 def _concat_sql(policy: str) -> str:
@@ -399,13 +420,16 @@ def inclusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat.inclusion(v.occupied_records(spark, sf_dir), "skip-gene").withColumn("missing", F.array_join("missing", ", "))
 
 
-@query(f"""with {_concat_sql("pad-gaps")}, raw as (select locus, length from parts where locus % 3 != 0), trimmed as (select locus, length // 2 as length from parts where locus % 4 != 0)
+@query(f"""with {_concat_sql("pad-gaps")}, {v.CELLS_SQL},
+sites as (select locus, pos from cells group by all having sum((ch = '-')::int)::double / count(*) <= 0 and sum((ch = 'N')::int)::double / count(*) <= 0.125 and min(ch) != max(ch)),
+trimmed as (select locus, count(*)::bigint as length from sites group by locus)
 select sum((r.length is not null and t.length is not null)::int)::bigint as common, sum((t.length is null)::int)::bigint as raw_only, sum((r.length is null)::int)::bigint as trimmed_only,
        (sum(r.length) filter (where t.length is not null))::bigint as raw_columns, (sum(t.length) filter (where r.length is not null))::bigint as trimmed_columns
-from raw r full join trimmed t using (locus)""")
+from parts r full join trimmed t using (locus)""")
 def raw_vs_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = concat.partitions(v.occupied_records(spark, sf_dir)).select("locus", "length")
-    return concat.raw_and_trimmed(parts.where("locus % 3 != 0"), parts.where("locus % 4 != 0").withColumn("length", F.expr("length div 2")))
+    raw = v.occupied_records(spark, sf_dir)
+    cut = trim.trim(raw, "nucl", max_gap=0, max_n=0.125, drop_invariant=True)
+    return concat.raw_and_trimmed(concat.partitions(raw).select("locus", "length"), concat.partitions(cut).select("locus", "length"))
 
 
 TAXA = [f"t{k}" for k in range(10)]
@@ -523,9 +547,10 @@ def charset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.charsets(parts, partition_name(F.concat(F.lit("gene/"), F.col("locus"), F.lit(".fasta"))))
 
 
-@query(f"""with {v.CODON_SQL} select locus, '>sp0|sp1' || chr(10) || max(seq) filter (where record_order = 0) || chr(10) || max(seq) filter (where record_order = 1) as text from records group by locus""")
+@query(f"""with {v.PAIRS_SQL} select locus, '>' || max(seq_id) filter (where record_order = 0) || '|' || max(seq_id) filter (where record_order = 1) || chr(10)
+  || max(seq) filter (where record_order = 0) || chr(10) || max(seq) filter (where record_order = 1) as text from records group by locus""")
 def axt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.axt(v.codon_records(spark, sf_dir).where("record_order < 2"))
+    return lines.axt(v.codon_pairs(spark, sf_dir))
 
 
 #: Codon records in which some codons miss a base or are stops.
@@ -597,6 +622,60 @@ def inclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.inclusion_counts(concat.inclusion(v.occupied_records(spark, sf_dir)))
 
 
+_FILE_NAMES_SQL = r"""
+with files as (select url as path, regexp_extract(url, '([^/\\]*)$', 1) as name from pages),
+stems as (select path, regexp_replace(name, '(.)\.[^.]*$', '\1') as stem from files)
+select path, stem as taxon, stem || '_' || substr(sha256(path), 1, 10) as input_key, translate(path, ':,()', '____') as safe_id,
+  case when regexp_matches(path, '[\s()\[\]{}/\\,;:=*''"`+<>-]') then chr(39) || replace(path, chr(39), chr(39) || chr(39)) || chr(39) else path end as nexus_label
+from stems"""
+
+
+@query(_FILE_NAMES_SQL)
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    names = v.table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
+    return names.select("path", taxon_from_label(path).alias("taxon"), input_key(path).alias("input_key"), safe_id(path).alias("safe_id"), nexus_label(path).alias("nexus_label"))
+
+
+@query(f"""with {v.NUCL_SQL}, {v.PROT_SQL.replace("dealt as", "dealt2 as").replace("from dealt)", "from dealt2)").replace("records as (select", "prot as (select")}
+select {_fields}, length(regexp_replace(n.seq, '[^ACGTU]', '', 'g'))::int as nucl, length(regexp_replace(p.seq, '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g'))::int as prot from records n join prot p using ({_fields})""")
+def effective_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = v.records(spark, sf_dir).select("locus", "record_order", "seq_id", orthogroups.effective_length(F.col("seq")).alias("nucl"))
+    p = v.proteins(spark, sf_dir).select("locus", "record_order", "seq_id", orthogroups.effective_length(F.col("seq"), "prot").alias("prot"))
+    return n.join(p, ["locus", "record_order", "seq_id"])
+
+
+@query(f"""with {_GATE_SQL}, rows_ as (select lang as branch, gate.locus, reasons, case when n_chars % 3 = 0 then 'pass' when n_chars % 3 = 1 then 'fail' else 'not_evaluated' end as status,
+    case when reasons = '' then ['failure_reason_not_recorded'] else string_split(reasons, ';') end as list from gate join documents on doc_id = gate.locus),
+failed as (select * from rows_ where status = 'fail')
+select branch, kind, name, count(*)::bigint as n from (
+  select branch, 'status' as kind, status as name from rows_ union all select branch, 'reason', unnest(list) from failed
+  union all select branch, 'combination', array_to_string(list, ' + ') from failed union all select branch, 'multiplicity', len(list)::varchar from failed) group by all""")
+def qc_branch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branch = v.table(spark, sf_dir, "documents").selectExpr("doc_id as locus", "lang as branch", "n_chars % 3 as list")
+    details = qc.qc_gate(v.records(spark, sf_dir), GATE).select("locus", "reasons", "parsimony_informative_sites", F.lit("codon").alias("seqtype")).join(branch, "locus")
+    listed = [branch.where(F.col("list") == k).select("branch", "locus") for k in (0, 1)]
+    return report.branch_rollup(report.branch_status(details, *listed))
+
+
+@query(f"with {_GATE_SQL} select sum((list_contains(string_split(reasons, ';'), 'internal_stop'))::int)::bigint as stopped, count(*)::bigint as loci from gate")
+def internal_stop_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.internal_stop_hint(qc.qc_gate(v.records(spark, sf_dir), GATE))
+
+
+@query("""select (select count(*) from pages)::bigint as input_loci, count(distinct doc_id)::bigint as aligned_loci from documents""")
+def processing_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = v.table(spark, sf_dir, "documents").selectExpr("explode(array(concat('out/', doc_id, '.mafft.codon.aln.fasta'), concat('out/', doc_id, '.muscle.prot.trimmed.aln.fasta'))) as path")
+    return report.overview(v.table(spark, sf_dir, "pages").select(F.col("url").alias("path")), listed)
+
+
+@query(f"with {v.EDITS_SQL} select edits.* replace (case when input_file in ('file1', 'file2') then 'new/' || input_file else 'old/x/' || input_file end as input_file) from edits")
+def audit_relocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = v.edits(spark, sf_dir)
+    placed = e.withColumn("input_file", F.expr("concat(case when input_file in ('file1', 'file2') then 'old/' else 'old/x/' end, input_file)"))
+    return report.relocate(placed, "old", "new")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc_gate(spark, sf_dir)
 

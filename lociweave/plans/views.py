@@ -53,6 +53,11 @@ def codon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("locus", "record_order", "seq_id", F.regexp_replace(seq, r"[A-Z]{2}\?", "???").alias("seq"))
 
 
+def codon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codon records two by two: four loci of two records from each of eight."""
+    return codon_records(spark, sf_dir).selectExpr("locus * 4 + record_order div 2 as locus", "record_order % 2 as record_order", "seq_id", "seq")
+
+
 def occupied_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nucleotide records less those without any letter: loci with missing taxa."""
     return records(spark, sf_dir).where("seq rlike '[^-]'")
@@ -98,6 +103,7 @@ records as (
       string_split(translate(b, '{ABC}#', '{THIRD}'), '')), lambda x: x[1] || x[2] || x[3]), ''), '[A-Z]{{2}}\\?', '???', 'g') as seq
   from lettered)"""
 )
+PAIRS_SQL = CODON_SQL.replace("records as (\n", "eight as (\n") + ", records as (select locus * 4 + record_order // 2 as locus, record_order % 2 as record_order, seq_id, seq from eight)"
 CELLS_SQL = "cells as (select locus, record_order, seq_id, unnest(string_split(seq, '')) as ch, unnest(range(1, length(seq) + 1)) as pos from records)"
 CODONS_SQL = "codons as (select locus, record_order, seq_id, substr(seq, 3 * site::int - 2, 3) as codon, site from (select *, unnest(range(1, length(seq) // 3 + 1)) as site from records))"
 OCCUPIED_SQL = NUCL_SQL.replace("records as (", "all_records as (") + ", records as (select * from all_records where regexp_matches(seq, '[^-]'))"

@@ -76,8 +76,11 @@ class FastaDataSource(DataSource):
         return FastaReader(self.options["path"])
 
 
-def records_from_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record_order, seq_id, seq) by Spark's own file reader, from any store; .gz files are unpacked."""
+def records_from_files(spark: SparkSession, path: str, ends: tuple[str, ...] = ()) -> DataFrame:
+    """(file, record_order, seq_id, seq) by Spark's own file reader, from any store; .gz files are unpacked.
+
+    ends: of the names of files that are read, in any case; all if there are none.
+    """
 
     def read(batches):
         import pandas as pd
@@ -89,7 +92,10 @@ def records_from_files(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(file, k, name, seq) for k, (name, seq) in enumerate(parse(io.StringIO(content.decode())))]
             yield pd.DataFrame(rows, columns=["file", "record_order", "seq_id", "seq"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    if ends:
+        files = files.where(F.col("path").rlike("(?i)(" + "|".join(e.replace(".", r"\.") for e in ends) + ")$"))
+    files = files.select("path", "content")
     return files.mapInPandas(read, "file string, record_order int, seq_id string, seq string")
 
 

@@ -49,7 +49,7 @@ def test_group_readers(spark, tmp_path):
     got = rows(tables.proteinortho(spark, wrote("a", "# Species\tGenes\tAlg.-Conn.\tHuman.faa\tMouse.fa\n2\t3\t0.5\tH1,H2\tM1\n2\t1\t1\t*\tM2\n")))
     assert got == [("POG0000001", "Human", "H1"), ("POG0000001", "Human", "H2"), ("POG0000001", "Mouse", "M1"), ("POG0000002", "Mouse", "M2")]
     assert rows(tables.sonicparanoid(spark, wrote("b", "group_id\tHuman.faa\tMouse.pep\nSP1\tH1\tM1,M2\n"))) == [("SP1", "Human", "H1"), ("SP1", "Mouse", "M1"), ("SP1", "Mouse", "M2")]
-    assert rows(tables.orthomcl(spark, wrote("c", "MCL1(3 genes,2 taxa): Human|H1 Mouse|M1\n"), strip=True)) == [("MCL1", "Human", "H1"), ("MCL1", "Mouse", "M1")]
+    assert rows(tables.orthomcl(spark, wrote("c", "MCL1(3 genes,2 taxa): Human|H1 Mouse|M1\n"), strip=True)) == [("MCL1(3 genes,2 taxa)", "Human", "H1"), ("MCL1(3 genes,2 taxa)", "Mouse", "M1")]
     assert rows(tables.oma(spark, wrote("d", "OMA1\tHuman|H1\tMouse|M1\n"), strip=True)) == [("OMA1", "Human", "H1"), ("OMA1", "Mouse", "M1")]
     assert rows(tables.orthofinder(spark, wrote("e", "Orthogroup\tHuman\tMouse\nOG1\tH1, H2\t\n"))) == [("OG1", "Human", "H1"), ("OG1", "Human", "H2")]
     assert rows(tables.mapping(spark, wrote("f", "#x\ty\na:1\tA\nb\tB\n"))) == [("a_1", "A"), ("b", "B")]
@@ -59,6 +59,83 @@ def test_group_readers(spark, tmp_path):
     assert tables.file_digests(spark, wrote("h", "abc")).first()["sha256"].startswith("ba7816bf")
 
 
+def test_groups_are_counted_and_not_lines(spark, tmp_path):
+    (tmp_path / "a").write_text("# Species\tGenes\tAlg.-Conn.\tHuman.faa\tMouse.fa\n# a comment\n2\t3\t0.5\tH1,H2\tM1\n\n2\t1\t1\t*\tM2\n")
+    got = sorted(tuple(r) for r in tables.proteinortho(spark, str(tmp_path / "a")).collect())
+    assert got == [("POG0000001", "Human", "H1"), ("POG0000001", "Human", "H2"), ("POG0000001", "Mouse", "M1"), ("POG0000002", "Mouse", "M2")]
+
+
+@pytest.mark.parametrize(
+    ("reader", "text"),
+    [
+        ("proteinortho", "# Species\tGenes\tC\tH.faa\tM.fa\n2\t3\t0.5\tH1\n"),
+        ("proteinortho", "# Species\tGenes\tC\tH.faa\tH.fa\n2\t3\t0.5\tH1\tM\n"),
+        ("proteinortho", "# Species\tGenes\tC\tH.faa\tM.fa\n"),
+        ("sonicparanoid", "g\tH.faa\nG1\tH1\nG1\tH2\n"),
+        ("sonicparanoid", "g\tH.faa\nG1\tH1,H1\n"),
+        ("orthofinder", "Orthogroup\tH\nOG1\tH1,,H2\n"),
+        ("orthofinder", "Group\tH\nOG1\tH1\n"),
+        ("orthofinder", "Orthogroup\tH\n \tH1\n"),
+        ("orthomcl", "G1: H|a b\n"),
+        ("orthomcl", "G1 H|a\n"),
+        ("orthomcl", "G1: H|a H|a\n"),
+        ("orthomcl", "G1: H|a\nG1: M|b\n"),
+        ("oma", "O1\t|a\n"),
+        ("oma", "O1\n"),
+        ("oma", "# nothing\n"),
+    ],
+)
+def test_group_readers_refuse(spark, tmp_path, reader, text):
+    (tmp_path / "t").write_text(text)
+    with pytest.raises(ValueError):
+        getattr(tables, reader)(spark, str(tmp_path / "t"))
+
+
+def test_lines_of_a_file_in_pieces(spark, tmp_path):
+    lines_ = [f"{'#' if k % 5 == 0 else 'x'}{k}" for k in range(3000)]
+    (tmp_path / "t").write_text("\n".join(lines_))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = tables.numbered_lines(spark, str(tmp_path / "t"), ~F.startswith("value", F.lit("#"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got, key=lambda r: r["line"]) == [(x, k, k - k // 5) for k, x in enumerate(lines_) if k % 5]
+
+
+def test_taxon_folder_and_reports(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "Human.faa").write_text(">g:1 x\nMA\n>g2\nMM\n")
+    (tmp_path / "s" / "Mouse.pep").write_text(">m1\nMC\n")
+    (tmp_path / "s" / "notes.txt").write_text("nothing")
+    got = tables.taxon_sequences(spark, str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in got.collect()) == [("Human", "g2", "MM"), ("Human", "g_1", "MA"), ("Mouse", "m1", "MC")]
+    some = spark.createDataFrame([("Human", "g_1"), ("Fish", "m1")], "taxon string, gene string")
+    assert [tuple(r) for r in tables.taxon_sequences(spark, str(tmp_path / "s"), some).collect()] == [("Human", "g_1", "MA")]
+    (tmp_path / "s" / "Human.fa").write_text(">z\nM\n")
+    with pytest.raises(ValueError, match="Human"):
+        tables.taxon_sequences(spark, str(tmp_path / "s"))
+    (tmp_path / "d").write_text("File\tParsimony_informative_sites\n/x/g1.mafft.codon.aln.fasta\t7\n")
+    loci = spark.createDataFrame([("g1",)], "locus string")
+    assert [tuple(r) for r in tables.informative_sites(spark, str(tmp_path / "d"), loci).collect()] == [("g1", 7)]
+    for wrong in (loci.limit(0), spark.createDataFrame([("g1",), ("g2",)], "locus string")):
+        with pytest.raises(ValueError):
+            tables.informative_sites(spark, str(tmp_path / "d"), wrong)
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.qc_details(spark, str(tmp_path / "d"), "Issues")
+
+
+def test_taxa_and_limits():
+    assert orthogroups.select_taxa(["a", "b", "c"], drop=["b"]) == ["a", "c"] and orthogroups.select_taxa(["a", "b", "c"], ["c", "a"]) == ["a", "c"]
+    for keep, drop in ((["a", "z"], None), (["a", "b"], ["b"]), (["a"], None), (["a", "a", "b"], None)):
+        with pytest.raises(ValueError):
+            orthogroups.select_taxa(["a", "b", "c"], keep, drop)
+    assert orthogroups.copy_limit("INF") is None and orthogroups.copy_limit("3") == 3
+    for text in ("0", "-1", "x", ""):
+        with pytest.raises(ValueError):
+            orthogroups.copy_limit(text)
+
+
 def test_path_lists(tmp_path):
     (tmp_path / "x.fasta").write_text(">a\nAC\n")
     (tmp_path / "list").write_text("# loci\nsomewhere/x.fasta\n")
@@ -112,6 +189,10 @@ def test_rename(records, spark, seqs):
     mapping = spark.createDataFrame([("a:1", "Species_A"), ("b", "Species_B")], "original_id string, renamed_id string")
     got = seqs(trim.rename(records({1: [("a:1", "A"), ("b", "C"), ("c", "G")]}), mapping))
     assert got == {(1, "Species_A"): "A", (1, "Species_B"): "C", (1, "c"): "G"}
+    both = spark.createDataFrame([("a:1", "A"), ("a_1", "B")], mapping.schema)
+    assert trim.rename(records({1: [("a:1", "A"), ("b", "C")]}), both).count() == 2
+    odd = trim.rename(records({1: [("a", "A"), ("b", "C"), ("c", "C"), ("d", "G")]}), spark.createDataFrame([("a", ""), ("b", "x y"), ("c", "d")], mapping.schema))
+    assert {tuple(r) for r in trim.rename_faults(odd).collect()} == {(1, "", "empty id"), (1, "x y", "white space in id"), (1, "d", "duplicate id")}
     assert trim.mapping_conflicts(mapping.union(spark.createDataFrame([("b", "Other")], mapping.schema))).first()["n"] == 2
 
 
@@ -124,5 +205,40 @@ def test_audit(spark):
     gate = spark.createDataFrame([(1, False, "gap_ratio;short_alignment"), (2, False, "gap_ratio;short_alignment"), (3, False, "N_ratio"), (4, True, "")], "locus long, passed boolean, reasons string")
     roll = {(r["kind"], r["name"]): r["n"] for r in report.reason_rollup(gate).collect()}
     assert roll["status", "failed"] == 3 and roll["combination", "gap_ratio + short_alignment"] == 2 and roll["multiplicity", "2"] == 2 and roll["reason", "N_ratio"] == 1
+    assert tuple(report.internal_stop_hint(gate.union(spark.createDataFrame([(5, False, "a;internal_stop")], gate.schema))).first()) == (1, 5)
+    moved = report.relocate(e.limit(1).withColumn("input_file", F.lit("/tmp/a/x.fasta")).unionByName(e.limit(1)), "/tmp/a/", "/data/b")
+    assert sorted(r["input_file"] for r in moved.collect()) == ["/data/b/x.fasta", "f"]
     merged = report.merge_events(e.drop("source_aa_positions"), e)
     assert merged.where("source_aa_positions = 'NA'").count() == 7
+
+
+def test_branches(spark):
+    b = spark.createDataFrame([(x,) for x in ("codon/raw", "prot/raw", "nucl/raw", "paired/raw", "pseudogene/codon", "codon/trimmed", "")], "branch string")
+    got = lambda *a: {r["branch"] for r in report.active_branches(b, *a).collect()}
+    assert got("nucl") == {"nucl/raw", ""} and got("pseudogene") == {"pseudogene/codon"} and got() == {r["branch"] for r in b.collect()}
+    assert got("codon") == {"codon/raw", "prot/raw", "paired/raw", "codon/trimmed", ""} and "codon/trimmed" not in got("codon", True)
+    d = spark.createDataFrame([("x", "1", "codon", "gap_ratio;N_ratio", 5), ("x", "2", "codon", "", 5), ("x", "3", "codon", "NA", 1), ("x", "4", "prot", "", 9), ("x", "4", "prot", "", 9)], "branch string, locus string, seqtype string, reasons string, parsimony_informative_sites long")
+    at = lambda *loci: spark.createDataFrame([("x", k) for k in loci], "branch string, locus string")
+    status = {r["locus"]: (r["status"], r["reasons"]) for r in report.branch_status(d, at("2"), at("1", "3")).collect()}
+    assert status == {"1": ("fail", ["N_ratio", "gap_ratio"]), "2": ("pass", []), "3": ("fail", ["failure_reason_not_recorded"]), "4": ("not_evaluated", [])}
+    kept = {r["locus"]: (r["status"], r["reasons"]) for r in report.branch_status(d, at("2"), at("1"), at("2"), {"codon": 3}).collect()}
+    assert kept["3"] == ("fail", ["below_independent_PIS_threshold"]) and kept["2"][0] == "pass" and kept["4"] == ("fail", ["failure_reason_not_recorded"])
+    roll = {(r["kind"], r["name"]): r["n"] for r in report.branch_rollup(report.branch_status(d, at("2"), at("1", "3"))).collect()}
+    assert roll["status", "fail"] == 2 and roll["combination", "N_ratio + gap_ratio"] == 1 and roll["multiplicity", "1"] == 1
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert tuple(report.overview(paths("a.fa", "b.fa"), paths("q/a.mafft.codon.aln.fasta", "q/a.mafft.prot.aln.fasta")).first()) == (2, 1)
+
+
+def test_rna_and_keys(records, spark, seqs):
+    from lociweave.operators import concat, normalize
+
+    r = records({1: [("a", "AtUR?-")]})
+    assert seqs(normalize.clean_rna(r)) == {(1, "a"): "AUUN?-"}
+    assert sorted((x["event"], x["start"], x["original"], x["replacement"]) for x in normalize.rna_events(r).collect()) == [("nucleotide_ambiguity", 4, "R", "N"), ("thymine_to_uracil", 2, "t", "U")]
+    assert spark.range(1).select(s.input_key(F.lit("/x/gene.1.fasta"))).first()[0].startswith("gene.1_")
+    parts = spark.createDataFrame([(1, "gene-1.fasta"), (2, "gene.1.fasta"), (3, "other.fasta")], "locus long, file string")
+    with pytest.raises(ValueError, match="gene_1_fasta"):
+        concat.check_names(parts, s.partition_name(F.col("file")))
+    concat.check_names(parts.where("locus > 1"), s.partition_name(F.col("file")))
+    after = trim.filter_sequences(records({1: [("a", "ACG"), ("b", "---")], 2: [("a", "---")]}), max_gap=0.5)
+    assert {tuple(x) for x in trim.filter_faults(records({1: [("a", "ACG")], 2: [("a", "---")]}), after, True).collect()} == {(1, "fewer than two sequences"), (2, "no sequences remain")}

@@ -28,29 +28,30 @@ def apply_mask(units: DataFrame, mask: DataFrame) -> DataFrame:
 def apply_flags(records: DataFrame, sites: DataFrame, seqtype: str, keep_empty: bool = False) -> DataFrame:
     """The records less the columns (triplets for codon) that sites (locus, pos, keep), which has all of them, doesn't keep.
 
-    The flags of a locus become one string, as long as its alignment, and meet whole records: no cell is shuffled
-    again.  Loci that keep nothing aren't there, or with keep_empty have empty sequences.
+    The places that a locus keeps meet whole records as one array: no cell is shuffled again.  Loci that keep nothing
+    aren't there, or with keep_empty have empty sequences.
     """
-    flag = F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("keep"), "1").otherwise("0").alias("flag"))))["flag"]
-    flags = sites.groupBy("locus").agg(F.array_join(flag, "").alias("flags"))
-    flags = flags if keep_empty else flags.where("contains(flags, '1')")
+    places = sites.where("keep").groupBy("locus").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("at"))
+    return _picked(records.join(places, "locus", "left" if keep_empty else "inner"), seqtype)
+
+
+def _picked(records: DataFrame, seqtype: str) -> DataFrame:
+    """The characters (triplets for codon) at the places in the array at, in its order."""
     units = codons(F.col("seq")) if seqtype == "codon" else characters(F.col("seq"))
-    kept = F.zip_with(units, F.split(F.coalesce("flags", F.lit("")), ""), lambda u, f: F.when(f == "1", u).otherwise(""))
-    return records.join(flags, "locus", "left" if keep_empty else "inner").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
+    at = F.coalesce("at", F.array().cast("array<int>"))
+    # units as a variable of an outer function, so that they are cut once a record and not once a place
+    kept = F.transform(F.array(units), lambda u: F.array_join(F.transform(at, lambda p: F.get(u, p - 1)), ""))
+    return records.select("locus", "record_order", "seq_id", F.get(kept, F.lit(0)).alias("seq"))
 
 
 def transfer_columns(records: DataFrame, columns: DataFrame, seqtype: str) -> DataFrame:
     """The columns (triplets for codon) that another program has kept: columns is (locus, pos from 1).
 
-    The places of a locus become one string of flags, which meets whole records.  See column_map_faults before.
+    The places of a locus meet whole records as one array.  See column_map_faults before.
     """
     check_seqtype(seqtype)
     places = columns.groupBy("locus").agg(F.sort_array(F.collect_set(F.col("pos").cast("int"))).alias("at"))
-    skipped = F.transform("at", lambda p, k: F.concat(F.repeat(F.lit("0"), p - 1 - F.coalesce(F.get("at", k - 1), F.lit(0))), F.lit("1")))
-    flags = places.select("locus", F.array_join(skipped, "").alias("flags"))
-    units = codons(F.col("seq")) if seqtype == "codon" else characters(F.col("seq"))
-    kept = F.zip_with(units, F.split("flags", ""), lambda u, f: F.when(f == "1", u).otherwise(""))
-    return records.join(flags, "locus").select("locus", "record_order", "seq_id", F.array_join(kept, "").alias("seq"))
+    return _picked(records.join(places, "locus"), seqtype)
 
 
 def column_map_faults(columns: DataFrame, records: DataFrame) -> DataFrame:

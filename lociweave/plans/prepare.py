@@ -35,17 +35,24 @@ class Prepared:
     fourfold: DataFrame
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def prepare(codons: DataFrame, proteins: DataFrame, mapping: DataFrame | None = None, settings: Settings = Settings(), trimmed: bool = True) -> Prepared:
     """codons, proteins: paired alignments of the same loci and records.
 
-    Trims both by one mask, renames, judges both sides, keeps loci whose pair passes, and concatenates those.
+    Trims both by one mask, renames, judges both sides, keeps loci whose pair passes, and concatenates those.  If the
+    session has a checkpoint folder, trimmed records and decisions are kept there, so that the tables that follow don't
+    work them out again; that happens when this is called.
     """
     if trimmed:
         codons, proteins = trim.trim_pair(codons, proteins, max_gap=settings.max_gap, max_n=settings.max_n, max_x=settings.max_x)
     if mapping is not None:
         codons, proteins = trim.rename(codons, mapping), trim.rename(proteins, mapping)
+    codons, proteins = _settled(codons), _settled(proteins)
     judged = [qc.qc_gate(codons, settings.gate), qc.qc_gate(proteins, settings.protein_gate)]
-    decisions = qc.paired_decision(*judged, policy=settings.paired_policy, min_codon=settings.min_codon_informative, min_protein=settings.min_protein_informative)
+    decisions = _settled(qc.paired_decision(*judged, policy=settings.paired_policy, min_codon=settings.min_codon_informative, min_protein=settings.min_protein_informative))
     passed = decisions.where("paired_passed").select("locus")
     kept = codons.join(passed, "locus", "left_semi")
     return Prepared(

@@ -42,7 +42,14 @@ def text_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay; rows that share a key and a text are one document and stay together."""
-    gone = written(text_groups(docs, key, text).where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias(unused(docs, "__gone"))))
-    passed, suspected = parted(docs, key, gone)
-    return passed.union(suspected.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(gone.columns[0])), "left_anti"))
+    """The rows of docs that stay; rows that share a key and a text are one document and stay together.
+
+    A key may be null or stand at several texts: each text keeps one document.  Rows whose key no filter suspects of
+    having a text that goes don't move.
+    """
+    at, of = unused(docs, "__gone"), unused(docs, "__digest")
+    gone = text_groups(docs, key, text).where(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias(at), F.col("text_sha256").alias(of)).distinct()
+    gone = written(gone)
+    passed, suspected = parted(docs, key, gone.select(at))
+    own = F.sha2(normalised(F.col(f"`{text}`")).cast("binary"), 256)
+    return passed.union(suspected.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(at)) & (own == F.col(of)), "left_anti"))

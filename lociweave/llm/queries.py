@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.llm import bpe_prefix, decontaminate, exact_dedup, html_extract, kd_shard, line_dedup, secret_ledger, simhash, token_counts, toxicity
+from lociweave.llm import bpe_prefix, bpe_trie, decontaminate, exact_dedup, fill_middle, html_extract, kd_shard, line_dedup, secret_ledger, simhash, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,6 +157,48 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.with_whitening(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe_trie.with_token_ids(docs, tokenizer(bpe_trie.VOCABULARY), piece_pattern(), decoded="decoded")
+    return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, digest = fill_middle.with_fill_middle(docs), lambda c: F.sha2(c.cast("binary"), 256)
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+with docs as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (
+  select doc_id, t, regexp_extract_all(t, '[^
+]*
+|[^
+]+') as u, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+         ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from docs),
+cut as (select *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b from drawn),
+parts as (
+  select doc_id, t, len(u) as n, array_to_string(list_slice(u, 1, a), '') as p, array_to_string(list_slice(u, a + 1, b), '') as m,
+         array_to_string(list_slice(u, b + 1, len(u)), '') as s,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from cut),
+made as (
+  select *, case form when 'plain' then t when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) else concat('<S>', s, '<P>', p, '<M>', m) end as o from parts)
+select doc_id, n::bigint as n, form, case when form != 'plain' then length(p) end::bigint as prefix_chars, case when form != 'plain' then length(m) end::bigint as middle_chars,
+       sha256(o) as output_sha256,
+       sha256(case form when 'psm' then string_split_regex(o, '<[PSM]>')[2] || string_split_regex(o, '<[PSM]>')[4] || string_split_regex(o, '<[PSM]>')[3]
+              when 'spm' then string_split_regex(o, '<[PSM]>')[3] || string_split_regex(o, '<[PSM]>')[4] || string_split_regex(o, '<[PSM]>')[2] else o end) as restored_sha256
+from made
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tag_path": op1_tag_path,
     "op2_fm_index": op2_fm_index,
@@ -168,6 +210,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_shard": op8_kd_shard,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_bpe_trie": op12_bpe_trie,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_fm_index": OP2_SQL, "op3_secret_ledger": _op3_sql(), "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_fm_index": OP2_SQL, "op3_secret_ledger": _op3_sql(), "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op13_fill_middle": OP13_SQL}

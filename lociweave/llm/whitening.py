@@ -98,7 +98,7 @@ def _merge(factors: DataFrame, width: int) -> DataFrame:
                 r = _reduced(r, np.frombuffer(own).reshape(-1, width))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([r.tobytes()], pa.binary())], names=["k", "r"])
 
-    return factors.groupBy(F.floor(F.col("k") / FAN).alias("k")).applyInArrow(merge, "k long, r binary")
+    return factors.groupBy(F.floor(F.col("k") / FAN).alias("up")).applyInArrow(merge, "k long, r binary")
 
 
 def _exact_sums(x: np.ndarray) -> list[int]:

@@ -6,7 +6,8 @@ and a shuffle on these words brings linked fingerprints together.  At most 65 di
 one word, so no group can grow with the input; copies have been folded into one fingerprint before.
 
 For looser copies, some ten of 64 bits apart, such balls can't be enumerated.  similar_documents() takes a wide
-fingerprint of BITS bits, many narrow words of its bits, and verifies the pairs that share one by their shingles.
+fingerprint of BITS bits and fixed narrow words of its bits; texts that share a word are compared, shingle by
+shingle, with one of them that stands for the others.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ SEED = 42
 
 #: Wide fingerprints: words of a shingle, least similarity of a link, bits.
 WIDE_SHINGLE, SIMILARITY, BITS = 5, 0.8, 512
-#: The expected share of pairs of just that similarity that share a narrow word; bits of a word beyond those that count the nodes.
-RECALL, SPARE_BITS = 0.984, 8
-#: In a group that shares a word each node meets so many nodes before it.
-BACK = 3
+#: Narrow words: how many, and the bits of each.  A pair of just that similarity shares one with a probability of 0.98.
+WORDS, WORD_BITS = 300, 26
+#: Nodes whose words are compared within a task before they are shuffled.
+TOGETHER = 4096
 
 
 def simhash(text: str | None, size: int = SHINGLE) -> int:
@@ -179,49 +180,65 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def word_places(nodes: int, similarity: float = SIMILARITY) -> np.ndarray:
-    """The places of the bits of each narrow word, one row a word.
+def word_places(words: int = WORDS, bits: int = WORD_BITS) -> np.ndarray:
+    """The places of the bits of each narrow word, one row a word; the same for every table."""
+    return np.stack([np.random.default_rng(SEED + k).permutation(BITS)[:bits] for k in range(words)])
 
-    Words get a bit more each time the nodes double, so that unlike nodes keep sharing few, and there are as many as
-    RECALL asks for: 300 words of 26 bits for 2^18 nodes, a sixth more with each doubling.
-    """
-    bits = SPARE_BITS + max(1, nodes).bit_length()
-    tables = math.ceil(math.log(1 - RECALL) / math.log1p(-(agreement(similarity) ** bits)))
-    return np.stack([np.random.default_rng(SEED + k).permutation(BITS)[:bits] for k in range(tables)])
+
+def narrow_words(wide: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The words of wide fingerprints, rows of longs: a row a fingerprint, a column a word."""
+    bits, weight = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1), 1 << np.arange(places.shape[1], dtype=np.int64)
+    return np.stack([(bits[:, p] @ weight) | k << places.shape[1] for k, p in enumerate(places)], axis=1)
+
+
+def _met(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, leads, pairs) of the nodes of a task: how many others each meets in all its words; per word that is there the (node, word) that leads it, the node with the highest score; and (leader, node, words) of the others."""
+    many, wide = words.shape
+    _, group, sizes = np.unique(words.ravel(), return_inverse=True, return_counts=True)
+    score = (sizes[group] - 1).reshape(many, wide).sum(axis=1)
+    node = np.repeat(np.arange(many), wide)
+    order = np.lexsort((node, -score[node], group))
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    lead = node[order[first]]
+    other = lead[group] != node
+    pairs, times = np.unique(lead[group[other]] * many + node[other], return_counts=True)
+    leads = np.stack([lead, words.ravel()[order[first]]], axis=1)
+    return score, leads, np.stack([pairs // many, pairs % many, times], axis=1)
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, shared), once each: pairs of nodes (fp, n, wide) that meet in groups that share a narrow word, and in how many.
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bits: int = WORD_BITS) -> DataFrame:
+    """(a, b, shared), once each: a stands for b in groups of nodes (fp, n, wide) that share a narrow word, in so many of them.
 
-    A group is gone through in the order of fp, which is the same for all words, so that a large family of near
-    copies meets in few different pairs.
+    A group is led by the node that meets most others, so that a family of near copies gathers round few of its
+    middle: a group of m nodes makes m - 1 pairs, whatever its size.  Groups are led within a task first, and only the
+    leaders are shuffled: a word that many nodes have comes from every task once.  Pairs whose sizes rule the
+    similarity out are left out.
     """
-    places = word_places(nodes.count(), similarity)
-    tables, width = places.shape
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, table = 1 << np.arange(width, dtype=np.int64), np.arange(tables, dtype=np.int64) << width
-        for batch in slices(batches, 256):
-            wide = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(batch.num_rows, BITS // 64)
-            bits = np.unpackbits(wide.view(np.uint8), axis=1)
-            words = table + np.stack([bits[:, p] @ weight for p in places], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(words), pa.list_(pa.int64()))], names=["fp", "words"])
-
-    emitted = nodes.where("n > 0").select("fp", "wide").mapInArrow(split, "fp long, words array<long>").select("fp", F.explode("words").alias("word"))
-    group = Window.partitionBy("word").orderBy("fp")
-    before = emitted.select(F.array_compact(F.array(*[F.lag("fp", k).over(group) for k in range(1, BACK + 1)])).alias("before"), F.col("fp").alias("b"))
-    return before.where("size(before) > 0").select(F.explode("before").alias("a"), "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that may be so similar by their sizes and wide fingerprints."""
-    one = nodes.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
-    other = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
-    # halfway between the share of bits that such a pair and that an unrelated one differs in
-    most = BITS * (0.5 + 1 - agreement(similarity)) / 2
-    apart = sum((F.bit_count(F.get("wide_a", F.lit(k)).bitwiseXOR(F.get("wide_b", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
-    near = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (apart <= most)
-    return pairs.join(one, "a").join(other, "b").where(near).select("a", "b")
+    places = word_places(words, bits)
+    kinds = "word long, fp long, n long, score long, member long, member_n long, shared long"
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TOGETHER):
+            fp, n = (batch.column(k).to_numpy() for k in (0, 1))
+            wide = batch.column(2).flatten().to_numpy().reshape(len(fp), BITS // 64)
+            score, leads, pairs = _met(narrow_words(wide, places))
+            near = np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]) >= similarity * np.maximum(n[pairs[:, 0]], n[pairs[:, 1]]) - 1e-9
+            (a, b, shared), (node, word) = pairs[near].T, leads.T
+            none = pa.nulls(len(leads), pa.int64())
+            own = [pa.array(x) for x in (word, fp[node], n[node], score[node])]
+            yield pa.RecordBatch.from_arrays([*own, none, none, none], names=kinds.replace(" long", "").split(", "))
+            # pairs are dealt by their ends, negative so as not to be words
+            met = [pa.array(x) for x in (-1 - ((fp[a] ^ fp[b]) & (1 << 62) - 1), fp[a], n[a], score[a], fp[b], n[b], shared)]
+            yield pa.RecordBatch.from_arrays(met, names=kinds.replace(" long", "").split(", "))
+
+    met = nodes.where("n > 0").select("fp", "n", "wide").mapInArrow(lead, kinds)
+    first = F.first(F.struct("fp", "n")).over(Window.partitionBy("word").orderBy(F.desc("score"), "fp"))
+    led = met.withColumns({"lead": first, "one": F.lit(1).cast("long")})
+    pair = lambda *c: F.struct(*[F.col(x).alias(name) for x, name in zip(c, ("a", "n_a", "b", "n_b", "shared"), strict=True)])
+    told = F.when(F.col("member").isNotNull(), pair("fp", "n", "member", "member_n", "shared")).when(F.col("lead.fp") != F.col("fp"), pair("lead.fp", "lead.n", "fp", "n", "one"))
+    pairs = led.select(told.alias("pair")).where("pair is not null").select("pair.*")
+    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    return pairs.where(near).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,24 +269,25 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str,
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id) for every row of docs: components of links between texts whose sets of shingles are so similar (Jaccard).
 
-    Every link is exact; a pair can be missed if it doesn't meet in a word.  Each node is first verified with the
-    one it meets most often, and then all pairs whose ends that has left apart; pairs inside a component would change
-    nothing.  Texts with the same set of shingles always link, as do all null and wordless texts.  Null and repeated
-    keys, and other columns, are as for near_duplicates().
+    Every link is exact.  Words, their number and what is compared don't depend on the number of documents.  A pair can
+    be missed if it shares no word, or if neither of it leads a word of both and its leaders link them with nothing;
+    tests measure how many are.  Each node is first verified with the leader it meets most often, and then with its other
+    leaders in other components; pairs inside a component would change nothing.  Texts with the same set of shingles
+    always link, as do all null and wordless texts.  Null and repeated keys, and other columns, are as for
+    near_duplicates().
     """
     rows = written(wide_fingerprints(docs, key, text, size))
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("wide").alias("wide")))
     pairs = written(candidates(nodes, similarity))
 
     def linked(some: DataFrame) -> DataFrame:
-        near = written(plausible(some, nodes, similarity))
-        return written(verified(near, shingle_sets(docs, nodes, near, key, text, size), similarity))
+        return written(verified(some, shingle_sets(docs, nodes, some, key, text, size), similarity))
 
-    edges = linked(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")))
+    edges = linked(written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))))
     labels = components(edges)
     of = lambda side: labels.select(F.col("v").alias(side), F.col("label").alias(f"label_{side}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-    edges = edges.unionByName(linked(apart.select("a", "b")))
+    edges = edges.unionByName(linked(written(apart.select("a", "b"))))
     named = _named(nodes.select("fp", "first", "times"), edges)
     return with_groups(rows.select("id", "fp"), named, "fp", "times").select(F.col("id").alias(key), "component_id")
 

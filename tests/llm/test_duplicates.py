@@ -211,6 +211,57 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_recall_of_similar_documents(spark, sf):
+    """All pairs of a document whose key is divisible by 20 with any other, by their sets; linked ones must be in one component, and no component may lack links."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    sets = {r["doc_id"]: set(simhash.shingle_set(r["text"]).tolist()) for r in docs.collect()}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in sets if a % 20 == 0 for b in sets if a != b and alike(a, b)]
+    assert pairs and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    groups = defaultdict(list)
+    for i, c in found.items():
+        groups[c].append(i)
+    for g in groups.values():
+        reached, left = {g[0]}, [g[0]]
+        while left:
+            a = left.pop()
+            new = [b for b in g if b not in reached and alike(a, b)]
+            reached.update(new)
+            left += new
+        assert reached == set(g)
+
+
+def test_one_family_gathers_round_few_leaders(spark, monkeypatch):
+    """A family makes fewer pairs than its words have members, whether its words meet in one task or are shuffled."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 700, dtype=np.uint64)
+    rows = []
+    for k in range(400):
+        own = base.copy()
+        own[rng.choice(700, 30, replace=False)] = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
+        rows.append((k, 700, np.frombuffer(simhash.wide_fingerprint(np.unique(own)), dtype=np.int64).tolist()))
+    rows.append((400, 10, rows[0][2]))  # alike in bits, but too small to be similar
+    nodes = spark.createDataFrame(rows, "fp long, n long, wide array<long>").repartition(5)
+    for together in (4096, 7):
+        monkeypatch.setattr(simhash, "TOGETHER", together)
+        pairs = [tuple(r) for r in simhash.candidates(nodes).collect()]
+        assert len({p[:2] for p in pairs}) == len(pairs) < 400 * 399 / 4 and all(400 not in p[:2] for p in pairs)
+        reached, left = {0}, [0]
+        near = defaultdict(set)
+        for a, b, _ in pairs:
+            near[a].add(b)
+            near[b].add(a)
+        while left:
+            new = near[left.pop()] - reached
+            reached |= new
+            left += new
+        assert reached == set(range(400))
+
+
 def test_radius_and_shingle_size(spark):
     nodes = spark.createDataFrame([(0,), (0b1111,), (1 << 40,)], "fp long")
     assert [tuple(r) for r in simhash.links(nodes, 4).where("a = 0 and b = 15").collect()] == [(0, 15)]

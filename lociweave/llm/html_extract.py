@@ -41,8 +41,13 @@ LOWERED = frozenset("header footer aside dialog form".split())
 DOUBTED = frozenset("nav menu".split())
 #: Whole tokens of class, id or role that lower scores as much; as a part of a token they lower them a little.
 CLUTTER = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments comentarios kommentare commentaires complementary consent contentinfo cookie cookies disclaimer discussion disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond rail search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments feedback comentarios kommentare commentaires complementary consent contentinfo cookie cookies disclaimer discussion disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond rail search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: What lowers scores as much as a part of a token too, unless another part says that it isn't there or only somewhere inside.
+HEAVY = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies feedback footer gdpr newsletter notice notices popup promo promoted recommended related sidebar sponsor sponsored subscribe subscription".split())
+UNLESS = frozenset("no non not has have with without free enabled disabled open closed off layout page content".split())
+#: Elements and tokens that are put round whole articles as well: their doubt falls by weight.
+WRAPS, WRAP_NAMES = frozenset("modal overlay widget widgets menu navigation topbar search social masthead header".split()), frozenset("form header".split())
 MUCH, LITTLE = 0.01, 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Block elements that hold a piece of an article and are never taken for all of it.
@@ -77,6 +82,7 @@ class Page:
     name: list[str] = field(default_factory=lambda: [""])
     marks: dict[int, str] = field(default_factory=dict)  # elements marked as "article" or "main"
     doubts: dict[int, float] = field(default_factory=dict)  # what the names of an element lower scores to
+    wraps: set[int] = field(default_factory=set)  # those of them that may be put round an article
 
     def last(self) -> list[int]:
         """Of each element the number of the last one inside it."""
@@ -110,11 +116,20 @@ def _doubt(name: str, tokens: list[str]) -> float:
         return 1.0
     if name in LOWERED or any(t in CLUTTER for t in tokens):
         return MUCH
-    if name in DOUBTED or any(x in CLUTTER for t in tokens for x in re.split(r"[^a-z]+", t)):
+    parts = [set(re.split(r"[^a-z]+", t)) for t in tokens]
+    if any(p & HEAVY and not p & UNLESS for p in parts):
+        return MUCH
+    if name in DOUBTED or any(p & CLUTTER for p in parts):
         return LITTLE
     return 1.0
 
 
+def _wraps(name: str, tokens: list[str], doubt: float) -> bool:
+    """Whether nothing but wrappers' names is to be doubted about an element."""
+    named = [t for t in tokens if t in CLUTTER]
+    return doubt == LITTLE or name not in LOWERED - WRAP_NAMES and all(t in WRAPS for t in named) and (name in WRAP_NAMES or bool(named))
+
+
 def parse(source: str) -> Page:
     """The visible text blocks of a page and its elements, in one pass over whatever markup there is."""
     page = Page()
@@ -209,6 +224,8 @@ def parse(source: str) -> Page:
             doubt = LITTLE  # an article's own header has its headline
         if doubt < 1:
             page.doubts[e] = doubt
+            if _wraps(name, tokens, doubt):
+                page.wraps.add(e)
         path = paths.setdefault((stack[-1][2], name), len(paths) + 1)
         stack.append((name, e, path, stack[-1][3] or name in OUTSIDE or _hidden(attributes)))
         opened[name] += 1
@@ -245,7 +262,8 @@ def lowering(page: Page, weights: list[float]) -> list[float]:
     """Of each element the factor of the scores in it: the least doubt of an element around it that stands.
 
     A doubt falls if the element holds the page's article or main, the one with the highest weight, or most of the
-    weight of the page while no article or main elsewhere has any (for a small doubt, has a quarter of it).
+    weight of the page while no article or main elsewhere has any (for a small doubt, has a quarter of it).  That is
+    not enough for a footer, a notice or the like, however long, while there is text that is in nothing doubted.
     """
     n, held, last = len(page.parent), page.sums(weights), page.last()
     inside, around, ended, begun = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * (n + 1)
@@ -256,6 +274,15 @@ def lowering(page: Page, weights: list[float]) -> list[float]:
         inside[page.parent[e]] = max(inside[page.parent[e]], inside[e])
     for e in range(1, n):
         around[e] = max(around[page.parent[e]], held[page.parent[e]] if page.parent[e] in page.marks else 0.0)
+    # nearest: the innermost doubted element around each; open_: the weight of what only doubts around an element lower
+    nearest, own, open_ = [0] * n, [0.0] * n, [0.0] * n
+    for e in range(1, n):
+        nearest[e] = e if e in page.doubts else nearest[page.parent[e]]
+    for b, w in zip(page.blocks, weights, strict=True):
+        own[nearest[b.element]] += w
+    open_[0] = own[0]
+    for e in range(1, n):
+        open_[e] = open_[page.parent[e]] + (own[e] if e in page.doubts else 0.0)
     before = list(accumulate(ended, max))
     after = list(accumulate(reversed(begun), max))[::-1]
     factor = [1.0] * n
@@ -263,7 +290,7 @@ def lowering(page: Page, weights: list[float]) -> list[float]:
         factor[e] = factor[page.parent[e]]
         if e in page.doubts:
             apart = max(before[e - 1], after[last[e] + 1], around[e] - held[e])
-            most = 2 * held[e] > held[0] and (apart == 0 if page.doubts[e] == MUCH else 4 * apart < held[0])
+            most = 2 * held[e] > held[0] and (apart == 0 if page.doubts[e] == MUCH else 4 * apart < held[0]) and (e in page.wraps or open_[page.parent[e]] == 0)
             if not (inside[e] and inside[e] >= apart) and not most:
                 factor[e] = min(factor[e], page.doubts[e])
     return factor

@@ -87,18 +87,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a vertex and its neighbours and then that label's own label, so
     the rounds grow with the logarithm of the longest chain.  Every round is a written table; those of earlier rounds
-    are deleted.
+    are deleted.  Neither a vertex with many edges nor the label of a giant component is one task's work: such keys are
+    few, and what belongs to them goes to their rows.
     """
     spark = edges.sparkSession
     both, held = saved(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")))
-    labels, last = saved(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label")))
+    labels, last = saved(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("label"), F.count(F.lit(1)).alias("degree")))
     while True:
-        near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        lower, between = saved(labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old")))
-        jump = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        moved = lower.join(jump, "label").select("v", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("moved"))
+        met = with_groups(both, labels.select(F.col("v").alias("w"), "label", "degree"), "w", "degree")
+        near = met.groupBy("v").agg(F.min("label").alias("near"))
+        lower, between = saved(labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"), "degree"))
+        used = lower.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
+        jump, steps = saved(used.join(lower.select(F.col("v").alias("label"), F.col("label").alias("next")), "label"))
+        moved = with_groups(lower, jump, "label", "many").select("v", F.col("next").alias("label"), "degree", (F.col("next") != F.col("old")).alias("moved"))
         labels, now = saved(moved)
-        remove(spark, [last, between])
+        remove(spark, [last, between, steps])
         last = now
         if labels.where("moved").isEmpty():
             remove(spark, [held])

@@ -130,6 +130,15 @@ def test_long_chain(spark):
     assert simhash.components(chain.limit(0)).count() == 0
 
 
+def test_giant_component_and_hub(spark, monkeypatch):
+    """A hub with thousands of edges, a long chain that hangs on it, and small components beside; hot keys are found from the edges alone."""
+    rows = [(7, 10_000 + k) for k in range(4000)] + [(k + 1, k) for k in range(200_000, 200_060)] + [(12_000, 200_000)] + [(300_000 + 2 * k, 300_001 + 2 * k) for k in range(300)]
+    labels = {r["v"]: r["label"] for r in simhash.components(spark.createDataFrame(rows, "a long, b long").repartition(3)).collect()}
+    assert all(label == (v - v % 2 if v >= 300_000 else 7) for v, label in labels.items()) and len(labels) == 4001 + 61 + 600
+    hot = simhash.with_groups(spark.createDataFrame([(1,)] * 5000 + [(2,)], "k long"), spark.createDataFrame([(1, 5000), (2, 1)], "k long, n long"), "k", "n")
+    assert hot.count() == 5001 and "BroadcastHashJoin" in hot._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]

@@ -56,6 +56,14 @@ def test_paths_are_shared_by_blocks_under_the_same_names():
         ("%s", 5),
         ("<article>%s</article><footer>&copy; someone. All rights, reserved; of course, and more of this.</footer>", 5),
         ("<article><h1>Tiny.</h1><p>Tiny.</p></article><footer>&copy; somebody &middot; a long line, with points; and words. Far longer than the article is.</footer>", 2),
+        ("<p>A short article, and no more.</p><footer>Copyright 2020, all rights reserved; of course, and more of this, and this.</footer>", 1),
+        ("<div><p>A short article, and no more.</p></div><div class='site-footer'><p>Copyright 2020, all rights reserved; of course, and more of this.</p></div>", 1),
+        ('<article>%s<div class="ad-slot"><p>Buy this, and that; now, or never. It is cheap, and good.</p></div></article>', 5),
+        ('<article>%s<div class="user-feedback"><p>I, too, think so. It is true, and well said; thank you.</p></div></article>', 5),
+        ('<p>An article of one line, and no more.</p><div class="cookie-notice"><p>We use cookies, as all do; go on, or leave. You may, of course, refuse.</p></div>', 1),
+        ('<form><p>Short, but whole.</p><aside><p>Far longer, with points; and words, and more of them. It goes on, and on.</p></aside></form>', 1),
+        ('<div class="page-with-sidebar">%s</div><div class="left-sidebar"><p>Some other text, of course; it is no part of it.</p></div>', 5),
+        ('<aside>%s</aside>', 5),
         ('<article>%s</article><div class="comments"><article>I, too, think so.</article><article>So do I, sir.</article></div>', 5),
     ],
 )

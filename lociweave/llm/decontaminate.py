@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import extended, slices, without, written
+from lociweave.llm.bloom import parted
+from lociweave.llm.common import extended, slices, unused, without, written
 from lociweave.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -24,8 +26,8 @@ WINDOW = 13
 ONE_IN = 20
 #: Documents whose stretches share an index, and words of a passage beyond the overlap of WINDOW - 1.
 SHARD_ROWS, PASSAGE = 2048, 64
-#: Benchmark text that the driver and executors have at a time; a larger benchmark is searched for in blocks, one after
-#: the other, each block's result written before the next is read.
+#: Benchmark text that a task has at a time (the driver twice that); a larger benchmark is searched for in blocks, one
+#: after the other, what each hits written before the next is read.
 BLOCK_BYTES = 4 << 20
 
 #: Bytes of words stay, A-Z in lower case, all others become blanks; in UTF-8 every byte beyond ASCII is of a word.
@@ -140,38 +142,65 @@ def with_hits(
     contaminated: n_hit > 0 and one_in * n_hit >= n_words.  A window has so many consecutive words of an item, or
     all of a shorter one.  Null and empty texts have no words, on either side; a null item id is the empty string;
     an empty benchmark hits nothing.  Rows are never grouped and nothing shuffles; repeated rows give repeated
-    results.  Columns of these names in docs are replaced.  A benchmark of several blocks is searched for, but for the
-    last of them, when this is called.
+    results.  Columns of these names in docs are replaced.  A benchmark of several blocks is searched for when this is
+    called: documents are written once, and of every block only the rows that it hits.
     """
-    added = {"n_words": "long", "n_hit": "long", "spans": "array<struct<`start`:int,`end`:int>>", "items": "array<string>", "contaminated": "boolean"}
-    out = without(docs, *added)
-    width, place = len(out.columns), out.columns.index(text)
-    schema = extended(out, **added)
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()), pa.bool_()]
-    context = docs.sparkSession.sparkContext
-    for nth, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
-        if nth:
-            out = written(out)  # so that a task has the phrases of one block only
-        shared = context.broadcast(Phrases(block, window))
-
-        def hit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for batch in slices(batches, SHARD_ROWS):
-                found = search(batch.column(place).to_pylist(), phrases)
-                if batch.num_columns > width:  # what an earlier block has found
-                    for k, (old, names) in enumerate(zip(batch.column(width + 2).to_pylist(), batch.column(width + 3).to_pylist(), strict=True)):
-                        if old or names:
-                            n, spans, items = found[k]
-                            found[k] = n, merged(spans + [(s["start"], s["end"]) for s in old]), sorted({*items, *names})
-                hits = [sum(e - s for s, e in spans) for _, spans, _ in found]
-                new = [
-                    [n for n, _, _ in found],
-                    hits,
-                    [[{"start": s, "end": e} for s, e in spans] for _, spans, _ in found],
-                    [items for _, _, items in found],
-                    [h > 0 and one_in * h >= n for h, (n, _, _) in zip(hits, found, strict=True)],
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], names=schema.names)
-
-        out = out.mapInArrow(hit, schema)
-    return out
+    out = without(docs, *ADDED)
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _searched(out, text, first, window, one_in)
+    # several blocks: documents are written once; a block keeps what it hits, by row, and rows that none hits stay where they lie
+    row = unused(out, "__row")
+    rows = written(out.withColumn(row, F.monotonically_increasing_id()))
+    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
+    hits = [written(_searched(narrow, "text", block, window, one_in).where("n_hit > 0").select("row", "spans", "items")) for block in chain([first, second], blocks)]
+    held = unused(out, "__spans"), unused(out, "__items")
+    found = reduce(DataFrame.unionByName, hits).groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("spans")).alias(held[0]), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(held[1]))
+    found = written(found)
+    passed, suspected = parted(rows, row, written(found.select(row)))
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in held]
+    joined = passed.select("*", *none).unionByName(suspected.join(found, row, "left"))
+    return _told(joined.select(*[f"`{c}`" for c in (*out.columns, *held)]), text, one_in)
+
+
+ADDED = {"n_words": "long", "n_hit": "long", "spans": "array<struct<`start`:int,`end`:int>>", "items": "array<string>", "contaminated": "boolean"}
+
+
+def _columns(found: list[tuple[int, list[tuple[int, int]], list[str]]], one_in: int) -> list[pa.Array]:
+    """The added columns of rows with so many words, merged spans and items."""
+    hits = [sum(e - s for s, e in spans) for _, spans, _ in found]
+    return [
+        pa.array([n for n, _, _ in found], pa.int64()),
+        pa.array(hits, pa.int64()),
+        pa.array([[{"start": s, "end": e} for s, e in spans] for _, spans, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        pa.array([items for _, _, items in found], pa.list_(pa.string())),
+        pa.array([h > 0 and one_in * h >= n for h, (n, _, _) in zip(hits, found, strict=True)], pa.bool_()),
+    ]
+
+
+def _searched(docs: DataFrame, text: str, block: list[tuple[str, str | None]], window: int, one_in: int) -> DataFrame:
+    """docs with the added columns, by the items of one block."""
+    shared, place, schema = docs.sparkSession.sparkContext.broadcast(Phrases(block, window)), docs.columns.index(text), extended(docs, **ADDED)
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SHARD_ROWS):
+            found = search(batch.column(place).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(found, one_in)], names=schema.names)
+
+    return docs.mapInArrow(hit, schema)
+
+
+def _told(joined: DataFrame, text: str, one_in: int) -> DataFrame:
+    """Rows with the added columns in place of the last two, spans and items that blocks have found (null: none)."""
+    kept = joined.drop(*joined.columns[-2:])
+    place, width, schema = kept.columns.index(text), len(kept.columns), extended(kept, **ADDED)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SHARD_ROWS):
+            counts = [len(words(t)) for t in batch.column(place).to_pylist()]
+            spans = [merged([(s["start"], s["end"]) for s in x or ()]) for x in batch.column(width).to_pylist()]
+            items = [x or [] for x in batch.column(width + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *_columns(list(zip(counts, spans, items, strict=True)), one_in)], names=schema.names)
+
+    return joined.mapInArrow(tell, schema)

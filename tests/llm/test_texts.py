@@ -100,7 +100,7 @@ def _hits(text, items, window=13):
     return len(words), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 900, 250])
 def test_decontamination_against_brute_force(spark, block_bytes):
     rng = random.Random(2)
     pool = ["The", "the", "cat", "Ünï", "x1", "日本", "a-b", "end."]

@@ -35,7 +35,7 @@ WIDE_SHINGLE, SIMILARITY, BITS = 5, 0.8, 512
 #: Narrow words: how many, and the bits of each.  A pair of just that similarity shares one with a probability of 0.98.
 WORDS, WORD_BITS = 300, 26
 #: Nodes whose words are compared within a task before they are shuffled.
-TOGETHER = 4096
+TOGETHER = 1024
 
 
 def simhash(text: str | None, size: int = SHINGLE) -> int:

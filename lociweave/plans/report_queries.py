@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.functions.ordered import leading
-from lociweave.operators import concat, provenance, resolve
+from lociweave.operators import concat, normalize, orthoset, paired, provenance, resolve
 from lociweave.operators.details import columns, qc_details
 from lociweave.plans import views as v
-from lociweave.plans.queries import _GATE_SQL, GATE, _concat_sql, query
-from lociweave.sinks import export, stream
+from lociweave.plans.queries import _BASE_EVENT, _GATE_SQL, _PRE_SQL, GATE, _concat_sql, _sides, _site_sql, query
+from lociweave.sinks import export, reports, stream
 from lociweave.sources import snapshot, spool
 
 #: Reports of branches made from documents (rows of details), labels (lists of paths) and every third document (rows of paired reports).
@@ -283,5 +283,92 @@ def mapping_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.mapping_faults(snapshot.mapping_rows(lines))
 
 
+_SIDES_SQL = f"""{_site_sql(v.NUCL_SQL, "ACGT")},
+c as (select locus, '/c/' || locus as file, locus % 7 != 0 as passed, parsimony_informative_sites as n from classes where locus % 17 != 0),
+p as (with {_site_sql(v.PROT_SQL, "ACDEFGHIKLMNPQRSTVWYOU")} select locus, '/p/' || locus as file, locus % 5 != 0 as passed, parsimony_informative_sites as n from classes where locus % 19 != 0)"""
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Both sides with files; each lacks some loci of the other."""
+    sides = zip(_sides(spark, sf_dir), ("/c/", "/p/"), (17, 19), strict=True)
+    return [side.where(F.col("locus") % lacks != 0).withColumn("file", F.concat(F.lit(at), "locus")) for side, at, lacks in sides]
+
+
+@query(f"""with {_SIDES_SQL}, j as (
+  select coalesce(c.locus, p.locus) as locus, c.file as cf, p.file as pf, coalesce(c.passed, false) as cp, coalesce(p.passed, false) as pp, c.n as cn, p.n as pn,
+         coalesce(c.n is not null and p.n is not null and (c.n >= 60 or p.n >= 30), false) as ok from c full join p on c.locus = p.locus)
+select locus as "Locus", coalesce(cf, 'NA') as "Codon_file", coalesce(pf, 'NA') as "Protein_file", case when cp then 'pass' else 'fail' end as "Codon_nonPIS_QC",
+  case when pp then 'pass' else 'fail' end as "Protein_nonPIS_QC", coalesce(cn::varchar, 'NA') as "Codon_PIS", coalesce(pn::varchar, 'NA') as "Protein_PIS", 60::bigint as "Minimum_codon_PIS",
+  30::bigint as "Minimum_protein_PIS", 'either' as "PIS_policy", case when ok then 'pass' else 'fail' end as "PIS_status", case when cp and pp and ok then 'pass' else 'fail' end as "Paired_status",
+  coalesce(nullif(concat_ws(';', case when not cp then 'codon_qc_failed' end, case when not pp then 'protein_qc_failed' end, case when not ok then 'pis_policy_failed' end), ''), 'NA') as "Reasons" from j""")
+def paired_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.paired_report(*_paired(spark, sf_dir), policy="either", min_codon=60, min_protein=30)
+
+
+@query(f"with {_SIDES_SQL} select locus, n as parsimony_informative_sites from c where passed and n >= 60")
+def independent_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.independent(_paired(spark, sf_dir)[0], 60).select("locus", "parsimony_informative_sites")
+
+
+@query(f"with {_SIDES_SQL} select coalesce(c.locus, p.locus) as locus, case when c.locus is null then 'missing' else 'unexpected' end as fault from c full join p on c.locus = p.locus where c.locus is null or p.locus is null")
+def paired_site_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired.site_faults(*_paired(spark, sf_dir))
+
+
+@query(f"""with {_PRE_SQL},
+base as (select cells.* from cells join marked m using (locus, record_order, seq_id) where (pos - 1) // 3 + 1 = site and not stop),
+events as (
+  select seq_id, locus, case when site = last then 'terminal_stop' else 'internal_stop' end as event, (3 * site - 2)::int as "start", (3 * site)::int as "end", codon as original,
+         case when site = last then '-' else 'NNN' end as replacement, case when site = last then 'delete' else 'replace' end as action from marked where stop
+  union all by name select * exclude (record_order) from ({_BASE_EVENT.replace("from cells", "from base")})
+  union all by name select locus, seq_id, 'validation_error' as event, null as "start", null as "end", 'NA' as original, 'NA' as replacement, 'skip' as action from marked where last = 1 and stop)
+select '/in/' || locus || '.fasta' as input_file, seq_id as taxa_id, event, coalesce("start" || '-' || "end", 'NA') as source_nt_positions, original, replacement, action, '1' as genetic_code, 'source' as input_kind from events""")
+def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = normalize.codon_events(v.records(spark, sf_dir, v.RAW))
+    return reports.change_report(events, F.concat(F.lit("/in/"), "locus", F.lit(".fasta")), 1)
+
+
+#: Orthogroups are orders, genes of a taxon are parts; a sequence is the first letters of a document, and some parts have none.
+_SET_SQL = """members as (
+  select l_orderkey as orthogroup, 't' || (l_suppkey % 10) as taxon, (l_suppkey % 10)::int as taxon_order, case when l_partkey % 50 = 0 then 'g ' else 'g' end || (l_partkey % 97) as gene, l_linenumber::int as gene_order from lineitem),
+sequences as (
+  select 't' || t as taxon, case when k % 5 = 0 and t % 2 = 0 then 'g ' else 'g' end || k as gene, substr('ACGTNACGGTNNACG', (k % 4 + 1)::int, (t + k % 9 + 1)::int) as seq
+  from (select distinct l_suppkey % 10 as t, l_partkey % 97 as k from lineitem where l_partkey % 97 != 13)),
+held as (
+  select m.*, seq, {name} as export_id, length(regexp_replace(seq, '[^ACGTU]', '', 'g')) as n from members m join sequences using (taxon, gene))"""
+
+
+def _set(spark: SparkSession, sf_dir: str, keep_taxon: bool, longest: bool) -> orthoset.OrthoSet:
+    lines = v.table(spark, sf_dir, "lineitem")
+    members = lines.selectExpr(
+        "l_orderkey as orthogroup", "concat('t', l_suppkey % 10) as taxon", "cast(l_suppkey % 10 as int) as taxon_order", "concat(case when l_partkey % 50 = 0 then 'g ' else 'g' end, l_partkey % 97) as gene", "cast(l_linenumber as int) as gene_order"
+    )
+    genes = lines.where("l_partkey % 97 != 13").selectExpr("l_suppkey % 10 as t", "l_partkey % 97 as k").distinct()
+    sequences = genes.selectExpr("concat('t', t) as taxon", "concat(case when k % 5 = 0 and t % 2 = 0 then 'g ' else 'g' end, k) as gene", "substr('ACGTNACGGTNNACG', cast(k % 4 + 1 as int), cast(t + k % 9 + 1 as int)) as seq")
+    return orthoset.prepared(members, sequences, keep_taxon, longest)
+
+
+@query(f"""with {_SET_SQL.format(name="gene")}
+select orthogroup, taxon, gene, 'no sequence' as fault from members anti join sequences using (taxon, gene)
+union all select orthogroup, taxon, gene, 'white space in the name' from held where contains(export_id, ' ')
+union all select x.orthogroup, x.taxon, x.gene, 'name used twice' from (select min({{'orthogroup': orthogroup, 'taxon': taxon, 'gene': gene}}) as x from held group by orthogroup, export_id having count(*) > 1)
+union all select x.orthogroup, x.taxon, x.gene, 'name of several taxa' from (select min({{'orthogroup': orthogroup, 'taxon': taxon, 'gene': gene}}) as x from held group by export_id having count(distinct taxon) > 1)""")
+def orthogroup_set_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set(spark, sf_dir, False, False).faults
+
+
+@query(f"""with {_SET_SQL.format(name="taxon || '_' || gene")}
+select orthogroup, taxon, gene as gene_id, length(seq)::int as length, n::int as effective_length, 'codon' as sequence_type,
+       case when gene = first_value(gene) over (partition by orthogroup, taxon order by n desc, gene) then 'yes' else 'no' end as selected from held""")
+def copy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _set(spark, sf_dir, True, True).selection
+
+
+@query(f"""with {_SET_SQL.format(name="taxon || '_' || gene")}
+select orthogroup, taxon_order, gene_order, concat('>', export_id, ' taxon=', taxon, ' orthogroup=', orthogroup, chr(10), seq) as text from held""")
+def orthogroup_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orthoset.fasta_lines(_set(spark, sf_dir, True, False).rows)
+
+
 #: The columns of a details report, for those who read it.
 DETAILS = tuple(columns(GATE.seqtype))

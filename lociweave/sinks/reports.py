@@ -7,6 +7,7 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.model import EVENT_FIELDS
 from lociweave.operators.orthogroups import longest_copy
 
 
@@ -17,6 +18,23 @@ def qc_reports(gate: DataFrame, path: Column) -> tuple[DataFrame, DataFrame, Dat
     return named.where("passed").select("File"), named.where("not passed").select("File"), details
 
 
+def change_report(events: DataFrame, file: Column, code: int | str | None = None, kind: str = "source", protein: bool = False) -> DataFrame:
+    """The fixed columns of a report of changes, from events of operators.normalize or frameshift; NA where there is nothing.
+
+    file: the name that a locus is reported under.  Positions of nucleotides are nt positions; with protein they are
+    positions of residues, in a column more.
+    """
+    span = F.concat_ws("-", "start", "end")
+    place = F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), span).otherwise("NA")
+    told = {
+        "input_file": file, "taxa_id": F.col("seq_id"), "event": F.col("event"), "source_nt_positions": F.lit("NA") if protein else place, "original": F.col("original"),
+        "replacement": F.col("replacement"), "action": F.col("action"), "genetic_code": F.lit(None if code is None else str(code)), "input_kind": F.lit(kind),
+    }
+    if protein:
+        told["source_aa_positions"] = place
+    return events.select(*[F.coalesce(told[c].cast("string"), F.lit("NA")).alias(c) for c in (*EVENT_FIELDS, *["source_aa_positions"] * protein)])
+
+
 def inclusion_report(inclusion: DataFrame, path: Column) -> DataFrame:
     """(gene, status, details) of concat.inclusion's rows."""
     missing = F.concat(F.lit("missing taxa: "), F.array_join("missing", ", "))

@@ -52,6 +52,31 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", r"(\S+)", 1).alias("seq_id")).distinct()
 
 
+def taxon_list(spark: SparkSession, *paths: str) -> list[str]:
+    """The names of taxon lists, one a line, white space at its ends, comments (#) and blank lines aside; in the order of the lists.
+
+    A list without names, or a name that comes twice, raises.
+    """
+    found: list[str] = []
+    for path in paths:
+        rows = numbered_lines(spark, path, (F.trim(F.translate("value", "\t", " ")) != "") & ~F.startswith(F.ltrim("value"), F.lit("#")))
+        own = [r["value"].strip() for r in rows.orderBy("line").collect()]  # as many as there are columns
+        if not own:
+            raise ValueError(f"{path}: no taxa")
+        found += own
+    if twice := sorted({t for t in found if found.count(t) > 1}):
+        raise ValueError(f"taxa named more than once: {', '.join(twice)}")
+    return found
+
+
+def json_report(spark: SparkSession, path: str, *required: str) -> DataFrame:
+    """The rows of JSON reports, a document a file; one that isn't JSON, or lacks a required field, raises."""
+    table = spark.read.json(path, multiLine=True, mode="FAILFAST")
+    if missing := [c for c in required if c not in table.columns]:
+        raise ValueError(f"{path}: missing fields: {', '.join(missing)}")
+    return table
+
+
 def numbered_lines(spark: SparkSession, path: str, keep: Column) -> DataFrame:
     """(value, line, nth): the lines of a file that keep is true of, their number in the file from 0 and among themselves from 1.
 
@@ -181,6 +206,7 @@ def taxon_sequences(spark: SparkSession, folder: str, wanted: DataFrame | None =
 def qc_details(spark: SparkSession, path: str, *required: str) -> DataFrame:
     """The rows of a tab-separated report with a header that must have the required columns."""
     table = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    table = table.toDF(*[c.removeprefix("\ufeff") for c in table.columns])
     if missing := [c for c in required if c not in table.columns]:
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
     return table

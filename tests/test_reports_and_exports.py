@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociweave.functions.ordered import leading, ordered_text
-from lociweave.operators import concat, provenance, resolve
+from lociweave.model import EVENT_FIELDS
+from lociweave.operators import concat, normalize, orthoset, paired, provenance, resolve
 from lociweave.operators.details import columns, finding_texts, path_lists, qc_details
 from lociweave.operators.qc import Gate
+from lociweave.sinks import reports
 from lociweave.sinks.export import export_formats
 from lociweave.sinks.stream import phylip_pieces, write_pieces
-from lociweave.sources import snapshot, spool
+from lociweave.sources import snapshot, spool, tables
 
 DETAILS = "branch string, row long, file string, seqtype string, parsimony_informative_sites long, issues string"
 LISTS = "branch string, kind string, path string"
@@ -240,3 +242,70 @@ def test_units_without_outputs_are_done(spark):
     now = spark.createDataFrame([], "output string, sha256 string")
     assert snapshot.to_resume(wanted, manifest, now).count() == 0
     assert {tuple(r) for r in snapshot.to_resume(wanted, manifest.where("unit = 'u'"), now).collect()} == {("w", "new")}
+
+
+def test_paired_report_and_what_a_side_keeps(spark):
+    side = "locus string, file string, passed boolean, parsimony_informative_sites long"
+    codon = spark.createDataFrame([("a", "/c/a", True, 5), ("b", "/c/b", True, 9), ("d", "/c/d", False, 9), ("e", "/c/e", True, 1)], side)
+    protein = spark.createDataFrame([("a", "/p/a", True, 3), ("b", "/p/b", True, 0), ("c", "/p/c", True, 9), ("e", "/p/e", True, 1)], side)
+    for policy, passed in (("both", {"a"}), ("either", {"a", "b"}), ("codon", {"a", "b"}), ("protein", {"a"})):
+        rows = {r["Locus"]: r for r in paired.paired_report(codon, protein, policy, 5, 3).collect()}
+        assert {k for k, r in rows.items() if r["Paired_status"] == "pass"} == passed and set(rows) == set("abcde")
+    assert (rows["c"]["Codon_file"], rows["c"]["Codon_PIS"], rows["c"]["Reasons"]) == ("NA", "NA", "codon_qc_failed;pis_policy_failed")
+    assert rows["d"]["Reasons"] == "codon_qc_failed;protein_qc_failed;pis_policy_failed" and rows["a"]["Reasons"] == "NA"
+    assert tuple(paired.paired_report(codon, protein).columns) == paired.COLUMNS
+    assert sorted(r["locus"] for r in paired.independent(codon, 5).collect()) == ["a", "b"]
+    assert {tuple(r) for r in paired.site_faults(codon.union(codon.limit(1)), protein).collect()} == {("c", "missing"), ("d", "unexpected"), ("a", "twice")}
+
+
+@pytest.mark.parametrize("args", [("codon", "most"), ("prot", "both", 1), ("nucl", "both", None, 0), ("nucl", "either"), ("codon", "both", -1)])
+def test_options_that_do_not_apply_are_refused(args):
+    with pytest.raises(ValueError):
+        paired.check_options(*args)
+    paired.check_options("pseudogene", "either", 0, 3)
+
+
+MEMBERS, SEQUENCES = "orthogroup string, taxon string, taxon_order int, gene string, gene_order int", "taxon string, gene string, seq string"
+
+
+def test_orthogroup_sets_are_checked_and_written_whole(spark, tmp_path):
+    members = [("OG1", "t:x", 0, "g1", 0), ("OG1", "t:x", 0, "g2", 1), ("OG1", "b", 1, "h", 0), ("OG2", "b", 1, "h2", 0)]
+    sequences = spark.createDataFrame([("t:x", "g1", "ACGN"), ("t:x", "g2", "acgtRR"), ("b", "h", "AC"), ("b", "h2", "AAA")], SEQUENCES)
+    found = orthoset.prepared(spark.createDataFrame(members, MEMBERS), sequences, longest=True)
+    assert found.faults.count() == 0
+    orthoset.write_set(found, str(tmp_path / "set"), longest=True)
+    assert _text(tmp_path / "set/sequences/orthogroup=OG1") == ">t_x_g2 taxon=t:x orthogroup=OG1\nacgtRR\n>b_h taxon=b orthogroup=OG1\nAC\n"
+    assert _text(tmp_path / "set/map") == "t_x_g2\tt:x\nb_h\tb\nb_h2\tb\n" and _text(tmp_path / "set/paths").count("orthogroup=OG") == 2
+    assert "OG1\tt:x\tg1\t4\t3\tcodon\tno" in _text(tmp_path / "set/copy_selection") and "OG1\tt:x\tg2\t6\t4\tcodon\tyes" in _text(tmp_path / "set/copy_selection")
+    odd = [("OG1", "a", 0, "g", 0), ("OG1", "b", 1, "g", 0), ("OG2", "a", 0, "no", 0), ("OG3", "b", 1, "s p", 0)]
+    sequences = spark.createDataFrame([("a", "g", "A"), ("b", "g", "C"), ("b", "s p", "C")], SEQUENCES)
+    found = orthoset.prepared(spark.createDataFrame(odd, MEMBERS), sequences, keep_taxon=False)
+    assert {tuple(r) for r in found.faults.collect()} == {("OG1", "a", "g", "name used twice"), ("OG1", "a", "g", "name of several taxa"), ("OG2", "a", "no", "no sequence"), ("OG3", "b", "s p", "white space in the name")}
+    with pytest.raises(ValueError, match="OG1: name of several taxa: g of a"):
+        orthoset.write_set(found, str(tmp_path / "odd"))
+    assert not (tmp_path / "odd").exists()
+    twice = orthoset.prepared(spark.createDataFrame(members[:2] + members[:1], MEMBERS), spark.createDataFrame([("t:x", "g1", "A"), ("t:x", "g2", "C")], SEQUENCES), longest=True)
+    assert [r["fault"] for r in twice.faults.collect()] == ["gene named twice"]
+
+
+def test_taxon_lists_json_reports_and_marked_headers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# taxa\n\n Homo sapiens \n#x\nMus\n")
+    (tmp_path / "b.txt").write_text("Mus\n")
+    (tmp_path / "none.txt").write_text("#\n \n")
+    assert tables.taxon_list(spark, str(tmp_path / "a.txt")) == ["Homo sapiens", "Mus"]
+    with pytest.raises(ValueError, match="more than once: Mus"):
+        tables.taxon_list(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt"))
+    with pytest.raises(ValueError, match="no taxa"):
+        tables.taxon_list(spark, str(tmp_path / "none.txt"))
+    (tmp_path / "r.json").write_text('{"version": 1,\n "items": [1, 2]}')
+    assert tables.json_report(spark, str(tmp_path / "r.json"), "version").first()["items"] == [1, 2]
+    with pytest.raises(ValueError, match="missing fields: other"):
+        tables.json_report(spark, str(tmp_path / "r.json"), "other")
+    (tmp_path / "d.tsv").write_bytes("﻿File\tIssues\n/x\tNA\n".encode())
+    assert tables.qc_details(spark, str(tmp_path / "d.tsv"), "File").columns == ["File", "Issues"]
+
+
+def test_change_reports_of_proteins_have_residue_positions(spark, records):
+    report = reports.change_report(normalize.protein_events(records({1: [("a", "AB*")]})), F.lit("/in/x"), protein=True)
+    assert report.columns == [*EVENT_FIELDS, "source_aa_positions"]
+    assert {(r["event"], r["source_nt_positions"], r["source_aa_positions"], r["genetic_code"]) for r in report.collect()} == {("protein_unsupported_residue", "NA", "2-2", "NA"), ("protein_terminal_stop", "NA", "3-3", "NA")}

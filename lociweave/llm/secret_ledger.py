@@ -130,7 +130,10 @@ def stored(spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFram
 
 
 def update(folder: str, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scans what the ledger in folder lacks and adds it there; returns the added pairs (blob, rule)."""
+    """Scans what the ledger in folder lacks and adds it there; returns the added pairs (blob, rule).
+
+    Runs may overlap or be repeated: each adds a batch of its own, and what two of them have found is the same.
+    """
     spark = versions.sparkSession
     seen, _ = stored(spark, folder)
     added, findings = scan(versions, text, rules, seen)
@@ -143,16 +146,17 @@ def update(folder: str, versions: DataFrame, text: str = "text", rules: tuple[Ru
 def findings_by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """Per row of versions: path, n_<kind> for the base kinds, base_sha256 of the base spans and spans, all of them.
 
-    findings: blob, rule, start, end; those of other rules or versions don't count.  A span is kind:start:end; spans
+    findings: blob, rule, start, end; those of other rules or versions don't count, and repeated ones count once.  A span is kind:start:end; spans
     are ordered by start, then by the rank of the kind in rules, and joined by commas.
     """
     kinds = [r.kind for r in base]
     ranked = findings.where(F.col("rule").isin([r.name for r in rules])).select("blob", "start", _named(rules, lambda k, r: k).alias("rank"), "end", _named(rules, lambda k, r: r.kind).alias("kind"))
-    spans = F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind")))
+    # a set: runs that scanned a blob at the same time have both kept its findings
+    spans = F.array_sort(F.collect_set(F.struct("start", "rank", "end", "kind")))
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds]
-    per_blob = ranked.groupBy("blob").agg(spans.alias("all"), *counts)
-    per_blob = written(per_blob.select("blob", *[f"n_{k}" for k in kinds], line(F.filter("all", lambda x: x["kind"].isin(kinds))).alias("base"), line(F.col("all")).alias("spans")))
+    count = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    per_blob = ranked.groupBy("blob").agg(spans.alias("all"))
+    per_blob = written(per_blob.select("blob", *map(count, kinds), line(F.filter("all", lambda x: x["kind"].isin(kinds))).alias("base"), line(F.col("all")).alias("spans")))
     held = versions.select(F.col(f"`{path}`").alias("path"), address(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("blob"))
     clean, maybe = parted(held, "blob", per_blob.select("blob"))
     maybe = written(maybe)

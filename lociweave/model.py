@@ -1,6 +1,8 @@
 """The tables that operators take and return.
 
 records: locus, record_order, seq_id, seq; one row per sequence, order within the locus explicit.
+locus is a number, and loci are in its order: loci that have names get a number first (functions.running.numbered over
+an order of theirs, or the place of their file in a list), as running totals deal rows to ranges by it.
 cells: locus, record_order, seq_id, pos (from 1), ch.  codon cells: locus, record_order, seq_id, site (from 1), codon.
 """
 

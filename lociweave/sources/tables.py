@@ -1,4 +1,8 @@
-"""Readers of the text tables around alignments."""
+"""Readers of the text tables around alignments.
+
+Readers that check what they read (the orthogroup formats, taxon_sequences, taxon_list, informative_sites) run jobs when
+they are called, so that a fault raises there and not in what is made of them.
+"""
 
 from __future__ import annotations
 

@@ -279,3 +279,33 @@ def test_radius_and_shingle_size(spark):
         simhash.links(nodes, 3)
     got = simhash.fingerprints(docs_of(spark, [(1, "a b c d e f g")]), size=5).first()["fp"]
     assert got & (2**64 - 1) == simhash.simhash("a b c d e f g", 5) != simhash.simhash("a b c d e f g")
+
+
+def _leaves(rows, shards, first=0, widths=None):
+    """Row number to shard: nodes split one by one, each sorted whole along its widest dimension and cut where the bytes below come nearest to its share."""
+    if shards == 1 or not rows:
+        return {k: first for k, _, _ in rows}
+    spans = [(min(r[2][d] for r in rows), max(r[2][d] for r in rows)) for d in range(len(rows[0][2]))]
+    widths = widths or [max(1, hi - lo) for lo, hi in spans]
+    d = max(range(len(spans)), key=lambda d: (spans[d][1] - spans[d][0]) / widths[d])
+    half = shards // 2
+    share, below = sum(r[1] for r in rows) * half / shards, 0
+    for key in sorted({r[2][d] for r in rows}):
+        held = sum(r[1] for r in rows if r[2][d] == key)
+        if below + held >= share:
+            cut = key + 1 if below + held - share < share - below else key
+            break
+        below += held
+    low, high = [r for r in rows if r[2][d] < cut], [r for r in rows if r[2][d] >= cut]
+    return _leaves(low, half, first, widths) | _leaves(high, shards - half, first + half, widths)
+
+
+@pytest.mark.parametrize("shards", [2, 5, 12])
+def test_trees_against_brute_force(spark, shards):
+    rng = random.Random(shards)
+    for n, spread in ((0, 9), (1, 9), (40, 3), (400, 1 << 40), (400, 6)):
+        rows = [(k, rng.choice([17, 90, 300, 5000]), [rng.randrange(spread), rng.randrange(2), rng.randrange(spread * 3)]) for k in range(n)]
+        df = spark.createDataFrame([(k, size, *keys) for k, size, keys in rows], "k long, size long, key0 long, key1 long, key2 long")
+        root = kd_shard.tree(df, 3, shards)
+        placed = df.select("k", root.leaf_of([df[f"key{d}"] for d in range(3)], lambda x: x.first).alias("shard"))
+        assert {r["k"]: r["shard"] for r in placed.collect()} == _leaves(rows, shards)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -98,8 +99,17 @@ def unused(df: DataFrame, name: str) -> str:
 SLICE_BYTES = 8 << 20
 
 
+def give_back() -> None:
+    """Returns memory that earlier tasks of a Python worker have freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that a task never holds Python copies of a whole Arrow batch of long texts."""
+    give_back()
     for batch in batches:
         step = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, step):

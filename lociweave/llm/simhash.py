@@ -214,11 +214,12 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WO
 
     A group is led by the node that meets most others, so that a family of near copies gathers round few of its
     middle: a group of m nodes makes m - 1 pairs, whatever its size.  Groups are led within a task first, and only the
-    leaders are shuffled: a word that many nodes have comes from every task once.  Pairs whose sizes rule the
-    similarity out are left out.
+    leaders are shuffled: a word that many nodes have comes from each TOGETHER nodes once.
     """
     places = word_places(words, bits)
-    kinds = "word long, fp long, n long, score long, member long, member_n long, shared long"
+    width = bits + words.bit_length()  # bits of a word with its number
+    if width + (words * TOGETHER).bit_length() > 63:
+        raise ValueError("so many words of so many bits don't fit")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, TOGETHER):
@@ -227,21 +228,24 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WO
             score, leads, pairs = _met(narrow_words(wide, places))
             near = np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]) >= similarity * np.maximum(n[pairs[:, 0]], n[pairs[:, 1]]) - 1e-9
             (a, b, shared), (node, word) = pairs[near].T, leads.T
-            none = pa.nulls(len(leads), pa.int64())
-            own = [pa.array(x) for x in (word, fp[node], n[node], score[node])]
-            yield pa.RecordBatch.from_arrays([*own, none, none, none], names=kinds.replace(" long", "").split(", "))
-            # pairs are dealt by their ends, negative so as not to be words
-            met = [pa.array(x) for x in (-1 - ((fp[a] ^ fp[b]) & (1 << 62) - 1), fp[a], n[a], score[a], fp[b], n[b], shared)]
-            yield pa.RecordBatch.from_arrays(met, names=kinds.replace(" long", "").split(", "))
-
-    met = nodes.where("n > 0").select("fp", "n", "wide").mapInArrow(lead, kinds)
-    first = F.first(F.struct("fp", "n")).over(Window.partitionBy("word").orderBy(F.desc("score"), "fp"))
-    led = met.withColumns({"lead": first, "one": F.lit(1).cast("long")})
-    pair = lambda *c: F.struct(*[F.col(x).alias(name) for x, name in zip(c, ("a", "n_a", "b", "n_b", "shared"), strict=True)])
-    told = F.when(F.col("member").isNotNull(), pair("fp", "n", "member", "member_n", "shared")).when(F.col("lead.fp") != F.col("fp"), pair("lead.fp", "lead.n", "fp", "n", "one"))
-    pairs = led.select(told.alias("pair")).where("pair is not null").select("pair.*")
-    near = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    return pairs.where(near).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+            yield pa.RecordBatch.from_arrays([pa.array(score[node] << width | word), pa.array(fp[node]), pa.array(np.ones(len(node), dtype=np.int64))], names=["place", "fp", "shared"])
+            # a pair is a group of its own, below 0 so as not to be a word's, in which the odd place leads
+            own = -2 - 2 * _mixed(fp[a], fp[b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((own + 1, own), (fp[a], fp[b]), (shared, shared))], names=["place", "fp", "shared"])
+
+    met = nodes.where("n > 0").select("fp", "n", "wide").mapInArrow(lead, "place long, fp long, shared long")
+    group = F.when(F.col("place") < 0, F.shiftright("place", 1)).otherwise(F.col("place").bitwiseAND(F.lit((1 << width) - 1)))
+    first = F.first("fp").over(Window.partitionBy("word").orderBy(F.desc("place"), "fp"))
+    led = met.withColumn("word", group).select("fp", "shared", first.alias("a"))
+    pairs = led.where("a != fp").groupBy("a", F.col("fp").alias("b")).agg(F.sum("shared").alias("shared"))
+    return pairs
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """61-bit numbers that tell ordered pairs apart."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(3)).astype(np.int64)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

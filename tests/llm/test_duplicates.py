@@ -253,12 +253,11 @@ def test_one_family_gathers_round_few_leaders(spark, monkeypatch):
         own = base.copy()
         own[rng.choice(700, 30, replace=False)] = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
         rows.append((k, 700, np.frombuffer(simhash.wide_fingerprint(np.unique(own)), dtype=np.int64).tolist()))
-    rows.append((400, 10, rows[0][2]))  # alike in bits, but too small to be similar
     nodes = spark.createDataFrame(rows, "fp long, n long, wide array<long>").repartition(5)
     for together in (4096, 7):
         monkeypatch.setattr(simhash, "TOGETHER", together)
         pairs = [tuple(r) for r in simhash.candidates(nodes).collect()]
-        assert len({p[:2] for p in pairs}) == len(pairs) < 400 * 399 / 4 and all(400 not in p[:2] for p in pairs)
+        assert len({p[:2] for p in pairs}) == len(pairs) < 400 * 399 / 4
         reached, left = {0}, [0]
         near = defaultdict(set)
         for a, b, _ in pairs:

@@ -270,6 +270,26 @@ def test_one_family_gathers_round_few_leaders(spark, monkeypatch):
         assert reached == set(range(400))
 
 
+def test_what_sizes_and_bits_rule_out(spark):
+    """Sets of 256 shingles at a similarity of just 0.8 stay far below the bits that rule a pair out, and unlike ones far above; small sets are ruled out by size alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    wide = lambda x, kind=np.int64: np.frombuffer(simhash.wide_fingerprint(np.unique(x)), dtype=kind)
+    apart = lambda x, y: int(np.bitwise_count(wide(x, np.uint64) ^ wide(y, np.uint64)).sum())
+    near, far = [], []
+    for _ in range(200):
+        both = draw(256)
+        near.append(apart(np.concatenate([both, draw(32)]), np.concatenate([both, draw(32)])))
+        far.append(apart(draw(288), draw(288)))
+    assert max(near) < 130 < simhash.MOST_APART < 205 < min(far)
+    x, y = wide(draw(9)).tolist(), wide(draw(9)).tolist()
+    nodes = spark.createDataFrame([(1, 100, x), (2, 90, y), (3, 70, x), (4, 300, x), (5, 300, y), (6, 300, x)], "fp long, n long, wide array<long>")
+    pairs = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (4, 5, 1), (4, 6, 1)], "a long, b long, shared long")
+    assert {tuple(r)[:2] for r in simhash.possible(pairs, nodes).collect()} == {(1, 2), (4, 6)}
+
+
 def test_radius_and_shingle_size(spark):
     nodes = spark.createDataFrame([(0,), (0b1111,), (1 << 40,)], "fp long")
     assert [tuple(r) for r in simhash.links(nodes, 4).where("a = 0 and b = 15").collect()] == [(0, 15)]

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.ordered import leading
 from lociweave.operators import concat, normalize, orthoset, paired, provenance, resolve
-from lociweave.operators.details import columns, qc_details
+from lociweave.operators.details import qc_details
 from lociweave.plans import views as v
-from lociweave.plans.queries import _BASE_EVENT, _GATE_SQL, _PRE_SQL, GATE, _concat_sql, _sides, _site_sql, query
+from lociweave.plans.queries import _BASE_EVENT, _GATE_SQL, _PRE_SQL, GATE, ORACLE_SQL, QUERIES, _concat_sql, _sides, _site_sql, query
 from lociweave.sinks import export, reports, stream
 from lociweave.sources import snapshot, spool
 
@@ -370,5 +370,5 @@ def orthogroup_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orthoset.fasta_lines(_set(spark, sf_dir, True, False).rows)
 
 
-#: The columns of a details report, for those who read it.
-DETAILS = tuple(columns(GATE.seqtype))
+#: All queries and their SQL, those of plans.queries among them.
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.functions import columns
 from lociweave.functions.sequences import characters, codons, occurrences, ratio, safe_id
 from lociweave.model import check_ratio, check_seqtype, rebuilt
 
 
-def _raw_cells(records: DataFrame) -> DataFrame:
-    """Cells as they are, so that what is kept keeps its case and its U; ch is the upper-case one."""
-    out = records.select("locus", "record_order", "seq_id", F.posexplode(characters(F.col("seq"))).alias("pos", "raw"))
-    return out.select("locus", "record_order", "seq_id", (F.col("pos") + 1).alias("pos"), "raw", F.upper("raw").alias("ch"))
-
-
-def _raw_codons(records: DataFrame) -> DataFrame:
-    out = records.select("locus", "record_order", "seq_id", F.posexplode(codons(F.col("seq"))).alias("pos", "raw"))
-    return out.select("locus", "record_order", "seq_id", (F.col("pos") + 1).alias("pos"), "raw", F.upper("raw").alias("ch"))
-
-
 def apply_mask(units: DataFrame, mask: DataFrame) -> DataFrame:
     """records of the units (locus, record_order, seq_id, pos, raw) whose (locus, pos) the mask has; for masks from elsewhere."""
     return rebuilt(units.join(mask.select("locus", "pos"), ["locus", "pos"], "left_semi"), "pos", "raw")
 
 
-def apply_flags(records: DataFrame, sites: DataFrame, seqtype: str, keep_empty: bool = False) -> DataFrame:
-    """The records less the columns (triplets for codon) that sites (locus, pos, keep), which has all of them, doesn't keep.
+def apply_flags(records: DataFrame, kept: DataFrame, seqtype: str, keep_empty: bool = False, third: bool = False) -> DataFrame:
+    """The records less the columns (triplets for codon) that kept (locus, keep: a 1 for what stays and a 0 for the rest, a string) doesn't keep; with third only the third bases of triplets.
 
-    The places that a locus keeps meet whole records as one array: no cell is shuffled again.  Loci that keep nothing
-    aren't there, or with keep_empty have empty sequences.
+    The flags of a locus meet whole records: no cell is a row.  Loci that keep nothing aren't there, or with keep_empty
+    have empty sequences.
     """
-    places = sites.where("keep").groupBy("locus").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("at"))
-    return _picked(records.join(places, "locus", "left" if keep_empty else "inner"), seqtype)
+    codon = seqtype == "codon"
+
+    def cut(seq: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
+        if seq is None or keep is None:
+            return np.zeros(0, dtype=np.uint8)
+        units = seq[: len(seq) // 3 * 3].reshape(-1, 3) if codon else seq
+        left = units[: len(keep)][keep[: len(units)] == 49]
+        return (left[:, 2] if third else left).ravel()
+
+    joined = records.join(kept if keep_empty else kept.where(F.contains("keep", F.lit("1"))), "locus", "left" if keep_empty else "inner")
+    return columns.mapped(joined.select("locus", "record_order", "seq_id", "seq", "keep"), 2, cut)
 
 
 def _picked(records: DataFrame, seqtype: str) -> DataFrame:
@@ -66,21 +68,25 @@ def column_map_faults(columns: DataFrame, records: DataFrame) -> DataFrame:
 def _trim_sites(records: DataFrame, seqtype: str, max_gap: float, max_n: float, max_x: float, drop_invariant: bool) -> DataFrame:
     check_seqtype(seqtype)
     check_ratio(max_gap=max_gap, max_n=max_n, max_x=max_x)
-    units = _raw_codons(records) if seqtype == "codon" else _raw_cells(records)
     letter, most = ("X", max_x) if seqtype == "prot" else ("N", max_n)
-    n = F.count(F.lit(1))
-    sites = units.groupBy("locus", "pos").agg(
-        (F.count_if(F.contains("ch", F.lit("-"))) / n).alias("gap"), (F.count_if(F.contains("ch", F.lit(letter))) / n).alias("bad"), (F.min("ch") == F.max("ch")).alias("invariant")
-    )
-    stays = (F.col("gap") <= max_gap) & (F.col("bad") <= most)
-    if drop_invariant:
-        stays = stays & ~F.col("invariant")
-    return sites.select("locus", "pos", stays.alias("keep"))
+
+    def mark(units: np.ndarray, orders: np.ndarray) -> columns.Marks:
+        n = np.full(units.shape[1], len(units), dtype=np.uint64)
+        found = {"n": n, "gap": columns.total(columns.has(units, "-")), "bad": columns.total(columns.has(units, letter))}
+        return found | (columns.one_number(units) if drop_invariant else {})
+
+    def finish(m: columns.Marks) -> tuple:
+        stays = (m["gap"] / m["n"] <= max_gap) & (m["bad"] / m["n"] <= most)
+        return (columns.flags(stays & (m["differs"] > 0) if drop_invariant else stays),)
+
+    fields = {"n": "sum", "gap": "sum", "bad": "sum"} | ({"first": "first", "differs": "differs"} if drop_invariant else {})
+    upper = records.select("locus", "record_order", F.upper("seq").alias("seq"))
+    return columns.tallied(upper, columns.Tally(fields, mark, seqtype == "codon"), "keep string", finish)
 
 
 def trim_mask(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2, drop_invariant: bool = False) -> DataFrame:
     """(locus, pos) of the columns, triplets for codon, that stay: a share beyond a limit goes, one at the limit stays."""
-    return _trim_sites(records, seqtype, max_gap, max_n, max_x, drop_invariant).where("keep").select("locus", "pos")
+    return columns.places(_trim_sites(records, seqtype, max_gap, max_n, max_x, drop_invariant))
 
 
 def trim(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2, drop_invariant: bool = False) -> DataFrame:
@@ -89,26 +95,39 @@ def trim(records: DataFrame, seqtype: str = "codon", max_gap: float = 0.2, max_n
 
 
 def paired_sites(codon: DataFrame, protein: DataFrame, max_gap: float = 0.2, max_n: float = 0.2, max_x: float = 0.2) -> DataFrame:
-    """(locus, pos, keep) of paired sites: one mask from gaps of either side, N of the triplet and X of the residue.
+    """(locus, keep) of paired sites, flags as of apply_flags: one mask from gaps of either side, N of the triplet and X of the residue.
 
-    Whole records are joined and their triplets and residues zipped, so that cells exist only after the join.
+    Of a triplet and of a residue only one letter, which says what it has, is joined.
     """
     check_ratio(max_gap=max_gap, max_n=max_n, max_x=max_x)
     key = ["locus", "record_order", "seq_id"]
-    c = codon.select(*key, codons(F.translate(F.upper("seq"), "U", "T")).alias("codon"))
-    p = protein.select(*key, characters(F.upper("seq")).alias("ch"))
-    zipped = c.join(p, key).select("locus", F.posexplode(F.arrays_zip("codon", "ch")).alias("pos", "x"))
-    both = zipped.select("locus", (F.col("pos") + 1).alias("pos"), "x.codon", "x.ch").where("codon is not null and ch is not null")
-    n = F.count(F.lit(1))
-    sites = both.groupBy("locus", "pos").agg(
-        (F.count_if((F.col("ch") == "-") | F.contains("codon", F.lit("-"))) / n).alias("gap"), (F.count_if(F.contains("codon", F.lit("N"))) / n).alias("n"), (F.count_if(F.col("ch") == "X") / n).alias("x")
-    )
-    return sites.select("locus", "pos", ((F.col("gap") <= max_gap) & (F.col("n") <= max_n) & (F.col("x") <= max_x)).alias("keep"))
+
+    def told(letter: str, codon: bool) -> Callable[[np.ndarray], np.ndarray]:
+        def run(seq: np.ndarray) -> np.ndarray:
+            units = columns.triplets(seq) if codon else seq
+            return (97 + columns.has(units, "-") + 2 * columns.has(units, letter)).astype(np.uint8)
+
+        return run
+
+    c = columns.mapped(codon.where("seq is not null").select(*key, F.upper("seq").alias("seq")), 1, told("N", True)).withColumnRenamed("seq", "c")
+    p = columns.mapped(protein.where("seq is not null").select(*key, F.upper("seq").alias("seq")), 1, told("X", False)).withColumnRenamed("seq", "p")
+    n = F.least(F.length("c"), F.length("p"))
+    both = c.join(p, key).select("locus", "record_order", F.concat(F.substring("c", F.lit(1), n), F.substring("p", F.lit(1), n)).alias("seq"))
+
+    def mark(units: np.ndarray, orders: np.ndarray) -> columns.Marks:
+        n = units.shape[1] // 2
+        c, p = units[:, :n] - 97, units[:, n:] - 97
+        return {"n": np.full(n, len(units), dtype=np.uint64), "gap": columns.total((c | p) & 1), "bad": columns.total(c >> 1), "x": columns.total(p >> 1)}
+
+    def finish(m: columns.Marks) -> tuple:
+        return (columns.flags((m["gap"] / m["n"] <= max_gap) & (m["bad"] / m["n"] <= max_n) & (m["x"] / m["n"] <= max_x)),)
+
+    return columns.tallied(both, columns.Tally(dict.fromkeys(("n", "gap", "bad", "x"), "sum"), mark), "keep string", finish)
 
 
 def paired_mask(codon: DataFrame, protein: DataFrame, **limits: float) -> DataFrame:
     """(locus, pos) of the sites that both sides keep."""
-    return paired_sites(codon, protein, **limits).where("keep").select("locus", "pos")
+    return columns.places(paired_sites(codon, protein, **limits))
 
 
 def trim_pair(codon: DataFrame, protein: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
@@ -119,9 +138,14 @@ def trim_pair(codon: DataFrame, protein: DataFrame, **limits: float) -> tuple[Da
 def drop_missing_columns(records: DataFrame, seqtype: str = "nucl") -> DataFrame:
     """The records less columns (triplets for codon) in which every record has N or - (X or - for prot); loci of unequal lengths stay as they are."""
     check_seqtype(seqtype)
-    units = _raw_codons(records) if seqtype == "codon" else _raw_cells(records)
     empty = {"nucl": ["N", "-"], "prot": ["X", "-"], "codon": ["NNN", "---"]}[seqtype]
-    sites = units.groupBy("locus", "pos").agg((~F.bool_and(F.col("ch").isin(empty))).alias("keep"))
+    odd = columns.codon_numbers(empty) if seqtype == "codon" else np.array([ord(x) for x in empty])
+
+    def mark(units: np.ndarray, orders: np.ndarray) -> columns.Marks:
+        return {"full": (~np.isin(units, odd)).any(axis=0).astype(np.uint64)}
+
+    upper = records.select("locus", "record_order", F.upper("seq").alias("seq"))
+    sites = columns.tallied(upper, columns.Tally({"full": "or"}, mark, seqtype == "codon"), "keep string", lambda m: (columns.flags(m["full"] > 0),))
     even = records.groupBy("locus").agg((F.min(F.length("seq")) == F.max(F.length("seq"))).alias("even"))
     trimmed = apply_flags(records.join(even.where("even"), "locus", "left_semi"), sites, seqtype)
     rest = records.join(even.where("not even"), "locus", "left_semi").select("locus", "record_order", "seq_id", "seq")

@@ -6,10 +6,17 @@ with gaps, and each letter is mapped to a symbol, those beyond A to Z as an n.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.functions import columns
+
 TAXA = 8
+TAXON_IDS = [f"sp{k}" for k in range(TAXA)]
 ABC = "abcdefghijklmnopqrstuvwxyz"
 NUCL = "ACGTACGTNACGT-ACGTACRT?ACG"
 RAW = "ACGTacgtNACGTuACGURCyT?ACG"
@@ -27,17 +34,40 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _dealt(spark: SparkSession, sf_dir: str, unit: int) -> DataFrame:
-    letters = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]", ""), "[^A-Za-z]", "n"))
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("locus"), letters.alias("letters"))
-    docs = docs.withColumn("n", F.expr(f"cast(greatest(1, ceil(length(letters) / {TAXA * unit}D)) * {unit} as int)"))
-    docs = docs.withColumn("record_order", F.explode(F.sequence(F.lit(0), F.lit(TAXA - 1))))
-    return docs.select("locus", "record_order", F.expr("concat('sp', record_order)").alias("seq_id"), "letters", "n", F.expr("substr(letters, record_order * n + 1, n)").alias("own"))
+def _dealt(spark: SparkSession, sf_dir: str, unit: int, rows: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """records: rows makes TAXA sequences, as bytes, of the letters of a document, dealt to TAXA rows of numbers from 0 (a) to 25 (z), 26 for what fills the last ones up."""
+    places = np.full(256, ABC.index("n"), dtype=np.uint8)
+    for k, c in enumerate(ABC):
+        places[[ord(c), ord(c.upper())]] = k
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in columns.slices(batches):
+            made, sizes = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                found = columns.lookup(places, columns.letters(text))
+                n = max(1, -(-len(found) // (TAXA * unit))) * unit
+                made.append(rows(np.concatenate([found, np.full(TAXA * n - len(found), 26, dtype=np.uint8)]).reshape(TAXA, n)))
+                sizes.append(made[-1].size // TAXA)
+            ends = np.concatenate([[0], np.cumsum(np.repeat(sizes, TAXA))])
+            for start in range(0, len(sizes) * TAXA, TAXA * 256):
+                stop = min(start + TAXA * 256, len(sizes) * TAXA)
+                data = np.concatenate([m.ravel() for m in made[start // TAXA : stop // TAXA]])
+                seq = pa.StringArray.from_buffers(stop - start, pa.py_buffer((ends[start : stop + 1] - ends[start]).astype(np.int32)), pa.py_buffer(data))
+                order = np.tile(np.arange(TAXA, dtype=np.int32), (stop - start) // TAXA)
+                locus = batch.column(0).take(pa.array(np.arange(start, stop) // TAXA))
+                yield pa.RecordBatch.from_arrays([locus, pa.array(order), pa.array(TAXON_IDS).take(pa.array(order)), seq], names=["locus", "record_order", "seq_id", "seq"])
+
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("locus"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", "").alias("letters"))
+    return docs.mapInArrow(deal, f"locus {dict(docs.dtypes)['locus']}, record_order int, seq_id string, seq string")
+
+
+def _symbols(symbols: str) -> np.ndarray:
+    return np.frombuffer(symbols.encode(), dtype=np.uint8)
 
 
 def records(spark: SparkSession, sf_dir: str, symbols: str = NUCL, unit: int = 3) -> DataFrame:
-    dealt = _dealt(spark, sf_dir, unit)
-    return dealt.withColumn("seq", F.rpad(F.translate("own", ABC, symbols), F.col("n"), F.lit("-"))).select("locus", "record_order", "seq_id", "seq")
+    known = _symbols(symbols + "-")
+    return _dealt(spark, sf_dir, unit, lambda rows: known[rows])
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +76,14 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def codon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets whose first two bases come from the locus's first row and whose third from the own one; some are ???."""
-    dealt = _dealt(spark, sf_dir, 1).withColumns({"a": F.rpad(F.expr("substr(letters, 1, n)"), F.col("n"), F.lit("#")), "b": F.rpad("own", F.col("n"), F.lit("#"))})
-    both = lambda x, y: F.concat(x, y)
-    split = lambda c, symbols: F.split(F.translate(c, ABC + "#", symbols), "")
-    seq = F.array_join(F.zip_with(split("a", FIRST), F.zip_with(split("a", SECOND), split("b", THIRD), both), both), "")
-    return dealt.select("locus", "record_order", "seq_id", F.regexp_replace(seq, r"[A-Z]{2}\?", "???").alias("seq"))
+    first, second, third = map(_symbols, (FIRST, SECOND, THIRD))
+
+    def woven(rows: np.ndarray) -> np.ndarray:
+        seq = np.stack([np.broadcast_to(first[rows[0]], rows.shape), np.broadcast_to(second[rows[0]], rows.shape), third[rows]], axis=2)
+        seq[seq[..., 2] == ord("?")] = ord("?")
+        return seq
+
+    return _dealt(spark, sf_dir, 1, woven)
 
 
 def codon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

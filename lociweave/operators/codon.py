@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.functions.genetic_code import is_fourfold, is_start, is_transversion, translate_codon
+from lociweave.functions import columns
+from lociweave.functions.genetic_code import fourfold_codons, is_fourfold, is_start, is_transversion, translate_codon
 from lociweave.functions.sequences import characters, codons
-from lociweave.model import codon_cells
 from lociweave.operators.trim import apply_flags
 
 KEY = ("locus", "record_order", "seq_id")
@@ -53,13 +54,18 @@ def split_codon_positions(records: DataFrame) -> DataFrame:
 def _fourfold_sites(records: DataFrame, table: int, policy: str) -> DataFrame:
     if policy not in ("ignore-missing", "require-all"):
         raise ValueError("policy must be ignore-missing or require-all")
-    units = codon_cells(records)
-    counts = F.col("codon") != "???" if policy == "ignore-missing" else F.lit(True)
-    good = F.bool_and(is_fourfold(F.col("codon"), table) | ~counts)
-    prefix = F.when(counts, F.substring("codon", 1, 2))
-    sites = units.groupBy("locus", F.col("site").alias("pos")).agg(good.alias("good"), (F.min(prefix) == F.max(prefix)).alias("alike"), F.count_if(counts).alias("seen"))
-    keep = F.col("good") & F.col("alike") & (F.col("seen") >= (2 if policy == "ignore-missing" else 1))
-    return sites.select("locus", "pos", F.coalesce(keep, F.lit(False)).alias("keep"))
+    fourfold, missing = columns.codon_numbers(fourfold_codons(table)), columns.codon_numbers(["???"])[0]
+
+    def mark(units: np.ndarray, orders: np.ndarray) -> columns.Marks:
+        counts = units != missing if policy == "ignore-missing" else np.ones(units.shape, dtype=bool)
+        bad = counts & ~np.isin(units, fourfold)
+        return {"bad": bad.any(axis=0).astype(np.uint64), "seen": columns.total(counts), **columns.one_number(np.where(counts, units >> np.uint64(21), 0).astype(np.uint64))}
+
+    def finish(m: columns.Marks) -> tuple:
+        return (columns.flags((m["bad"] == 0) & (m["differs"] == 0) & (m["seen"] >= (2 if policy == "ignore-missing" else 1))),)
+
+    upper = records.select("locus", "record_order", F.translate(F.upper("seq"), "U", "T").alias("seq"))
+    return columns.tallied(upper, columns.Tally({"bad": "or", "seen": "sum", "first": "first", "differs": "differs"}, mark, True), "keep string", finish)
 
 
 def fourfold_mask(records: DataFrame, table: int = 1, policy: str = "ignore-missing") -> DataFrame:
@@ -67,14 +73,13 @@ def fourfold_mask(records: DataFrame, table: int = 1, policy: str = "ignore-miss
 
     ignore-missing: ??? doesn't count, two other records at least; require-all: every record.
     """
-    return _fourfold_sites(records, table, policy).where("keep").select("locus", "pos")
+    return columns.places(_fourfold_sites(records, table, policy))
 
 
 def fourfold_sites(records: DataFrame, table: int = 1, policy: str = "ignore-missing") -> DataFrame:
     """The third bases of fourfold columns; records of loci without any are empty."""
     upper = records.withColumn("seq", F.translate(F.upper("seq"), "U", "T"))
-    kept = apply_flags(upper, _fourfold_sites(records, table, policy), "codon", keep_empty=True)
-    return kept.select(*KEY, F.regexp_replace("seq", "(?s)..(.)", "$1").alias("seq"))
+    return apply_flags(upper, _fourfold_sites(records, table, policy), "codon", keep_empty=True, third=True)
 
 
 def pairwise_4dtv(records: DataFrame, table: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ class Tally:
     triplets: bool = False
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        step = max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes))
+        step = max(1, size * batch.num_rows // max(1, batch.nbytes))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 
@@ -64,6 +65,11 @@ def base(units: np.ndarray, k: int) -> np.ndarray:
 
 
 def codon_numbers(codons: Iterable[str]) -> np.ndarray:
+    return _codon_numbers(tuple(codons))
+
+
+@lru_cache(256)
+def _codon_numbers(codons: tuple[str, ...]) -> np.ndarray:
     return triplets(np.array([[ord(x) for x in c] for c in codons], dtype=np.uint32)).ravel()
 
 
@@ -190,19 +196,76 @@ def _rows(rows: list[tuple], locus: pa.DataType, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [locus, *[_ARROW[k] for _, k in kinds]], strict=True)], names=["locus", *[n for n, _ in kinds]])
 
 
-def mapped(rows: DataFrame, inputs: int, change: Callable[..., np.ndarray], keep: tuple[str, ...] = ("locus", "record_order", "seq_id")) -> DataFrame:
+def mapped(rows: DataFrame, inputs: int, change: Callable[..., np.ndarray | None], keep: tuple[str, ...] = ("locus", "record_order", "seq_id")) -> DataFrame:
     """keep and seq: rows whose sequence change makes from the letters of the inputs columns (strings; null for none) after keep."""
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             columns = [batch.column(len(keep) + k).cast(pa.binary()).to_pylist() for k in range(inputs)]
-            made = [text_of(change(*[None if x is None else letters(x) for x in row])) for row in zip(*columns, strict=True)]
+            made = [change(*[None if x is None else letters(x) for x in row]) for row in zip(*columns, strict=True)]
+            made = [None if m is None else text_of(m) for m in made]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.string())], names=[*keep, "seq"])
 
     return rows.mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keep], "seq string"]))
 
 
+def _texts(numbers: np.ndarray) -> pa.Array:
+    """Texts of up to three letters from triplets(), 0 for a letter that isn't there; null for 0."""
+    found = np.stack([base(numbers, k) for k in range(3)], axis=1)
+    if len(found) and found.max() > 127:
+        return pa.array(["".join(map(chr, filter(None, x))) or None for x in found.tolist()], pa.string())
+    ends = np.concatenate([[0], np.cumsum((found > 0).sum(axis=1))]).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(numbers > 0, bitorder="little"))
+    return pa.Array.from_buffers(pa.string(), len(found), [valid, pa.py_buffer(ends), pa.py_buffer(found[found > 0].astype(np.uint8))])
+
+
+def found(rows: DataFrame, inputs: int, look: Callable[..., tuple[np.ndarray, ...]], fields: dict[str, str | tuple[str, ...]], keep: tuple[str, ...] = ("locus", "record_order", "seq_id")) -> DataFrame:
+    """keep and fields: the rows that look finds in the letters of the inputs columns (strings; null for none) after keep.
+
+    look gives an array a field, all as long as there are rows: numbers for int, 0 for null; triplets(), letters at the
+    end left out as 0, for text; places in a tuple of texts for such a tuple.
+    """
+    kinds = dict(rows.dtypes)
+
+    def made(kind: str | tuple[str, ...], values: np.ndarray) -> pa.Array:
+        if kind == "int":
+            return pa.array(values.astype(np.int32), pa.int32(), mask=values == 0)
+        return _texts(values.astype(np.uint64)) if kind == "text" else pa.array(list(kind), pa.string()).take(pa.array(values.astype(np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SLICE_BYTES // 8):
+            columns = [batch.column(len(keep) + k).cast(pa.binary()).to_pylist() for k in range(inputs)]
+            seen = [look(*[None if x is None else letters(x) for x in row]) for row in zip(*columns, strict=True)]
+            at = pa.array(np.repeat(np.arange(len(seen)), [len(x[0]) for x in seen]))
+            values = [made(kind, np.concatenate(v)) for kind, v in zip(fields.values(), zip(*seen, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[: len(keep)]], *values], names=[*keep, *fields])
+
+    return rows.mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keep], *[f"`{n}` {'int' if k == 'int' else 'string'}" for n, k in fields.items()]]))
+
+
+def upper(found: np.ndarray) -> np.ndarray:
+    """Letters as upper-case ones, where that is ASCII."""
+    low = ((found >= 97) & (found <= 122)).astype(found.dtype) * found.dtype.type(32)
+    if found.dtype == np.uint8:
+        return found - low
+    return np.where(found == 0x17F, ord("S"), np.where(found == 0x131, ord("I"), found - low)).astype(found.dtype)
+
+
+@lru_cache(256)
+def _replacing(old: str, new: str) -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    for a, b in zip(old, new, strict=True):
+        table[ord(a)] = ord(b)
+    return table
+
+
+def replaced(found: np.ndarray, old: str, new: str) -> np.ndarray:
+    """ASCII letters of old as those of new at the same places."""
+    table = _replacing(old, new)
+    return table[found] if found.dtype == np.uint8 else np.where(found < 256, table[np.minimum(found, 255)], found).astype(found.dtype)
+
+
 def flags(keep: np.ndarray) -> str:
     """A 1 for every column that stays, a 0 for the others."""
     return (keep.astype(np.uint8) + 48).tobytes().decode("ascii")

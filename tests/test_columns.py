@@ -93,3 +93,32 @@ EXPLODED = (
 def test_no_cell_is_a_row(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+IN_THE_ROW = ("frame_findings", "frameshift_edits", "frameshift_mask", "translate_cds", "back_translate", "pairwise_4dtv", "preprocess_codon_events", "change_report")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", IN_THE_ROW)
+def test_no_triplet_is_a_row_or_a_text_of_its_own(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("explode", "lambda"))
+
+
+def test_events_of_odd_letters(spark, records):
+    """Beyond ASCII, of unequal lengths and with partial triplets: the same findings as of plain triplets."""
+    before, after = records({1: [("a", "---AAéTGA!CC---ac")], 2: [("é", "")]}), records({1: [("a", "---NNNTGACCC")], 2: [("é", "")]})
+    rows = lambda df: [tuple(r)[3:] for r in df.collect()]
+    from lociweave.operators import frameshift, normalize
+
+    assert rows(frameshift.frame_findings(before)) == [("internal_stop", 7, 9, "TGA"), ("external_frameshift", 10, 12, "!CC")]
+    assert [r[0] for r in rows(frameshift.masked(before))] == ["---AAÉNNNNNN---", ""]
+    assert sorted(rows(frameshift.triplet_edits(before, after)), key=lambda r: r[1]) == [
+        ("export_change", 4, 6, "AAÉ", "NNN", "replace"), ("external_frameshift", 10, 12, "!CC", "CCC", "replace"), ("export_change", 13, 15, "---", None, "replace")
+    ]
+    found = rows(normalize.codon_events(records({1: [("a", "taaRéucc")], 2: [("b", "TAG")], 3: [("c", "")]})))
+    assert sorted(map(str, found)) == sorted(map(str, [
+        ("internal_stop", 1, 3, "taa", "NNN", "replace"), ("nucleotide_ambiguity", 4, 4, "R", "N", "replace"), ("uracil_to_thymine", 6, 6, "u", "T", "replace"),
+        ("terminal_partial_codon", 7, 8, "cc", "-", "delete"), ("terminal_stop", 1, 3, "TAG", "-", "delete"), ("validation_error", None, None, "NA", "NA", "skip"),
+        ("validation_error", None, None, "NA", "NA", "reject"),
+    ]))

@@ -113,13 +113,21 @@ def is_fourfold(codon: Column, table: int = 1) -> Column:
     return codon.isin(list(fourfold_codons(table)))
 
 
+def residue_table(table: int = 1) -> tuple[str, str]:
+    """(letters, residues): three letters as digits, from 1 by their place among letters and 0 for any other, are an index into residues.
+
+    Upper-case codons over A, C, G, T, N have their residue; --- is -, anything else X.
+    """
+    letters, known = "-ACGTN", translations(table)
+    return letters, "".join("-" if c == ("-", "-", "-") else known.get("".join(c), "X") for c in product("?" + letters, repeat=3))
+
+
 def translate_codon(codon: Column, table: int = 1) -> Column:
     """Residue of an upper-case codon, three letters over A, C, G, T, N; --- is -, anything else X.
 
     The places of the three letters are digits of an index into one constant array; 0 is any other letter.
     """
-    letters, known = "-ACGTN", translations(table)
-    residues = ["-" if c == ("-", "-", "-") else known.get("".join(c), "X") for c in product("?" + letters, repeat=3)]
+    letters, residues = residue_table(table)
     a, b, c = (F.instr(F.lit(letters), F.substring(codon, k, 1)) for k in (1, 2, 3))
     return F.get(F.array(*map(F.lit, residues)), (a * 7 + b) * 7 + c)
 

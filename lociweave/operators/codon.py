@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions import columns
-from lociweave.functions.genetic_code import fourfold_codons, is_fourfold, is_start, is_transversion, translate_codon
+from lociweave.functions.genetic_code import code, fourfold_codons, residue_table
 from lociweave.functions.sequences import characters, codons
 from lociweave.operators.trim import apply_flags
 
@@ -16,24 +16,38 @@ KEY = ("locus", "record_order", "seq_id")
 
 def translate_cds(records: DataFrame, table: int = 1) -> DataFrame:
     """Whole triplets to residues, within the row; a start codon at the beginning is M.  Records without a triplet aren't there."""
-    units = codons(F.translate(F.upper("seq"), "U", "T"))
-    residue = lambda c, i: F.when((i == 0) & is_start(c, table), "M").otherwise(translate_codon(c, table))
-    return records.where(F.length("seq") > 2).select(*KEY, F.array_join(F.transform(units, residue), "").alias("seq"))
+    letters, residues = residue_table(table)
+    starts, digits = columns.codon_numbers(sorted(code(table)[2])), np.zeros(256, dtype=np.uint16)
+    digits[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    residues = np.frombuffer(residues.encode(), dtype=np.uint8)
+
+    def translated(seq: np.ndarray) -> np.ndarray:
+        units = seq[: len(seq) // 3 * 3].reshape(-1, 3)
+        a, b, c = columns.lookup(digits, units).T
+        out = residues[(a * 7 + b) * 7 + c]
+        if columns.triplets(units[0])[0] in starts:
+            out[0] = ord("M")
+        return out
+
+    return columns.mapped(records.where(F.length("seq") > 2).select(*KEY, F.upper("seq").alias("seq")), 1, lambda seq: translated(columns.replaced(seq, "U", "T")))
 
 
 def back_translate(protein: DataFrame, cds: DataFrame) -> DataFrame:
     """Aligned residues replaced by the triplets of the sequence they come from: the k-th residue by the k-th triplet, - by ---.
 
     Joined by locus and seq_id; records of one side only, or with a different number of residues and triplets,
-    are left out and reported by back_translation_faults.  The residues cut an aligned row into one more run of gaps
-    than there are triplets; runs and triplets are zipped within the row.
+    are left out and reported by back_translation_faults.
     """
     p = protein.select(*KEY, F.col("seq").alias("aligned"))
     c = cds.select("locus", "seq_id", F.col("seq").alias("cds"))
     both = p.join(c, ["locus", "seq_id"]).where(F.length(F.replace("aligned", F.lit("-"), F.lit(""))) == F.floor(F.length("cds") / 3))
-    gaps = F.split(F.replace("aligned", F.lit("-"), F.lit("---")), "[^-]", -1)
-    filled = F.zip_with(gaps, codons(F.col("cds")), lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
-    return both.select(*KEY, F.array_join(filled, "").alias("seq"))
+
+    def filled(aligned: np.ndarray, cds: np.ndarray) -> np.ndarray:
+        out = np.full((len(aligned), 3), ord("-"), dtype=cds.dtype)
+        out[aligned != ord("-")] = cds[: len(cds) // 3 * 3].reshape(-1, 3)
+        return out.ravel()
+
+    return columns.mapped(both.select(*KEY, "aligned", "cds"), 2, filled)
 
 
 def back_translation_faults(protein: DataFrame, cds: DataFrame) -> DataFrame:
@@ -89,14 +103,19 @@ def pairwise_4dtv(records: DataFrame, table: int = 1) -> DataFrame:
     pair_faults() names aren't there.
     """
     records = records.join(pair_faults(records).select("locus"), "locus", "left_anti")
-    triplets = codons(F.translate(F.upper("seq"), "U", "T"))
-    side = lambda k, name: records.where(F.col("record_order") == k).select("locus", triplets.alias(name))
-    zipped = side(0, "x").join(side(1, "y"), "locus").select("locus", F.explode(F.arrays_zip("x", "y")).alias("pair"))
-    x, y = F.col("pair.x"), F.col("pair.y")
-    pairs = zipped.where(is_fourfold(x, table) & is_fourfold(y, table) & (F.substring(x, 1, 2) == F.substring(y, 1, 2)))
-    pairs = pairs.select("locus", F.substring(x, 3, 1).alias("x"), F.substring(y, 3, 1).alias("y"))
-    share = lambda b: (0.5 * (F.count_if(F.col("x") == b) + F.count_if(F.col("y") == b)) / F.count(F.lit(1))).alias(b)
-    sums = pairs.groupBy("locus").agg(F.count(F.lit(1)).alias("sites"), F.count_if(is_transversion(F.col("x"), F.col("y"))).alias("transversions"), *[share(b) for b in "ACGT"])
+    folded = F.translate(F.upper("seq"), "U", "T")
+    side = lambda k, name: records.where(F.col("record_order") == k).select("locus", folded.alias(name))
+    fourfold, purine = columns.codon_numbers(fourfold_codons(table)), [ord("A"), ord("G")]
+
+    def look(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        x, y = columns.triplets(x), columns.triplets(y)
+        both = np.isin(x, fourfold) & np.isin(y, fourfold) & (x >> np.uint64(21) == y >> np.uint64(21))
+        x, y = columns.base(x[both], 2), columns.base(y[both], 2)
+        found = [len(x), (np.isin(x, purine) != np.isin(y, purine)).sum(), *[(x == ord(b)).sum() + (y == ord(b)).sum() for b in "ACGT"]]
+        return tuple(np.array([n] if len(x) else [], dtype=np.int64) for n in found)
+
+    pairs = columns.found(side(0, "x").join(side(1, "y"), "locus"), 2, look, dict.fromkeys(("sites", "transversions", *"ACGT"), "int"), ("locus",)).na.fill(0)
+    sums = pairs.select("locus", *[F.col(c).cast("long").alias(c) for c in ("sites", "transversions")], *[(0.5 * F.col(b) / F.col("sites")).alias(b) for b in "ACGT"])
     sums = sums.withColumns({"raw": F.col("transversions") / F.col("sites"), "Y": F.col("T") + F.col("C"), "R": F.col("A") + F.col("G")})
     sums = sums.withColumns({"tc": F.expr("T*C"), "ag": F.expr("A*G")}).withColumns({"w": F.expr("case when Y > 0 and R > 0 then tc*R/Y + ag*Y/R end")})
     sums = sums.withColumns({"first": F.expr("case when A > 0 and C > 0 and G > 0 and T > 0 then 1 - raw*w/(2*(tc*R + ag*Y)) end"), "second": F.expr("case when Y > 0 and R > 0 then 1 - raw/(2*Y*R) end")})

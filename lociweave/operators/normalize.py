@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.functions.genetic_code import is_stop
+from lociweave.functions import columns
+from lociweave.functions.genetic_code import is_stop, stop_codons
 from lociweave.functions.sequences import AMBIGUOUS_BASES, characters, codons, normalize_nucleotides, normalize_protein, normalize_rna
 
 KEY = ("locus", "record_order", "seq_id")
@@ -59,14 +61,6 @@ def clean_export(records: DataFrame, protein: bool = False) -> DataFrame:
     return records.select(*KEY, seq.alias("seq"))
 
 
-def _marked_codons(records: DataFrame, table: int) -> DataFrame:
-    """Complete triplets with their place, whether the last, and whether a definite stop; IUPAC letters aren't folded before that."""
-    out = records.select(*KEY, (F.length("seq") / 3).cast("int").alias("n"), F.posexplode(codons(F.col("seq"))).alias("at", "original"))
-    source = F.translate(F.upper("original"), "U", "T")
-    last = F.col("at") + 1 == F.col("n")
-    return out.withColumns({"last": last, "stop": F.when(last, is_stop(source, table, terminal=True)).otherwise(is_stop(source, table))})
-
-
 def clean_codon(records: DataFrame, table: int = 1) -> DataFrame:
     """Coding sequences of whole triplets: a stop at the end goes, one before becomes NNN, the rest over A, C, G, T, N and -.
 
@@ -86,19 +80,43 @@ def clean_codon(records: DataFrame, table: int = 1) -> DataFrame:
 
 def codon_events(records: DataFrame, table: int = 1) -> DataFrame:
     """Events of clean_codon: partial triplets at the end, stops, and single bases of triplets that are no stops."""
-    rest = F.length("seq") % 3
-    partial = records.where(rest > 0).select(*_event(F.lit("terminal_partial_codon"), F.length("seq") - rest + 1, F.length("seq"), F.col("seq").substr(F.length("seq") - rest + 1, rest), F.lit("-"), F.lit("delete")))
-    marked = _marked_codons(records, table)
-    last = F.col("last")
-    stops = marked.where("stop").select(
-        *_event(F.when(last, "terminal_stop").otherwise("internal_stop"), F.col("at") * 3 + 1, F.col("at") * 3 + 3, F.col("original"), F.when(last, "-").otherwise("NNN"), F.when(last, "delete").otherwise("replace"))
-    )
-    bases = marked.where("not stop").select(*KEY, F.col("at").alias("triplet"), F.posexplode(F.split("original", "")).alias("k", "base"))
-    bases = bases.select(*KEY, (F.col("triplet") * 3 + F.col("k") + 1).alias("at"), F.col("base").alias("original"), F.upper("base").alias("upper"))
-    bare = records.where(F.length("seq") < 3).select(*_event(F.lit("validation_error"), F.lit(None), F.lit(None), F.lit("NA"), F.lit("NA"), F.lit("reject")))
-    gone = marked.groupBy(*KEY).agg((F.max("n") == 1).alias("one"), F.bool_and("stop").alias("stop")).where("one and stop")
-    skipped = gone.select(*_event(F.lit("validation_error"), F.lit(None), F.lit(None), F.lit("NA"), F.lit("NA"), F.lit("skip")))
-    return partial.unionByName(stops).unionByName(_base_events(bases, AMBIGUOUS_BASES + "?")).unionByName(bare).unionByName(skipped)
+    sets = [columns.codon_numbers(stop_codons(table, terminal)) for terminal in (False, True)]
+    odd = [ord(c) for c in "U" + AMBIGUOUS_BASES + "?"]
+    dash, n, t, nnn, na = (_number(x) for x in ("-", "N", "T", "NNN", "NA"))
+
+    def look(seq: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        out = []
+        add = lambda event, start, end, original, replacement, action: out.append([np.atleast_1d(x) for x in np.broadcast_arrays(event, start, end, np.asarray(original, dtype=np.uint64), np.asarray(replacement, dtype=np.uint64), action)])
+        if seq is None:
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+        up, size, rest = columns.upper(seq), len(seq), len(seq) % 3
+        units, source = columns.triplets(seq), columns.triplets(columns.replaced(up, "U", "T"))
+        stop = np.isin(source, sets[0])
+        if len(units):
+            stop[-1] = source[-1] in sets[1]
+        if rest:
+            add(0, size - rest + 1, size, _number(seq[size - rest :]), dash, 1)
+        at = np.flatnonzero(stop)
+        last = at == len(units) - 1
+        add(np.where(last, 1, 2), at * 3 + 1, at * 3 + 3, units[at], np.where(last, dash, nnn), np.where(last, 1, 0))
+        at = np.flatnonzero(np.isin(up[: len(units) * 3], odd) & ~np.repeat(stop, 3))
+        swapped = up[at] == ord("U")
+        add(np.where(swapped, 3, 4), at + 1, at + 1, seq[at].astype(np.uint64) << np.uint64(42), np.where(swapped, t, n), 0)
+        if size < 3:
+            add(5, 0, 0, na, na, 2)
+        if len(units) == 1 and stop[0]:
+            add(5, 0, 0, na, na, 3)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    events = ("terminal_partial_codon", "terminal_stop", "internal_stop", "uracil_to_thymine", "nucleotide_ambiguity", "validation_error")
+    fields = {"event": events, "start": "int", "end": "int", "original": "text", "replacement": "text", "action": ("replace", "delete", "reject", "skip")}
+    return columns.found(records.select(*KEY, "seq"), 1, look, fields)
+
+
+def _number(text: str | np.ndarray) -> np.uint64:
+    """A text of up to three letters as one number, as of columns.triplets()."""
+    found = np.array([ord(c) for c in text], dtype=np.uint32) if isinstance(text, str) else text
+    return columns.triplets(np.concatenate([found.astype(np.uint32), np.zeros(3 - len(found), dtype=np.uint32)]))[0]
 
 
 def _protein_end(stop: str) -> Column:

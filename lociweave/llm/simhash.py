@@ -36,6 +36,8 @@ WIDE_SHINGLE, SIMILARITY, BITS = 5, 0.8, 512
 WORDS, WORD_BITS = 300, 26
 #: Sets from this size on whose fingerprints differ in more than so many bits are never similar.
 LARGE, MOST_APART = 256, 190
+#: Fingerprints of smaller sets are linked within so many bits: votes of few shingles are often even, and a pair differs in up to 160.
+SMALL_APART = 220
 #: Nodes whose words are compared within a task before they are shuffled.
 TOGETHER = 1024
 
@@ -250,16 +252,17 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(3)).astype(np.int64)
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, small: int = BITS) -> DataFrame:
     """The pairs (a, b, shared) that sizes and, of large sets, wide fingerprints don't rule out.
 
     Sets of LARGE shingles and more that are just so similar differ in 77 of 512 bits, with a deviation of 8: none
-    differs in MOST_APART, fourteen deviations more.  Unlike sets differ in 256.  Bits of smaller sets decide nothing.
+    differs in MOST_APART, fourteen deviations more.  Unlike sets differ in 256.  Smaller sets stay within small bits;
+    at BITS theirs decide nothing.
     """
     of = lambda side: nodes.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}"))
     apart = sum((F.bit_count(F.get("wide_a", F.lit(k)).bitwiseXOR(F.get("wide_b", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    near = sizes & ((F.least("n_a", "n_b") < LARGE) | (apart <= MOST_APART))
+    near = sizes & (apart <= F.when(F.least("n_a", "n_b") < LARGE, small).otherwise(MOST_APART))
     return pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b", "shared")
 
 
@@ -291,7 +294,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str,
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id) for every row of docs: components of links between texts whose sets of shingles are so similar (Jaccard).
 
-    Every link is exact.  Words, their number and what is compared don't depend on the number of documents.  A pair can
+    Every link is one of wide fingerprints within MOST_APART or SMALL_APART bits, and exact.  Words, their number and what is compared don't depend on the number of documents.  A pair can
     be missed if it shares no word, or if neither of it leads a word of both and its leaders link them with nothing;
     tests measure how many are.  Each node is first verified with the leader it meets most often, and then with its other
     leaders in other components; pairs inside a component would change nothing.  Texts with the same set of shingles
@@ -300,7 +303,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = written(wide_fingerprints(docs, key, text, size))
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("wide").alias("wide")))
-    pairs = written(possible(written(candidates(nodes, similarity)), nodes, similarity))
+    pairs = written(possible(written(candidates(nodes, similarity)), nodes, similarity, SMALL_APART))
 
     def linked(some: DataFrame) -> DataFrame:
         return written(verified(some, shingle_sets(docs, nodes, some, key, text, size), similarity))

@@ -328,3 +328,22 @@ def test_trees_against_brute_force(spark, shards):
         root = kd_shard.tree(df, 3, shards)
         placed = df.select("k", root.leaf_of([df[f"key{d}"] for d in range(3)], lambda x: x.first).alias("shard"))
         assert {r["k"]: r["shard"] for r in placed.collect()} == _leaves(rows, shards)
+
+
+def test_fingerprints_of_small_sets_link_within_a_radius(spark):
+    """Pairs of small sets, too, are linked by the bits of their fingerprints: near ones of any size stay, unlike ones go before shingles are compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    rows, near, far = [], [], []
+    for k, (both, own) in enumerate([(5, 1), (7, 1), (8, 2), (40, 10), (100, 20)] * 40):
+        x = draw(both)
+        for fp, shingles in ((3 * k, x), (3 * k + 1, np.concatenate([x, draw(own)])), (3 * k + 2, draw(both))):
+            rows.append((fp, len(shingles), np.frombuffer(simhash.wide_fingerprint(np.unique(shingles)), dtype=np.int64).tolist()))
+        near.append((3 * k, 3 * k + 1))
+        far.append((3 * k, 3 * k + 2))
+    nodes = spark.createDataFrame(rows, "fp long, n long, wide array<long>")
+    pairs = spark.createDataFrame([(a, b, 1) for a, b in near + far], "a long, b long, shared long")
+    got = {tuple(r)[:2] for r in simhash.possible(pairs, nodes, small=simhash.SMALL_APART).collect()}
+    assert set(near) <= got and len(got & set(far)) <= 4

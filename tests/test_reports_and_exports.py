@@ -14,7 +14,7 @@ from lociweave.operators import concat, normalize, orthoset, paired, provenance,
 from lociweave.operators.details import columns, finding_texts, path_lists, qc_details
 from lociweave.operators.qc import Gate
 from lociweave.sinks import reports
-from lociweave.sinks.export import export_formats
+from lociweave.sinks.export import counts, export_formats, export_lines, prepared
 from lociweave.sinks.stream import phylip_pieces, write_pieces
 from lociweave.sources import snapshot, spool, tables
 
@@ -141,6 +141,44 @@ def test_exports_refuse_what_is_no_alignment(records, tmp_path, rows, fault):
     assert not os.path.exists(tmp_path / "out/lines")
 
 
+@pytest.mark.parametrize("kind", ["DNA", "RNA", "protein"])
+def test_lines_of_edits_are_made_without_shuffling_edits(records, kind):
+    """An edit is a row of the result only: before, arrays of all edits passed through the shuffles."""
+    loci = {1: [("a-1", "acgu" * 40), ("b", "RCG?" * 40)], 2: [("x", "\u017fc\u00e9-t\u0131u"), ("y", "u1RT*.B")], 3: [("p", "A"), ("q", "")]}
+    spool = prepared(records(loci), kind)
+    assert dict(spool.dtypes)["edits"] == "int"
+    found = export_lines(spool, counts(spool), kind, F.lit("f"), width=7)
+    assert "array<struct<pos" not in found._jdf.queryExecution().analyzed().treeString()
+    keep, event, to = {"DNA": ("", "uracil_to_thymine", "T"), "RNA": ("", "thymine_to_uracil", "U"), "protein": ("ACDEFGHIKLMNPQRSTVWYX?-", "", "")}[kind]
+    wanted = set()
+    for locus in (1, 2):
+        rows, some = loci[locus], False
+        for k, (name, seq) in enumerate(rows):
+            out = ""
+            for at, c in enumerate(seq, 1):
+                up, edit = c.upper(), None
+                if kind == "protein":
+                    edit = None if up in keep else ("protein_unsupported_residue", "X", "NA", f"\t{at}-{at}")
+                elif up == ("T" if kind == "RNA" else "U"):
+                    edit = (event, to, f"{at}-{at}", "")
+                elif up in "RYSWKMBDHV":
+                    edit = ("nucleotide_ambiguity", "N", f"{at}-{at}", "")
+                out += edit[1] if edit else up
+                if edit:
+                    some = True
+                    wanted.add((locus, "changes", k + 1, at, f"f\t{name}\t{edit[0]}\t{edit[2]}\t{c}\t{edit[1]}\treplace\tNA\tsource{edit[3]}"))
+            wanted.add((locus, "phylip", k + 1, 0, f"{name}  {out}"))
+            label = (f"'{name}'" if "-" in name else name).ljust(5 if locus == 1 else 1)
+            wanted |= {(locus, "nexus", i // 7 + 1, k, f"{label} {out[i : i + 7]}" + "\n" * (k == len(rows) - 1)) for i in range(0, len(out), 7)}
+        n = len(rows[0][1])
+        head = f"#NEXUS\n\nbegin data;\n  dimensions ntax=2 nchar={n};\n  format datatype={'protein' if kind == 'protein' else kind.lower()} missing=? gap=- interleave;\n  matrix"
+        wanted |= {(locus, "phylip", 0, 0, f"2 {n}"), (locus, "nexus", 0, 0, head), (locus, "nexus", -(-n // 7) + 1, 0, "  ;\nend;")}
+        if some:
+            wanted.add((locus, "changes", 0, 0, "\t".join([*EVENT_FIELDS, *["source_aa_positions"] * (kind == "protein")])))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_rows_are_streamed_over_several_parts(spark, records, tmp_path):
     r = records({k: [(f"t{j}", "ACGT"[j % 4] * (50 + k)) for j in range(6) if (j + k) % 5] for k in range(40)})
     m = concat.supermatrix(r)

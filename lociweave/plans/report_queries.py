@@ -251,11 +251,11 @@ def sequence_file_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spooled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of even length come back from lines of 60 letters; a file of the others has a line before its first header."""
     records = v.records(spark, sf_dir, v.RAW)
-    cut = F.concat(F.array(F.concat(F.lit(">"), "seq_id", F.lit(" of the locus"))), F.regexp_extract_all("seq", F.lit("(?s).{1,60}"), F.lit(0)))
+    early = (F.length("seq") % 2 == 1) & (F.col("record_order") == 0)
+    cut = F.concat(F.when(early, F.array(F.lit("ACGT"))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit(">"), "seq_id", F.lit(" of the locus"))), F.regexp_extract_all("seq", F.lit("(?s).{1,60}"), F.lit(0)))
     # a thousand million lines for every record, so that lines are in order though they aren't dense
-    lines = records.select(F.col("locus").alias("file"), "record_order", F.length("seq").alias("n"), F.posexplode(cut).alias("pos", "value"))
-    bad = records.where("length(seq) % 2 = 1 and record_order = 0").selectExpr("locus as file", "cast(0 as bigint) as line", "'ACGT' as value")
-    numbered = lines.select("file", (F.col("record_order") * F.lit(1_000_000_000).cast("long") + F.col("pos") + 1).alias("line"), "value").unionByName(bad)
+    lines = records.select(F.col("locus").alias("file"), "record_order", F.when(early, 0).otherwise(1).alias("first"), F.posexplode(cut).alias("pos", "value"))
+    numbered = lines.select("file", (F.col("record_order") * F.lit(1_000_000_000).cast("long") + F.col("pos") + F.col("first")).alias("line"), "value")
     return spool.spooled_records(numbered, spool.spool_faults(numbered))
 
 

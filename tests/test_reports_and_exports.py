@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import random
+import re
 import time
 
 import pytest
@@ -239,6 +241,47 @@ def test_lines_of_files_read_in_pieces_make_records(spark, tmp_path):
     assert got == wanted
 
 
+def test_lines_are_read_twice_at_most_and_shuffled_once(spark, tmp_path):
+    """Before, every branch of the checks and records read and shuffled all lines for itself."""
+    rng = random.Random(5)
+    for k in range(12):
+        n = rng.choice([3, 40, 200])
+        some = [">" + rng.choice(["a", "b", "c\tx", " d", "", "\u00e9"]) + str(rng.randrange(9)) * rng.randrange(2) if rng.random() < 0.2 else rng.choice(["AC", "", " A\x0bC\r", "G\u00e9", "-" * 90]) for _ in range(n)]
+        (tmp_path / f"f{k}.fa").write_text("\n".join(some if k % 3 else [">only", *["ACGT "] * n]), newline="")
+    lines = spark.read.text(str(tmp_path), wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).selectExpr("file", "line + 1L as line", "value")
+    found = spool.spooled_records(lines, spool.spool_faults(lines, piece=7), piece=7)
+    rows = {tuple(r) for r in found.collect()}
+    wanted, faults = set(), set()
+    for name, whole in ((r["file"], r["value"]) for r in spark.read.text(str(tmp_path), wholetext=True).select(F.input_file_name().alias("file"), "value").collect()):
+        records, ids, bad = [], {}, set()
+        for at, value in enumerate(whole.split("\n"), 1):
+            chunk = re.sub(r"[ \t\x0b\f\r]+", "", value)
+            if value.startswith(">"):
+                seq_id = re.search(r"[^ \t\x0b\f\r\n]+|$", value[1:]).group()
+                records.append([at, seq_id, ""])
+                bad |= {(at, len(records), "empty id")} if not seq_id else set()
+                bad |= {(at, len(records), "id of an earlier record")} if seq_id and ids.setdefault(seq_id, at) != at else set()
+                continue
+            if not records and chunk:
+                bad.add((at, 0, "sequence before the first header"))
+            elif not chunk.isascii():
+                bad.add((at, len(records), "letters beyond ASCII"))
+            if records:
+                records[-1][2] += chunk
+        for k, (at, _, seq) in enumerate(records, 1):
+            bad |= {(at, k, "empty record")} if not seq else {(at, k, "not as long as the first record")} if len(seq) != len(records[0][2]) else set()
+        bad |= set() if records else {(0, 0, "no records")}
+        faults |= {(name, *b) for b in bad}
+        wanted |= set() if bad else {(name, k, i, seq.upper()) for k, (_, i, seq) in enumerate(records)}
+    got = [(r["file"], r["line"], r["record"], r["fault"]) for r in spool.spool_faults(lines, piece=7).collect()]
+    assert len(got) == len(faults) and set(got) == faults
+    assert rows == wanted and len(rows) >= 4
+    plan = found._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getName() else plan
+    marks = re.findall(r"Scan text|ReusedExchange", plan.toString().split("Initial Plan")[0])
+    assert marks.count("Scan text") <= 2 and "ReusedExchange" in marks
+
+
 def test_mapping_snapshot_hashes_what_it_parses(spark, tmp_path):
     import hashlib
 
